@@ -13,8 +13,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentlens.functions.visibility import Viewer
 from contentlens.operators import categories as cat
-from contentlens.sources.fixtures import AS_OF, content_tables
+from contentlens.operators import changes as chg
+from contentlens.operators import comments as com
+from contentlens.operators import filters as flt
+from contentlens.operators import hierarchy as hier
+from contentlens.operators import posts as pst
+from contentlens.operators import quality as qa
+from contentlens.operators import timeseries as ts
+from contentlens.operators import users as usr
+from contentlens.plans import reports as rep
+from contentlens.sources.fixtures import AS_OF, content_tables, likes_raw_view, like_log_view
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -40,7 +50,412 @@ def flat(df: DataFrame) -> DataFrame:
     )
 
 
+def _t(spark, d):
+    return content_tables(spark, d)
+
+
+# ------------------------------------------------------------ F / P (listings)
+
+
+@query("posts_by_author")
+def _q(spark, d):
+    return flat(flt.posts_by_author(_t(spark, d).posts, 7))
+
+
+@query("posts_by_category")
+def _q(spark, d):
+    return flat(flt.page(flt.posts_by_category(_t(spark, d).posts, 1001), 2, 10))
+
+
+@query("posts_by_status")
+def _q(spark, d):
+    return flat(flt.page(flt.posts_by_status(_t(spark, d).posts, "draft"), 1, 10))
+
+
+@query("featured_posts")
+def _q(spark, d):
+    return flat(flt.page(flt.featured_posts(_t(spark, d).posts), 1, 10))
+
+
+@query("search_title")
+def _q(spark, d):
+    return flat(flt.search_title(_t(spark, d).posts, "WIDGET"))
+
+
+@query("search_tag")
+def _q(spark, d):
+    return flat(flt.search_tag(_t(spark, d).posts, "urgent"))
+
+
+@query("comments_by_post")
+def _q(spark, d):
+    return flt.comments_by_post(_t(spark, d).comments, 7)
+
+
+@query("comments_by_author")
+def _q(spark, d):
+    return flt.comments_by_author(_t(spark, d).comments, 3)
+
+
+@query("replies")
+def _q(spark, d):
+    return flt.replies(_t(spark, d).comments, 500)
+
+
+@query("root_comments")
+def _q(spark, d):
+    return flt.root_comments(_t(spark, d).comments, 7)
+
+
+@query("likes_by_comment")
+def _q(spark, d):
+    return flt.likes_by_comment(_t(spark, d).comment_likes, 5)
+
+
+@query("likes_by_user")
+def _q(spark, d):
+    return flt.likes_by_user(_t(spark, d).comment_likes, 9)
+
+
+@query("list_posts_anonymous")
+def _q(spark, d):
+    items, _ = flt.list_posts(_t(spark, d).posts, None, 1, 10)
+    return flat(items)
+
+
+@query("list_posts_owner")
+def _q(spark, d):
+    items, _ = flt.list_posts(_t(spark, d).posts, Viewer(7, "user"), 1, 10)
+    return flat(items)
+
+
+@query("list_posts_admin_tag_search")
+def _q(spark, d):
+    items, _ = flt.list_posts(_t(spark, d).posts, Viewer(50, "admin"), 2, 20, tag="urgent", search="red")
+    return flat(items)
+
+
+@query("posts_page_info")
+def _q(spark, d):
+    _, info = flt.list_posts(_t(spark, d).posts, None, 1, 10)
+    return info
+
+
+# ------------------------------------------------------------ A (statistics)
+
+
+@query("post_counts_by_status")
+def _q(spark, d):
+    return pst.post_counts_by_status(_t(spark, d).posts)
+
+
+@query("post_counts_by_category")
+def _q(spark, d):
+    return pst.post_counts_by_category(_t(spark, d).posts)
+
+
+@query("popular_tags")
+def _q(spark, d):
+    return pst.popular_tags(_t(spark, d).posts, 10)
+
+
+@query("author_stats")
+def _q(spark, d):
+    t = _t(spark, d)
+    return pst.author_stats(t.users, t.posts, t.comments)
+
+
+@query("comment_counts_by_post")
+def _q(spark, d):
+    t = _t(spark, d)
+    return pst.comment_counts_by_post(t.posts, t.comments)
+
+
+@query("comments_with_reply_count")
+def _q(spark, d):
+    return com.with_reply_count(_t(spark, d).comments)
+
+
+@query("comment_stats_by_author")
+def _q(spark, d):
+    t = _t(spark, d)
+    return com.comment_stats_by_author(t.users, t.comments)
+
+
+@query("comments_by_hour")
+def _q(spark, d):
+    return com.comments_by_hour(_t(spark, d).comments)
+
+
+@query("user_counts_by_role")
+def _q(spark, d):
+    return usr.user_counts_by_role(_t(spark, d).users)
+
+
 @query("category_post_counts")
-def _category_post_counts(spark, d):
-    t = content_tables(spark, d)
+def _q(spark, d):
+    t = _t(spark, d)
     return cat.category_post_counts(t.categories, t.posts)
+
+
+@query("category_view_counts")
+def _q(spark, d):
+    t = _t(spark, d)
+    return cat.category_view_counts(t.categories, t.posts)
+
+
+@query("category_comment_counts")
+def _q(spark, d):
+    t = _t(spark, d)
+    return cat.category_comment_counts(t.categories, t.posts, t.comments)
+
+
+@query("categories_with_post_count")
+def _q(spark, d):
+    t = _t(spark, d)
+    return cat.with_post_count(t.categories, t.posts)
+
+
+@query("most_active_categories")
+def _q(spark, d):
+    t = _t(spark, d)
+    return cat.most_active_categories(t.categories, t.posts, t.comments, 10)
+
+
+@query("most_active_categories_literal")
+def _q(spark, d):
+    t = _t(spark, d)
+    return cat.most_active_categories(t.categories, t.posts, t.comments, 10, "literal")
+
+
+@query("most_active_users")
+def _q(spark, d):
+    t = _t(spark, d)
+    return usr.most_active_users(t.users, t.posts, t.comments, 10)
+
+
+@query("most_active_users_literal")
+def _q(spark, d):
+    t = _t(spark, d)
+    return usr.most_active_users(t.users, t.posts, t.comments, 10, "literal")
+
+
+@query("user_engagement")
+def _q(spark, d):
+    t = _t(spark, d)
+    return usr.user_engagement(t.users, t.posts, t.comments, AS_OF)
+
+
+@query("user_engagement_literal")
+def _q(spark, d):
+    t = _t(spark, d)
+    return usr.user_engagement(t.users, t.posts, t.comments, AS_OF, "literal")
+
+
+@query("most_commented_posts_full")
+def _q(spark, d):
+    t = _t(spark, d)
+    return flat(pst.most_commented_posts(t.posts, t.comments, 10))
+
+
+@query("likes_per_comment")
+def _q(spark, d):
+    return com.likes_count_by_comment(_t(spark, d).comment_likes)
+
+
+# ------------------------------------------------------------ D (series)
+
+
+@query("new_users_daily")
+def _q(spark, d):
+    return ts.new_users_daily(_t(spark, d).users, AS_OF, 30)
+
+
+@query("user_timeline")
+def _q(spark, d):
+    t = _t(spark, d)
+    return ts.user_activity_timeline(t.users, t.posts, t.comments, AS_OF, 30, user_id=3)
+
+
+@query("user_timeline_literal")
+def _q(spark, d):
+    t = _t(spark, d)
+    return ts.user_activity_timeline(t.users, t.posts, t.comments, AS_OF, 30, user_id=3, semantics="literal")
+
+
+@query("category_growth")
+def _q(spark, d):
+    t = _t(spark, d)
+    return ts.category_growth(t.categories, t.posts, t.comments, AS_OF, 30)
+
+
+@query("category_growth_literal")
+def _q(spark, d):
+    t = _t(spark, d)
+    return ts.category_growth(t.categories, t.posts, t.comments, AS_OF, 30, "literal")
+
+
+# ------------------------------------------------------------ H (hierarchies)
+
+
+@query("category_ancestors")
+def _q(spark, d):
+    return hier.ancestors(_t(spark, d).categories, 3005)
+
+
+@query("category_descendants")
+def _q(spark, d):
+    return hier.descendants(_t(spark, d).categories, 1001)
+
+
+@query("category_depths")
+def _q(spark, d):
+    return hier.depth_stats(_t(spark, d).categories)
+
+
+@query("comment_thread_depths")
+def _q(spark, d):
+    return hier.depths(_t(spark, d).comments.select("id", "parent_id")).groupBy("depth").agg(
+        F.count(F.lit(1)).alias("comment_count")
+    )
+
+
+# ------------------------------------------------------------ T (top-k)
+
+
+@query("most_viewed")
+def _q(spark, d):
+    return flat(pst.most_viewed_posts(_t(spark, d).posts, 10))
+
+
+@query("most_liked")
+def _q(spark, d):
+    return flat(pst.most_liked_posts(_t(spark, d).posts, 10))
+
+
+@query("top_commenters")
+def _q(spark, d):
+    return com.top_commenters(_t(spark, d).comments, 10)
+
+
+@query("top_commented")
+def _q(spark, d):
+    return com.top_commented_posts(_t(spark, d).comments, 10)
+
+
+@query("most_liked_comments")
+def _q(spark, d):
+    return com.most_liked_comments(_t(spark, d).comments, 10)
+
+
+@query("most_replied_comments")
+def _q(spark, d):
+    return com.most_replied_comments(_t(spark, d).comments, 10)
+
+
+# ------------------------------------------------------------ R (reports)
+
+
+@query("post_overview")
+def _q(spark, d):
+    t = _t(spark, d)
+    return rep.post_overview(t)["totals"]
+
+
+@query("category_overview")
+def _q(spark, d):
+    t = _t(spark, d)
+    return rep.category_overview(t)["totals"]
+
+
+@query("comment_overview")
+def _q(spark, d):
+    return rep.comment_overview(_t(spark, d))["totals"]
+
+
+@query("list_categories_roots")
+def _q(spark, d):
+    t = _t(spark, d)
+    return rep.list_categories(t.categories, t.posts, None, 1, 10)["items"]
+
+
+@query("list_categories_children")
+def _q(spark, d):
+    t = _t(spark, d)
+    return rep.list_categories(t.categories, t.posts, 2007, 1, 10)["items"]
+
+
+@query("list_comments_roots")
+def _q(spark, d):
+    return rep.list_comments(_t(spark, d).comments, 7, None, 1, 10)["items"]
+
+
+# ------------------------------------------------------------ V / W (changes)
+
+
+@query("like_count_drift")
+def _q(spark, d):
+    t = _t(spark, d)
+    return com.like_count_drift(t.comments, t.comment_likes)
+
+
+@query("invalid_likes")
+def _q(spark, d):
+    t = _t(spark, d)
+    v = qa.validate_like_requests(likes_raw_view(spark, d), t.users, t.comments)
+    return flat(v)
+
+
+@query("user_audit")
+def _q(spark, d):
+    t = _t(spark, d)
+    batch = t.users.select("id", "email", "username")
+    return flat(qa.validate_users(batch, t.users.where(F.lit(False)), order="id").select("id", "reasons"))
+
+
+@query("category_audit")
+def _q(spark, d):
+    t = _t(spark, d)
+    batch = t.categories.select("id", "name", "slug", "parent_id", F.col("id").alias("seq"))
+    v = qa.validate_categories(batch, t.categories.where(F.lit(False)))
+    return flat(v.select("id", "reasons"))
+
+
+@query("post_audit")
+def _q(spark, d):
+    t = _t(spark, d)
+    v = qa.validate_posts(t.posts.drop("tags"), t.users, t.categories)
+    return flat(v.select("id", "reasons"))
+
+
+@query("comment_audit")
+def _q(spark, d):
+    t = _t(spark, d)
+    v = qa.validate_comments(t.comments, t.posts, t.comments)
+    return flat(v.select("id", "reasons"))
+
+
+@query("like_events_final_state")
+def _q(spark, d):
+    t = _t(spark, d)
+    log = like_log_view(spark, d, t.users, t.comments)
+    return chg.like_event_outcomes(t.comment_likes, log)
+
+
+@query("comment_like_counter_replay")
+def _q(spark, d):
+    t = _t(spark, d)
+    log = like_log_view(spark, d, t.users, t.comments)
+    deltas = log.select(
+        F.col("comment_id").alias("id"), "ts", "event_id",
+        F.when(F.col("action") == "like", 1).otherwise(-1).alias("delta"),
+    )
+    return chg.counter_after_deltas(t.comments, deltas, "like_count", ("ts", "event_id"))
+
+
+@query("cascade_delete_counts")
+def _q(spark, d):
+    t = _t(spark, d)
+    ids = t.users.where(F.col("id") == 3).select("id")
+    _, counts = chg.cascade_delete(t, "users", ids)
+    return counts

@@ -167,3 +167,23 @@ def content_tables(spark: SparkSession, sf_dir: str) -> ContentTables:
         comments=comments,
         comment_likes=comment_likes_view(likes_raw_view(spark, sf_dir), users, comments),
     )
+
+
+def like_log_view(
+    spark: SparkSession, sf_dir: str, users: DataFrame | None = None, comments: DataFrame | None = None
+) -> DataFrame:
+    """Like/unlike events from the like log: every third line item of an
+    order is an unlike.  With ``users``/``comments`` only FK-valid events
+    are kept (requests on missing rows never reach the table)."""
+    log = _read(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("user_id"),
+        F.col("l_orderkey").alias("comment_id"),
+        F.col("l_shipdate").alias("ts"),
+        F.col("l_linenumber").cast("bigint").alias("event_id"),
+        F.when(F.col("l_linenumber") % 3 == 0, "unlike").otherwise("like").alias("action"),
+    )
+    if users is not None:
+        log = log.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    if comments is not None:
+        log = log.join(comments.select(F.col("id").alias("comment_id")), "comment_id", "left_semi")
+    return log
