@@ -157,16 +157,31 @@ def comment_likes_view(likes_raw: DataFrame, users: DataFrame, comments: DataFra
     )
 
 
+_BUILT: dict[tuple[int, str], tuple[SparkSession, ContentTables]] = {}
+
+
 def content_tables(spark: SparkSession, sf_dir: str) -> ContentTables:
+    """The five content tables over ``sf_dir`` (lazy DataFrames).
+
+    The plans are built once per session and folder and then reused: each
+    view costs hundreds of JVM round trips to construct, while reusing a
+    lazy DataFrame costs nothing and re-reads the files on every action.
+    """
+    key = (id(spark), sf_dir)
+    hit = _BUILT.get(key)
+    if hit is not None and hit[0] is spark and not spark.sparkContext._jsc.sc().isStopped():
+        return hit[1]
     users = users_view(spark, sf_dir)
     comments = comments_view(spark, sf_dir)
-    return ContentTables(
+    tables = ContentTables(
         users=users,
         categories=categories_view(spark, sf_dir),
         posts=posts_view(spark, sf_dir),
         comments=comments,
         comment_likes=comment_likes_view(likes_raw_view(spark, sf_dir), users, comments),
     )
+    _BUILT[key] = (spark, tables)
+    return tables
 
 
 def like_log_view(
