@@ -82,9 +82,22 @@ def validate_categories(batch: DataFrame, categories: DataFrame, order: str = "s
     parent must exist (in the table or the batch), and no change may put a
     category on a parent cycle."""
     b = batch if "description" in batch.columns else batch.withColumn("description", F.lit(None).cast("string"))
-    others = categories.select("id", "slug").join(batch.select("id"), "id", "left_anti")
-    b = _exists(b, F.col("slug"), others, "slug", "__slug_taken")
-    b = _first_in_batch(b, "slug", order, "__slug_dup")
+    # Taken: another category holds the slug now, or an earlier batch row
+    # for another category claimed it (and that claim was not blocked).
+    owners = categories.groupBy("slug").agg(F.min("id").alias("__o_min"), F.max("id").alias("__o_max"))
+    b = b.join(owners, "slug", "left").withColumn(
+        "__slug_taken",
+        F.coalesce((F.col("__o_min") != F.col("id")) | (F.col("__o_max") != F.col("id")), F.lit(False)),
+    )
+    claims = (
+        b.where(~F.col("__slug_taken") & F.col("slug").isNotNull())
+        .groupBy("slug")
+        .agg(F.min_by("id", F.struct(order, "id")).alias("__c_id"), F.min(order).alias("__c_seq"))
+    )
+    b = b.join(claims, "slug", "left").withColumn(
+        "__slug_dup",
+        F.coalesce((F.col(order) >= F.col("__c_seq")) & (F.col("__c_id") != F.col("id")), F.lit(False)),
+    )
     known = categories.select("id").unionByName(batch.select("id"))
     b = _exists(b, F.col("parent_id"), known, "id", "__parent_found")
     cyc = reparent_conflicts(categories, batch.select("id", "parent_id"))
