@@ -228,6 +228,17 @@ def category_delete_rejects(categories: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").join(parents, "id", "left_semi").withColumn("reason", F.lit("has_children"))
 
 
+def _flagged(df: DataFrame, refs: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Rows of ``df`` whose column matches any of the id sets: one scan of
+    ``df`` and one key-unique left join per set (an OR of semi joins)."""
+    hit = F.lit(False)
+    for i, (col, ids) in enumerate(refs):
+        flag = f"__hit{i}"
+        df = df.join(ids.select(F.col("id").alias(col), F.lit(True).alias(flag)).distinct(), col, "left")
+        hit = hit | F.coalesce(F.col(flag), F.lit(False))
+    return df.where(hit).drop(*[f"__hit{i}" for i in range(len(refs))])
+
+
 def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[ContentTables, DataFrame]:
     """Delete rows by id with the model's referential actions.
 
@@ -244,9 +255,11 @@ def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[C
     if table == "users":
         del_users = t.users.select("id").join(ids, "id", "left_semi")
         del_posts = t.posts.join(del_users.select(F.col("id").alias("author_id")), "author_id", "left_semi").select("id")
-        by_author = t.comments.join(del_users.select(F.col("id").alias("author_id")), "author_id", "left_semi")
-        on_posts = t.comments.join(del_posts.select(F.col("id").alias("post_id")), "post_id", "left_semi")
-        del_comment_seeds = by_author.select("id").unionByName(on_posts.select("id")).distinct()
+        # one pass over comments: by a deleted author or on a deleted post
+        del_comment_seeds = _flagged(
+            t.comments.select("id", "author_id", "post_id"),
+            [("author_id", del_users), ("post_id", del_posts)],
+        ).select("id")
     elif table == "posts":
         del_posts = t.posts.select("id").join(ids, "id", "left_semi")
         del_comment_seeds = t.comments.join(
@@ -260,11 +273,9 @@ def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[C
         raise ValueError(f"cascade delete from {table!r} is not defined")
 
     del_comments = subtree(t.comments, del_comment_seeds)
-    likes_gone = t.comment_likes.join(
-        del_users.select(F.col("id").alias("user_id")), "user_id", "left_semi"
-    ).unionByName(
-        t.comment_likes.join(del_comments.select(F.col("id").alias("comment_id")), "comment_id", "left_semi")
-    ).select("user_id", "comment_id").distinct()
+    likes_gone = _flagged(
+        t.comment_likes.select("user_id", "comment_id"), [("user_id", del_users), ("comment_id", del_comments)]
+    )
 
     users = t.users.join(del_users, "id", "left_anti")
     posts = t.posts.join(del_posts, "id", "left_anti")
