@@ -2,10 +2,11 @@
 
 The transitive closure is an iterative frontier join: each level joins the
 frontier to the edge list, removes pairs already found (left anti join), and
-stops when a level adds nothing.  The loop runs one small action per level
-(the frontier emptiness check), never collects rows, and terminates on
-cycles.  Lineage is cut every few levels with a reliable checkpoint in the
-session's shared checkpoint folder.
+stops when a level adds nothing.  Each level is
+materialised by one reliable checkpoint in the session's shared checkpoint
+folder (which also cuts the lineage), the loop stops when a level is empty,
+never collects rows, and terminates on cycles.  The result is a union of
+checkpointed levels, so it does not depend on executor-local state.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ def _edges(nodes: DataFrame, direction: str, id_col: str, parent_col: str) -> Da
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the session's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -48,33 +50,39 @@ def closure(
     ``seeds`` is a one-column DataFrame of start ids (default: every node).
     A node on a cycle reaches itself, giving a (x, x) pair; each pair is
     reported once, at its shortest depth.
+
+    Each level is written once with a reliable checkpoint (the job that
+    computes it), and the emptiness check reads the checkpoint files.  The
+    result is a union of checkpointed levels, so it depends on no cache; the
+    edge list is cached only while the loop runs.
     """
-    edges = _edges(nodes, direction, id_col, parent_col)
-    if seeds is None:
-        seeds = nodes.select(F.col(id_col).alias("seed"))
-    else:
-        seeds = seeds.select(F.col(seeds.columns[0]).alias("seed"))
-    frontier = (
-        seeds.distinct()
-        .join(edges, F.col("seed") == F.col("src"))
-        .select("seed", F.col("dst").alias("node"), F.lit(1).alias("depth"))
-    )
-    frontier = _cut(frontier)
-    found = frontier
-    level = 1
-    while level < MAX_LEVELS and not frontier.isEmpty():
-        level += 1
-        step = (
-            frontier.join(edges, F.col("node") == F.col("src"))
-            .select("seed", F.col("dst").alias("node"), F.lit(level).alias("depth"))
-            .distinct()
-            .join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+    edges = _edges(nodes, direction, id_col, parent_col).persist()
+    try:
+        if seeds is None:
+            seeds = nodes.select(F.col(id_col).alias("seed"))
+        else:
+            seeds = seeds.select(F.col(seeds.columns[0]).alias("seed"))
+        frontier = _cut(
+            seeds.distinct()
+            .join(edges, F.col("seed") == F.col("src"))
+            .select("seed", F.col("dst").alias("node"), F.lit(1).alias("depth"))
         )
-        frontier = _cut(step)
-        found = found.unionByName(frontier)
-        if level % CHECKPOINT_EVERY == 0:
-            found = _cut(found)
-    return found
+        found = frontier
+        level = 1
+        while level < MAX_LEVELS and not frontier.isEmpty():
+            level += 1
+            frontier = _cut(
+                frontier.join(edges, F.col("node") == F.col("src"))
+                .select("seed", F.col("dst").alias("node"), F.lit(level).alias("depth"))
+                .distinct()
+                .join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+            )
+            found = found.unionByName(frontier)
+            if level % CHECKPOINT_EVERY == 0:
+                found = _cut(found)
+        return found
+    finally:
+        edges.unpersist()
 
 
 def ancestors(categories: DataFrame, category_id) -> DataFrame:
@@ -98,28 +106,30 @@ def depths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id")
     the level-by-level walk needs no visited set; nodes on parent cycles are
     never reached and are left out, as in the reference.
     """
-    children = nodes.where(F.col(parent_col).isNotNull()).select(
-        F.col(id_col).alias("child"), F.col(parent_col).alias("parent")
+    children = (
+        nodes.where(F.col(parent_col).isNotNull())
+        .select(F.col(id_col).alias("child"), F.col(parent_col).alias("parent"))
+        .persist()
     )
-    level_df = _cut(nodes.where(F.col(parent_col).isNull()).select(F.col(id_col).alias("id"), F.lit(0).alias("depth")))
-    levels = [level_df]
-    level = 0
-    while level < MAX_LEVELS:
-        level += 1
-        nxt = level_df.join(children, F.col("id") == F.col("parent")).select(
-            F.col("child").alias("id"), F.lit(level).alias("depth")
+    try:
+        level_df = _cut(
+            nodes.where(F.col(parent_col).isNull()).select(F.col(id_col).alias("id"), F.lit(0).alias("depth"))
         )
-        nxt = _cut(nxt)
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        level_df = nxt
-    out = levels[0]
-    for i, df in enumerate(levels[1:], start=1):
-        out = out.unionByName(df)
-        if i % CHECKPOINT_EVERY == 0:
-            out = _cut(out)
-    return out
+        out = level_df
+        level = 0
+        while level < MAX_LEVELS and not level_df.isEmpty():
+            level += 1
+            level_df = _cut(
+                level_df.join(children, F.col("id") == F.col("parent")).select(
+                    F.col("child").alias("id"), F.lit(level).alias("depth")
+                )
+            )
+            out = out.unionByName(level_df)
+            if level % CHECKPOINT_EVERY == 0:
+                out = _cut(out)
+        return out
+    finally:
+        children.unpersist()
 
 
 def depth_stats(categories: DataFrame) -> DataFrame:
