@@ -459,3 +459,144 @@ def _q(spark, d):
     ids = t.users.where(F.col("id") == 3).select("id")
     _, counts = chg.cascade_delete(t, "users", ids)
     return counts
+
+
+# ------------------------------------------------------------ more lookups
+
+
+@query("posts_lookup_bulk")
+def _q(spark, d):
+    t = _t(spark, d)
+    return flat(flt.lookup(t.posts, t.comments.select(F.col("post_id").alias("id"))))
+
+
+@query("category_by_slug")
+def _q(spark, d):
+    return flt.by_slug(_t(spark, d).categories, "nation-7")
+
+
+@query("user_by_email")
+def _q(spark, d):
+    return flt.by_email(_t(spark, d).users, "user42@example.org")
+
+
+@query("user_by_username")
+def _q(spark, d):
+    return flt.by_username(_t(spark, d).users, "Customer#000000042")
+
+
+@query("like_by_pair")
+def _q(spark, d):
+    return flt.like_by_user_and_comment(_t(spark, d).comment_likes, 459, 0)
+
+
+@query("category_children")
+def _q(spark, d):
+    return flt.children(_t(spark, d).categories, 1001)
+
+
+@query("root_categories")
+def _q(spark, d):
+    return flt.root_categories(_t(spark, d).categories)
+
+
+@query("list_comments_replies")
+def _q(spark, d):
+    return rep.list_comments(_t(spark, d).comments, 7, 8, 1, 10)["items"]
+
+
+@query("post_visibility_bulk")
+def _q(spark, d):
+    """F22 in bulk: may each commenter see the post they commented on?"""
+    t = _t(spark, d)
+    req = t.comments.select(
+        F.col("id").alias("request_id"), F.col("author_id").alias("viewer_id"), "post_id"
+    ).join(t.users.select(F.col("id").alias("viewer_id"), F.col("role").alias("viewer_role")), "viewer_id", "left")
+    return flt.visibility_of_requests(t.posts, req)
+
+
+# ------------------------------------------------------------ full tables
+
+
+@query("tag_counts")
+def _q(spark, d):
+    return pst.tag_counts(_t(spark, d).posts)
+
+
+@query("category_stats_literal")
+def _q(spark, d):
+    t = _t(spark, d)
+    return cat.category_stats(t.categories, t.posts, t.comments, "literal")
+
+
+@query("user_activity_literal")
+def _q(spark, d):
+    t = _t(spark, d)
+    return usr.user_activity(t.users, t.posts, t.comments, "literal")
+
+
+# ------------------------------------------------------------ more rules
+
+
+@query("comment_subtree")
+def _q(spark, d):
+    t = _t(spark, d)
+    seeds = t.comments.where(F.col("id") == 8).select("id")
+    return hier.subtree(t.comments, seeds)
+
+
+@query("reparent_regions_under_nations")
+def _q(spark, d):
+    """H4: moving each region under its first nation must be refused."""
+    t = _t(spark, d)
+    changes = (
+        t.categories.where(F.col("parent_id").isNotNull())
+        .groupBy(F.col("parent_id").alias("id"))
+        .agg(F.min("id").alias("parent_id"))
+        .where(F.col("id") < 2000)
+    )
+    return hier.reparent_conflicts(t.categories, changes)
+
+
+@query("category_delete_rejects")
+def _q(spark, d):
+    t = _t(spark, d)
+    return chg.category_delete_rejects(t.categories, t.categories.select("id"))
+
+
+@query("unlike_requests")
+def _q(spark, d):
+    t = _t(spark, d)
+    log = like_log_view(spark, d, t.users, t.comments)
+    pairs = log.where(F.col("action") == "unlike").select("user_id", "comment_id").distinct()
+    _, report = chg.delete_likes(t.comment_likes, pairs)
+    return report
+
+
+@query("publish_drafts_of_author")
+def _q(spark, d):
+    t = _t(spark, d)
+    drafts = t.posts.where((F.col("author_id") == 7) & (F.col("status") == "draft")).select("id")
+    out = chg.set_status(t.posts, drafts, "published", "2024-02-01 00:00:00")
+    return flat(out.where(F.col("author_id") == 7))
+
+
+@query("reconcile_like_counts")
+def _q(spark, d):
+    t = _t(spark, d)
+    return com.reconcile_like_counts(t.comments, t.comment_likes).select("id", "like_count")
+
+
+@query("insert_comment_replies")
+def _q(spark, d):
+    """Every root comment on post 7 gets an auto reply; defaults fill the rest."""
+    t = _t(spark, d)
+    new = t.comments.where((F.col("post_id") == 7) & F.col("parent_id").isNull()).select(
+        (F.col("id") + 1_000_000_000).alias("id"),
+        F.lit("thanks").alias("content"),
+        F.lit(0).cast("bigint").alias("author_id"),
+        "post_id",
+        F.col("id").alias("parent_id"),
+    )
+    out = chg.insert_rows(t.comments, new, "comments", "2024-02-01 00:00:00")
+    return out.where(F.col("post_id") == 7)
