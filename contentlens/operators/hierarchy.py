@@ -99,13 +99,66 @@ def descendants(categories: DataFrame, category_id) -> DataFrame:
     return categories.join(pairs.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
 
 
-def depths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+def depths(
+    nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", method: str = "doubling"
+) -> DataFrame:
     """(id, depth) of every node reachable from a root (depth 0 = root).
 
-    With one parent per node, every reachable node is met exactly once, so
-    the level-by-level walk needs no visited set; nodes on parent cycles are
-    never reached and are left out, as in the reference.
+    Nodes under a missing parent or on a parent cycle are left out, as in
+    the reference's recursive query.
+
+    ``method="doubling"`` (default) uses pointer jumping: every node keeps a
+    pointer to an ancestor and the distance to it, and each round replaces
+    the pointer by the pointer's pointer, so a chain of depth D resolves in
+    about log2(D) rounds (one job and one checkpoint each) instead of D.
+    ``method="levels"`` walks one level per round from the roots.
     """
+    if method == "levels":
+        return _depths_by_level(nodes, id_col, parent_col)
+    if method != "doubling":
+        raise ValueError("method must be 'doubling' or 'levels'")
+    # state: id, anc (NULL once the pointer reached past a root), dist to anc
+    # (or to the root when anc is NULL), ok (false = dead end / unreachable)
+    state = _cut(
+        nodes.select(
+            F.col(id_col).alias("id"),
+            F.col(parent_col).alias("anc"),
+            F.when(F.col(parent_col).isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
+            F.lit(True).alias("ok"),
+        )
+    )
+    # An acyclic pointer never spans more than the node count; a longer one
+    # is on (or hangs under) a parent cycle and is retired as unreachable.
+    n_nodes = state.count()
+    rounds = 0
+    while rounds < MAX_LEVELS:
+        active = state.where(F.col("anc").isNotNull() & F.col("ok"))
+        if active.isEmpty():
+            break
+        rounds += 1
+        target = state.select(
+            F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"),
+            F.col("ok").alias("t_ok"),
+        )
+        moved = active.join(target, F.col("anc") == F.col("t_id"), "left").select(
+            "id",
+            F.col("t_anc").alias("anc"),
+            (F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint"))).alias("dist"),
+            # a pointer to a missing node is a dead end
+            (
+                F.col("t_id").isNotNull()
+                & F.coalesce("t_ok", F.lit(False))
+                & (F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint")) <= F.lit(n_nodes))
+            ).alias("ok"),
+        )
+        resting = state.where(F.col("anc").isNull() | ~F.col("ok"))
+        state = _cut(resting.unionByName(moved))
+    return state.where(F.col("anc").isNull() & F.col("ok")).select(
+        "id", F.col("dist").cast("int").alias("depth")
+    )
+
+
+def _depths_by_level(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     children = (
         nodes.where(F.col(parent_col).isNotNull())
         .select(F.col(id_col).alias("child"), F.col(parent_col).alias("parent"))

@@ -68,3 +68,19 @@ def test_random_forest_closure_matches_walk(spark, parents):
     parent = {i: p for i, p in edges if p is not None}
     want = sorted((x, a, d) for x, _ in edges for a, d in walk_up(parent, x).items())
     assert closure_pairs(spark, edges, "up") == want
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.integers(0, 14)), min_size=1, max_size=14))
+def test_doubling_depths_match_levels(spark, parents):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(parents)], NODES)
+    a = sorted(tuple(r) for r in hier.depths(df).collect())
+    b = sorted(tuple(r) for r in hier.depths(df, method="levels").collect())
+    assert a == b
+
+
+def test_doubling_long_chain(spark):
+    n = 300
+    df = spark.createDataFrame([(0, None)] + [(i, i - 1) for i in range(1, n)] + [(n, n + 1), (n + 1, n)], NODES)
+    got = dict((r["id"], r["depth"]) for r in hier.depths(df).collect())
+    assert got == {i: i for i in range(n)}  # the 2-cycle at the end is left out
