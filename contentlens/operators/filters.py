@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contentlens.functions.columns import tag_contains, title_matches
 from contentlens.functions.visibility import Viewer, visible_in_listing, visible_single
-from contentlens.schema import PAGE_SIZE_DEFAULT, PAGE_SIZE_MAX, STATUS_PUBLISHED
+from contentlens.schema import PAGE_SIZE_DEFAULT, PAGE_SIZE_MAX, RESPONSE_COLUMNS, STATUS_PUBLISHED
 
 # Key lists up to this length become an IN predicate that reaches the Parquet
 # scan; longer lists (or key DataFrames) become a semi join.
@@ -107,6 +107,13 @@ def page_info(df: DataFrame, page: int = 1, size: int = PAGE_SIZE_DEFAULT) -> Da
     )
 
 
+def respond(df: DataFrame, shape: str) -> DataFrame:
+    """Project ``df`` to a response shape (columns the frame lacks are
+    skipped, so fixture tables without optional columns still work)."""
+    have = set(df.columns)
+    return df.select(*[F.col(f"`{c}`") for c in RESPONSE_COLUMNS[shape] if c in have])
+
+
 # ---------------------------------------------------------------- F5-F20
 
 

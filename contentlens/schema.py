@@ -108,3 +108,20 @@ TABLE_SCHEMAS = {
     "comments": COMMENTS,
     "comment_likes": COMMENT_LIKES,
 }
+
+# Columns of each response shape (listing items), in output order.
+RESPONSE_COLUMNS = {
+    "post": (
+        "id", "title", "content", "excerpt", "featured_image", "tags", "category_id", "is_featured",
+        "allow_comments", "author_id", "status", "view_count", "like_count", "created_at", "updated_at",
+    ),
+    "category": (
+        "id", "name", "slug", "description", "parent_id", "order", "created_at", "updated_at", "post_count",
+    ),
+    "comment": (
+        "id", "content", "parent_id", "post_id", "author_id", "created_at", "updated_at", "is_edited",
+        "like_count", "reply_count",
+    ),
+    "user": ("id", "email", "username", "full_name", "bio", "avatar_url", "role", "is_active", "is_verified",
+             "created_at", "updated_at"),
+}

@@ -67,3 +67,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+# Target bytes per shuffle / scan partition: large enough to amortise task
+# overhead, small enough to sort and aggregate in an executor slot without
+# heavy spilling.
+TARGET_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int) -> dict[str, str]:
+    """Settings that scale with the data, for a cluster session.
+
+    Shuffle partitions follow the input size (at least two waves of tasks
+    over all cores); AQE then coalesces small partitions and splits skewed
+    ones at run time.  Example: 100 TB on 1000 executors x 8 cores gives
+    400k initial shuffle partitions of ~256 MB.
+    """
+    cores = max(1, executors * cores_per_executor)
+    partitions = max(2 * cores, -(-int(input_bytes) // TARGET_PARTITION_BYTES))
+    return {
+        **BASE_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TARGET_PARTITION_BYTES // 2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(TARGET_PARTITION_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        # broadcast only what is measured to be small
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }

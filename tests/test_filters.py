@@ -91,3 +91,16 @@ def test_page_order_and_info(t):
         flt.page(t.posts, 0, 10)
     with pytest.raises(ValueError):
         flt.page(t.posts, 1, 101)
+
+
+def test_respond_projection(t):
+    out = flt.respond(t.posts, "post")
+    assert out.columns[:3] == ["id", "title", "content"] and "excerpt" not in out.columns
+
+
+def test_cluster_conf_scales_with_input():
+    from contentlens.session import cluster_conf
+
+    c = cluster_conf(100 * 1024**4, 1000, 8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(cluster_conf(10 * 1024**2, 10, 4)["spark.sql.shuffle.partitions"]) == 80
