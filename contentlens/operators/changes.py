@@ -156,20 +156,37 @@ def like_event_outcomes(likes: DataFrame, events: DataFrame, order: tuple[str, .
 
 
 def apply_like_events(likes: DataFrame, events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """The like table after the events (stored pairs without events
-    are kept; a pair whose final state is 'liked' is present)."""
+    """The like table after the events.
+
+    Pairs without events are kept.  A pair whose final state is liked keeps
+    its stored row if no unlike event touched it; otherwise its row was
+    (re)inserted by the first like after its last unlike, whose ``ts`` becomes
+    ``created_at``.  All per-pair facts are grouped aggregates.
+    """
     key = ["user_id", "comment_id"]
     out = like_event_outcomes(likes, events, order)
     untouched = likes.join(out.select(*key), key, "left_anti")
-    first_like = (
-        events.where(F.col("action") == "like").groupBy(*key).agg(F.min("ts").alias("created_at"))
+    pos = F.struct(*order)
+    last_unlike = events.where(F.col("action") == "unlike").groupBy(*key).agg(F.max(pos).alias("__u"))
+    since = (
+        events.where(F.col("action") == "like")
+        .join(last_unlike, key, "left")
+        .where(F.col("__u").isNull() | (pos > F.col("__u")))
+        .groupBy(*key)
+        .agg(F.min("ts").alias("__since"), F.max(F.col("__u").isNotNull()).alias("__relinked"))
     )
     added = (
         out.where("liked")
         .select(*key)
-        .join(likes.select(*key, "created_at"), key, "left")
-        .join(first_like.withColumnRenamed("created_at", "__first"), key, "left")
-        .select(*key, F.coalesce("created_at", "__first").alias("created_at"))
+        .join(likes.select(*key, F.col("created_at").alias("__stored_at")), key, "left")
+        .join(since, key, "left")
+        .select(
+            *key,
+            F.when(F.col("__relinked"), F.col("__since"))
+            .otherwise(F.coalesce("__stored_at", "__since"))
+            .cast(likes.schema["created_at"].dataType)
+            .alias("created_at"),
+        )
     )
     return untouched.unionByName(added)
 

@@ -600,3 +600,11 @@ def _q(spark, d):
     )
     out = chg.insert_rows(t.comments, new, "comments", "2024-02-01 00:00:00")
     return out.where(F.col("post_id") == 7)
+
+
+@query("likes_after_log")
+def _q(spark, d):
+    """The like table after replaying the like/unlike log."""
+    t = _t(spark, d)
+    log = like_log_view(spark, d, t.users, t.comments)
+    return chg.apply_like_events(t.comment_likes, log)

@@ -165,3 +165,21 @@ def test_like_count_drift_and_reconcile(spark):
     assert drift == {1: -1, 2: -1, 4: -1, 5: -1}  # stored counts are 0, each has one like
     fixed = {r["id"]: r["like_count"] for r in com.reconcile_like_counts(t.comments, t.comment_likes).collect()}
     assert fixed == {1: 1, 2: 1, 3: 0, 4: 1, 5: 1}
+
+
+def test_apply_like_events_created_at(spark):
+    likes = spark.createDataFrame(
+        [(1, 1, D(2023, 1, 1)), (2, 2, D(2023, 1, 1)), (3, 3, D(2023, 1, 1))],
+        "user_id long, comment_id long, created_at timestamp_ntz",
+    )
+    ev = [
+        (1, D(2024, 1, 2), 1, 1, "unlike"), (2, D(2024, 1, 3), 1, 1, "like"),   # re-inserted at Jan 3
+        (3, D(2024, 1, 5), 2, 2, "like"),                                        # rejected: stays 2023
+        (4, D(2024, 1, 1), 4, 4, "like"), (5, D(2024, 1, 2), 4, 4, "like"),      # new at Jan 1
+        (6, D(2024, 1, 1), 3, 3, "unlike"),                                      # removed
+        (7, D(2024, 1, 1), 5, 5, "like"), (8, D(2024, 1, 2), 5, 5, "unlike"),
+        (9, D(2024, 1, 4), 5, 5, "unlike"), (10, D(2024, 1, 6), 5, 5, "like"),   # new at Jan 6
+    ]
+    nxt = chg.apply_like_events(likes, spark.createDataFrame(ev, EVENTS))
+    got = {(r["user_id"], r["comment_id"]): r["created_at"] for r in nxt.collect()}
+    assert got == {(1, 1): D(2024, 1, 3), (2, 2): D(2023, 1, 1), (4, 4): D(2024, 1, 1), (5, 5): D(2024, 1, 6)}
