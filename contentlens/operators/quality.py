@@ -37,9 +37,15 @@ def _len_outside(col: str, lo: int | None, hi: int | None, required: bool = True
     return bad
 
 
-def _exists(df: DataFrame, key_expr: Column, keys: DataFrame, key_col: str, flag: str) -> DataFrame:
-    """Left-join a distinct key projection; adds boolean ``flag``."""
-    right = keys.select(F.col(key_col).alias(f"__{flag}")).distinct().withColumn(flag, F.lit(True))
+def _exists(
+    df: DataFrame, key_expr: Column, keys: DataFrame, key_col: str, flag: str, unique: bool = False
+) -> DataFrame:
+    """Left-join a key projection; adds boolean ``flag``.  ``unique`` marks
+    a primary key, which needs no de-duplication (and no extra shuffle)."""
+    right = keys.select(F.col(key_col).alias(f"__{flag}"))
+    if not unique:
+        right = right.distinct()
+    right = right.withColumn(flag, F.lit(True))
     out = df.join(right, key_expr == F.col(f"__{flag}"), "left").drop(f"__{flag}")
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
@@ -101,7 +107,7 @@ def validate_categories(batch: DataFrame, categories: DataFrame, order: str = "s
     known = categories.select("id").unionByName(batch.select("id"))
     b = _exists(b, F.col("parent_id"), known, "id", "__parent_found")
     cyc = reparent_conflicts(categories, batch.select("id", "parent_id"))
-    b = _exists(b, F.col("id"), cyc, "id", "__cycle")
+    b = _exists(b, F.col("id"), cyc, "id", "__cycle", unique=True)
     slug_bad = _len_outside("slug", *S.CATEGORY_SLUG_LEN) | ~F.coalesce(
         F.col("slug").rlike(S.SLUG_PATTERN), F.lit(False)
     )
@@ -119,8 +125,8 @@ def validate_categories(batch: DataFrame, categories: DataFrame, order: str = "s
 def validate_posts(batch: DataFrame, users: DataFrame, categories: DataFrame) -> DataFrame:
     """V3: title, content, excerpt, status; author and category exist."""
     b = batch if "excerpt" in batch.columns else batch.withColumn("excerpt", F.lit(None).cast("string"))
-    b = _exists(b, F.col("author_id"), users, "id", "__author_found")
-    b = _exists(b, F.col("category_id"), categories, "id", "__category_found")
+    b = _exists(b, F.col("author_id"), users, "id", "__author_found", unique=True)
+    b = _exists(b, F.col("category_id"), categories, "id", "__category_found", unique=True)
     reasons = _reasons(
         _reason(_len_outside("title", *S.POST_TITLE_LEN), "title_length"),
         _reason(_len_outside("content", 1, None), "content_empty"),
@@ -169,8 +175,8 @@ def validate_like_requests(requests: DataFrame, users: DataFrame, comments: Data
     g = requests.groupBy("user_id", "comment_id", "created_at").agg(F.count(F.lit(1)).alias("n"))
     first = g.groupBy("user_id", "comment_id").agg(F.min("created_at").alias("__first"))
     g = g.join(first, ["user_id", "comment_id"])
-    g = _exists(g, F.col("comment_id"), comments, "id", "__comment_found")
-    g = _exists(g, F.col("user_id"), users, "id", "__user_found")
+    g = _exists(g, F.col("comment_id"), comments, "id", "__comment_found", unique=True)
+    g = _exists(g, F.col("user_id"), users, "id", "__user_found", unique=True)
     if likes is not None:
         stored = likes.select("user_id", "comment_id").distinct().withColumn("__stored", F.lit(True))
         g = g.join(stored, ["user_id", "comment_id"], "left")
