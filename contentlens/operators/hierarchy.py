@@ -206,8 +206,84 @@ def reparent_conflicts(categories: DataFrame, changes: DataFrame) -> DataFrame:
     return cycle_members(graph, ch.select("id"))
 
 
+SHALLOW_LEVELS = 8
+
+
+def marked_by_ancestor(
+    nodes: DataFrame, marks: DataFrame, id_col: str = "id", parent_col: str = "parent_id"
+) -> DataFrame:
+    """Ids of nodes that are marked or have a marked node on their parent
+    path, by pointer jumping: each node keeps (pointer, hit) where ``hit``
+    says whether the path segment up to the pointer holds a mark; a round
+    replaces the pointer by the pointer's pointer and ORs the hits, so a
+    path of length D is covered in about log2(D) rounds."""
+    m = marks.select(F.col(marks.columns[0]).alias("__m"), F.lit(True).alias("__hit")).distinct()
+    base = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("anc"))
+    # marked ids that are not rows still count (as marked roots), like seeds
+    # of the level walk
+    extra = m.join(base, F.col("__m") == F.col("id"), "left_anti").select(
+        F.col("__m").cast(base.schema["id"].dataType).alias("id"),
+        F.lit(None).cast(base.schema["anc"].dataType).alias("anc"),
+    )
+    state = _cut(
+        base.unionByName(extra)
+        .join(m, F.col("id") == F.col("__m"), "left")
+        .select(
+            "id", "anc", F.lit(1).cast("bigint").alias("dist"),
+            F.coalesce("__hit", F.lit(False)).alias("hit"),
+        )
+    )
+    n_nodes = state.count()
+    rounds = 0
+    while rounds < MAX_LEVELS:
+        active = state.where(F.col("anc").isNotNull() & ~F.col("hit"))
+        if active.isEmpty():
+            break
+        rounds += 1
+        target = state.select(
+            F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"),
+            F.col("hit").alias("t_hit"),
+        )
+        moved = active.join(target, F.col("anc") == F.col("t_id"), "left").select(
+            "id",
+            # a missing parent or a pointer longer than any acyclic path ends the walk
+            F.when(
+                F.col("t_id").isNotNull() & (F.col("dist") + F.col("t_dist") <= F.lit(n_nodes)), F.col("t_anc")
+            ).alias("anc"),
+            (F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint"))).alias("dist"),
+            F.coalesce("t_hit", F.lit(False)).alias("hit"),
+        )
+        resting = state.where(F.col("anc").isNull() | F.col("hit"))
+        state = _cut(resting.unionByName(moved))
+    return state.where("hit").select("id")
+
+
 def subtree(nodes: DataFrame, seeds: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
-    """H5: seeds plus every transitive child (ids only, distinct)."""
-    s = seeds.select(F.col(seeds.columns[0]).alias("id"))
-    below = closure(nodes, "down", s, id_col, parent_col).select(F.col("node").alias("id"))
-    return s.unionByName(below).distinct()
+    """H5: seeds plus every transitive child (ids only, distinct).
+
+    Shallow trees are walked level by level (work proportional to the
+    subtree); when the walk is still going after ``SHALLOW_LEVELS`` levels
+    the rest is finished by :func:`marked_by_ancestor` in O(log depth)
+    rounds, so a long reply chain never costs one job per reply.
+    """
+    children = (
+        nodes.where(F.col(parent_col).isNotNull())
+        .select(F.col(id_col).alias("__child"), F.col(parent_col).alias("__parent"))
+        .persist()
+    )
+    try:
+        found = _cut(seeds.select(F.col(seeds.columns[0]).alias("id")).distinct())
+        frontier = found
+        for _ in range(SHALLOW_LEVELS):
+            frontier = _cut(
+                frontier.join(children, F.col("id") == F.col("__parent"))
+                .select(F.col("__child").alias("id"))
+                .distinct()
+                .join(found, "id", "left_anti")
+            )
+            if frontier.isEmpty():
+                return found
+            found = _cut(found.unionByName(frontier))
+        return marked_by_ancestor(nodes, found, id_col, parent_col)
+    finally:
+        children.unpersist()

@@ -84,3 +84,25 @@ def test_doubling_long_chain(spark):
     df = spark.createDataFrame([(0, None)] + [(i, i - 1) for i in range(1, n)] + [(n, n + 1), (n + 1, n)], NODES)
     got = dict((r["id"], r["depth"]) for r in hier.depths(df).collect())
     assert got == {i: i for i in range(n)}  # the 2-cycle at the end is left out
+
+
+def test_subtree_deep_chain_switches_to_doubling(spark):
+    n = 60  # deeper than SHALLOW_LEVELS
+    edges = [(0, None)] + [(i, i - 1) for i in range(1, n)] + [(100, None), (101, 100), (200, 201), (201, 200)]
+    df = spark.createDataFrame(edges, "id long, parent_id long")
+    seeds = spark.createDataFrame([(5,)], "id long")
+    assert sorted(r["id"] for r in hier.subtree(df, seeds).collect()) == list(range(5, n))
+    cyc_seed = spark.createDataFrame([(200,)], "id long")
+    assert sorted(r["id"] for r in hier.subtree(df, cyc_seed).collect()) == [200, 201]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.integers(0, 14)), min_size=1, max_size=14), st.sets(st.integers(0, 14), max_size=3))
+def test_marked_by_ancestor_matches_walk(spark, parents, marks):
+    edges = [(i, p) for i, p in enumerate(parents)]
+    parent = {i: p for i, p in edges if p is not None}
+    ids = {i for i, _ in edges} | set(marks)
+    want = sorted(x for x in ids if x in marks or any(a in marks for a in walk_up(parent, x)))
+    df = spark.createDataFrame(edges, NODES)
+    m = spark.createDataFrame([(x,) for x in marks], "id int")
+    assert sorted(r["id"] for r in hier.marked_by_ancestor(df, m).collect()) == want
