@@ -274,7 +274,7 @@ def subtree(nodes: DataFrame, seeds: DataFrame, id_col: str = "id", parent_col:
     try:
         found = _cut(seeds.select(F.col(seeds.columns[0]).alias("id")).distinct())
         frontier = found
-        for _ in range(SHALLOW_LEVELS):
+        for level in range(1, SHALLOW_LEVELS + 1):
             frontier = _cut(
                 frontier.join(children, F.col("id") == F.col("__parent"))
                 .select(F.col("__child").alias("id"))
@@ -283,7 +283,9 @@ def subtree(nodes: DataFrame, seeds: DataFrame, id_col: str = "id", parent_col:
             )
             if frontier.isEmpty():
                 return found
-            found = _cut(found.unionByName(frontier))
+            found = found.unionByName(frontier)
+            if level % CHECKPOINT_EVERY == 0:
+                found = _cut(found)
         return marked_by_ancestor(nodes, found, id_col, parent_col)
     finally:
         children.unpersist()
