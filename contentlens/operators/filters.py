@@ -96,6 +96,23 @@ def page(
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, after: tuple | None, size: int = PAGE_SIZE_DEFAULT) -> DataFrame:
+    """P1 by key: the ``size`` rows that follow ``after = (created_at, id)``
+    in page order (the first page when ``None``).
+
+    Same rows as :func:`page` for the page after the one ending at
+    ``after``, but every page costs a filter plus a top-``size``, however
+    deep the listing goes; OFFSET paging has to rank ``page * size`` rows.
+    """
+    check_page(1, size)
+    rows = df
+    if after is not None:
+        ts, key = after
+        at = F.lit(ts).cast(df.schema["created_at"].dataType)
+        rows = df.where((F.col("created_at") > at) | ((F.col("created_at") == at) & (F.col("id") > F.lit(key))))
+    return rows.orderBy(*PAGE_ORDER).limit(size)
+
+
 def page_info(df: DataFrame, page: int = 1, size: int = PAGE_SIZE_DEFAULT) -> DataFrame:
     """Paging envelope over the *unsliced* filtered rows."""
     check_page(page, size)

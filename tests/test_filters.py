@@ -104,3 +104,11 @@ def test_cluster_conf_scales_with_input():
     c = cluster_conf(100 * 1024**4, 1000, 8)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(cluster_conf(10 * 1024**2, 10, 4)["spark.sql.shuffle.partitions"]) == 80
+
+
+def test_page_after_matches_offset_pages(t):
+    first = flt.page_after(t.posts, None, 2).collect()
+    assert [r["id"] for r in first] == [1, 5]
+    last = first[-1]
+    second = flt.page_after(t.posts, (last["created_at"], last["id"]), 2)
+    assert [r["id"] for r in second.collect()] == [r["id"] for r in flt.page(t.posts, 2, 2).collect()]
