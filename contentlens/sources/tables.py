@@ -41,6 +41,13 @@ class ContentTables:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
+def register_views(tables: ContentTables, prefix: str = "") -> None:
+    """Expose the tables to ``spark.sql`` as temp views (``users``,
+    ``categories``, ``posts``, ``comments``, ``comment_likes``)."""
+    for name, df in tables.as_dict().items():
+        df.createOrReplaceTempView(f"{prefix}{name}")
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Select and cast ``df`` to the declared schema of ``table``.
 

@@ -8,6 +8,7 @@ from contentlens.operators import categories as cat
 from contentlens.operators import timeseries as ts
 from contentlens.operators import users as usr
 from contentlens.sources.fixtures import AS_OF, content_tables
+from contentlens.sources.tables import register_views
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,8 +16,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def t(spark):
     t = content_tables(spark, SF)
-    for name, df in t.as_dict().items():
-        df.createOrReplaceTempView(name)
+    register_views(t)
     return t
 
 
