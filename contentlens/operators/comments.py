@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentlens.functions.columns import coalesce0, round_ratio_half_up
+from contentlens.operators.posts import with_zero_row
 from contentlens.operators.preagg import likes_per_comment, replies_per_comment
 from contentlens.schema import TOP_K_DEFAULT
 
@@ -33,7 +34,7 @@ def comment_stats_by_author(users: DataFrame, comments: DataFrame, author_id=Non
         F.count("like_count").alias("n_likes"),
     )
     out = users.select("id").join(agg, "id", "left")
-    return out.select(
+    out = out.select(
         F.col("id").alias("author_id"),
         coalesce0("n").alias("total_comments"),
         coalesce0("total_replies").alias("total_replies"),
@@ -42,6 +43,12 @@ def comment_stats_by_author(users: DataFrame, comments: DataFrame, author_id=Non
             "average_likes_per_comment"
         ),
     )
+    if author_id is None:
+        return out
+    return with_zero_row(
+        out, "author_id", author_id,
+        ("total_comments", "total_replies", "total_likes_received", "average_likes_per_comment"),
+    )
 
 
 def comments_by_hour(comments: DataFrame) -> DataFrame:

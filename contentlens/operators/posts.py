@@ -57,13 +57,27 @@ def author_stats(users: DataFrame, posts: DataFrame, comments: DataFrame, author
         F.count_if(st == STATUS_ARCHIVED).alias("archived"),
     )
     out = users.select("id").join(agg, "id", "left")
-    return out.select(
+    out = out.select(
         F.col("id").alias("author_id"),
-        *[coalesce0(c).alias(c) for c in (
-            "total_posts", "total_views", "total_likes", "total_comments",
-            "drafts", "published", "archived",
-        )],
+        *[coalesce0(c).alias(c) for c in _A4_COLS],
     )
+    if author_id is None:
+        return out
+    return with_zero_row(out, "author_id", author_id, _A4_COLS)
+
+
+_A4_COLS = ("total_posts", "total_views", "total_likes", "total_comments", "drafts", "published", "archived")
+
+
+def with_zero_row(stats: DataFrame, key: str, key_value, cols) -> DataFrame:
+    """Single-key statistics: an unknown key yields one all-zero row (the
+    reference aggregates over no rows), other keys their computed row."""
+    spark = stats.sparkSession
+    zero = spark.range(1).select(
+        F.lit(key_value).cast(stats.schema[key].dataType).alias(key),
+        *[F.lit(0).cast(stats.schema[c].dataType).alias(c) for c in cols],
+    )
+    return stats.unionByName(zero.join(stats.select(key), key, "left_anti"))
 
 
 def comment_counts_by_post(posts: DataFrame, comments: DataFrame) -> DataFrame:

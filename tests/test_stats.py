@@ -132,3 +132,13 @@ def test_most_replied_roots_only(spark):
     )
     got = [(r["id"], r["reply_count"]) for r in com.most_replied_comments(t.comments).collect()]
     assert got == [(1, 1)]  # comment 2 has 2 replies but is not a root; 5 has none
+
+
+def test_single_author_stats_unknown_is_zero_row(spark):
+    t = fanout(spark)
+    a = pst.author_stats(t.users, t.posts, t.comments, author_id=999).collect()
+    assert len(a) == 1 and a[0]["author_id"] == 999 and a[0]["total_posts"] == 0
+    b = com.comment_stats_by_author(t.users, t.comments, author_id=999).collect()
+    assert len(b) == 1 and b[0]["average_likes_per_comment"] == 0.0
+    k = pst.author_stats(t.users, t.posts, t.comments, author_id=1).collect()
+    assert len(k) == 1 and k[0]["total_posts"] == 2
