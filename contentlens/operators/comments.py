@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contentlens.functions.columns import coalesce0, round_ratio_half_up
 from contentlens.operators.posts import with_zero_row
-from contentlens.operators.preagg import likes_per_comment, replies_per_comment
+from contentlens.operators.preagg import fetch_top, likes_per_comment, replies_per_comment
 from contentlens.schema import TOP_K_DEFAULT
 
 
@@ -91,11 +91,14 @@ def most_liked_comments(comments: DataFrame, limit: int = TOP_K_DEFAULT) -> Data
 def most_replied_comments(comments: DataFrame, limit: int = TOP_K_DEFAULT) -> DataFrame:
     """Root comments with at least one reply, most replies first (ties by id)."""
     roots = comments.where(F.col("parent_id").isNull())
-    return (
-        roots.join(replies_per_comment(comments), "id", "inner")
-        .orderBy(F.desc("reply_count"), "id")
+    order = (F.desc("reply_count"), F.col("id"))
+    top = (
+        roots.select("id")
+        .join(replies_per_comment(comments), "id", "inner")
+        .orderBy(*order)
         .limit(limit)
     )
+    return fetch_top(roots, top, order)
 
 
 def like_count_drift(comments: DataFrame, likes: DataFrame) -> DataFrame:

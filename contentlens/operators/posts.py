@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentlens.functions.columns import coalesce0
-from contentlens.operators.preagg import posts_with_comment_counts
+from contentlens.operators.preagg import fetch_top, posts_with_comment_counts
 from contentlens.schema import STATUS_ARCHIVED, STATUS_DRAFT, STATUS_PUBLISHED, TOP_K_DEFAULT
 
 
@@ -92,12 +92,15 @@ def most_commented_posts(posts: DataFrame, comments: DataFrame, limit: int = TOP
     per_post = comments.groupBy(F.col("post_id").alias("id")).agg(
         F.count(F.lit(1)).alias("comment_count")
     )
-    return (
-        posts.join(per_post, "id", "left")
+    order = (F.desc("comment_count"), F.col("id"))
+    top = (
+        posts.select("id")
+        .join(per_post, "id", "left")
         .withColumn("comment_count", coalesce0("comment_count"))
-        .orderBy(F.desc("comment_count"), "id")
+        .orderBy(*order)
         .limit(limit)
     )
+    return fetch_top(posts, top, order)
 
 
 def most_viewed_posts(posts: DataFrame, limit: int = TOP_K_DEFAULT) -> DataFrame:

@@ -63,3 +63,11 @@ def posts_with_comment_counts(posts: DataFrame, comments: DataFrame, *cols: str)
     return posts.select(*keep).join(per_post, "id", "left").withColumn(
         "n_comments", F.coalesce("n_comments", F.lit(0).cast("bigint"))
     )
+
+
+def fetch_top(table: DataFrame, top: DataFrame, order, key: str = "id") -> DataFrame:
+    """Late materialisation for top-k: ``top`` is the ranked key list (at
+    most ``limit`` rows, so broadcasting it is bounded by the caller's limit);
+    the wide rows of ``table`` are fetched with one map-side join instead of
+    being shuffled through the ranking."""
+    return table.join(F.broadcast(top), key).orderBy(*order)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from contentlens.functions.columns import coalesce0, elapsed_days
 from contentlens.operators.categories import check_semantics
-from contentlens.operators.preagg import comments_per_author, posts_per_author
+from contentlens.operators.preagg import comments_per_author, fetch_top, posts_per_author
 from contentlens.schema import TOP_K_DEFAULT
 from contentlens.sources.spine import as_of_literal
 
@@ -71,12 +71,19 @@ def most_active_users(
     limit: int = TOP_K_DEFAULT,
     semantics: str = "true",
 ) -> DataFrame:
-    """ORDER BY posts DESC, comments DESC (ties by id), top ``limit``."""
-    return (
-        user_activity(users, posts, comments, semantics)
-        .orderBy(F.desc("posts"), F.desc("comments"), "id")
+    """ORDER BY posts DESC, comments DESC (ties by id), top ``limit``.
+
+    Ranked on the user key and the four numbers only; the user rows of the
+    winners are fetched afterwards."""
+    order = (F.desc("posts"), F.desc("comments"), F.col("id"))
+    top = (
+        user_activity(users.select("id"), posts, comments, semantics)
+        .orderBy(*order)
         .limit(limit)
     )
+    return fetch_top(users, top, order).select(
+        *[F.col(f"`{c}`") for c in users.columns], "posts", "comments", "likes_given", "likes_received"
+    )
 
 
 def user_engagement(
