@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.functions.columns import coalesce0, elapsed_days
+from contentlens.functions.columns import elapsed_days
 from contentlens.operators.categories import check_semantics
 from contentlens.operators.preagg import comments_per_author, fetch_top, posts_per_author
 from contentlens.schema import TOP_K_DEFAULT
