@@ -137,10 +137,13 @@ def like_event_outcomes(likes: DataFrame, events: DataFrame, order: tuple[str, .
     w = Window.partitionBy(*key, "__seg").orderBy(*order)
     ev = ev.withColumn("__prev", F.lag("a").over(w))
     ord_struct = F.struct(*order)
+    inner_flip = F.col("__prev").isNotNull() & (F.col("a") != F.col("__prev"))
     seg = ev.groupBy(*key, "__seg").agg(
         F.min_by("a", ord_struct).alias("first_a"),
+        F.min_by("ts", ord_struct).alias("first_ts"),
         F.max_by("a", ord_struct).alias("last_a"),
-        F.count_if(F.col("__prev").isNotNull() & (F.col("a") != F.col("__prev"))).alias("inner_flips"),
+        F.count_if(inner_flip).alias("inner_flips"),
+        F.max(F.when(inner_flip & F.col("a"), F.col("ts"))).alias("inner_like_ts"),
         F.count(F.lit(1)).alias("n"),
     )
     stored = likes.select(*key).distinct().withColumn("__stored", F.lit(True))
@@ -148,44 +151,37 @@ def like_event_outcomes(likes: DataFrame, events: DataFrame, order: tuple[str, .
     w2 = Window.partitionBy(*key).orderBy("__seg")
     before = F.coalesce(F.lag("last_a").over(w2), F.coalesce("__stored", F.lit(False)))
     seg = seg.withColumn("edge_flip", (F.col("first_a") != before).cast("bigint"))
+    # time of the segment's last accepted like (inner flips follow the first event)
+    seg = seg.withColumn(
+        "like_ts",
+        F.coalesce("inner_like_ts", F.when((F.col("edge_flip") == 1) & F.col("first_a"), F.col("first_ts"))),
+    )
     return seg.groupBy(*key).agg(
         F.max_by("last_a", "__seg").alias("liked"),
         (F.sum("inner_flips") + F.sum("edge_flip")).alias("accepted"),
         (F.sum("n") - F.sum("inner_flips") - F.sum("edge_flip")).alias("rejected"),
+        F.max_by("like_ts", F.when(F.col("like_ts").isNotNull(), F.col("__seg"))).alias("liked_since"),
     )
 
 
 def apply_like_events(likes: DataFrame, events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """The like table after the events.
 
-    Pairs without events are kept.  A pair whose final state is liked keeps
-    its stored row if no unlike event touched it; otherwise its row was
-    (re)inserted by the first like after its last unlike, whose ``ts`` becomes
-    ``created_at``.  All per-pair facts are grouped aggregates.
+    Pairs without events are kept.  A pair that ends liked keeps its stored
+    row unless a like was accepted (the row was then (re)inserted by the last
+    accepted like, whose ``ts`` becomes ``created_at``); the replay reports
+    that time, so no further pass over the events is needed.
     """
     key = ["user_id", "comment_id"]
     out = like_event_outcomes(likes, events, order)
     untouched = likes.join(out.select(*key), key, "left_anti")
-    pos = F.struct(*order)
-    last_unlike = events.where(F.col("action") == "unlike").groupBy(*key).agg(F.max(pos).alias("__u"))
-    since = (
-        events.where(F.col("action") == "like")
-        .join(last_unlike, key, "left")
-        .where(F.col("__u").isNull() | (pos > F.col("__u")))
-        .groupBy(*key)
-        .agg(F.min("ts").alias("__since"), F.max(F.col("__u").isNotNull()).alias("__relinked"))
-    )
     added = (
         out.where("liked")
-        .select(*key)
+        .select(*key, "liked_since")
         .join(likes.select(*key, F.col("created_at").alias("__stored_at")), key, "left")
-        .join(since, key, "left")
         .select(
             *key,
-            F.when(F.col("__relinked"), F.col("__since"))
-            .otherwise(F.coalesce("__stored_at", "__since"))
-            .cast(likes.schema["created_at"].dataType)
-            .alias("created_at"),
+            F.coalesce("liked_since", "__stored_at").cast(likes.schema["created_at"].dataType).alias("created_at"),
         )
     )
     return untouched.unionByName(added)

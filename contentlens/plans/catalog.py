@@ -439,7 +439,7 @@ def _q(spark, d):
 def _q(spark, d):
     t = _t(spark, d)
     log = like_log_view(spark, d, t.users, t.comments)
-    return chg.like_event_outcomes(t.comment_likes, log)
+    return chg.like_event_outcomes(t.comment_likes, log).drop("liked_since")
 
 
 @query("comment_like_counter_replay")

@@ -55,7 +55,7 @@ def process_batch(events: DataFrame, batch_id: int, state_dir: str, initial_like
     """One micro-batch: replay, then write the batch's three outputs."""
     spark = events.sparkSession
     likes = _snapshot(spark, state_dir, batch_id, initial_likes)
-    outcomes = like_event_outcomes(likes, events)
+    outcomes = like_event_outcomes(likes, events).drop("liked_since")
     outcomes.write.mode("overwrite").parquet(f"{state_dir}/outcomes/batch={batch_id}")
     before = likes.select("user_id", "comment_id", F.lit(True).alias("was"))
     # Like-count change per comment: pairs that flipped state in this batch.

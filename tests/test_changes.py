@@ -36,7 +36,7 @@ def test_like_log_example(spark):
     ev = [(i, D(2024, 1, 1, i), 1, 9, a) for i, a in enumerate(["like", "like", "unlike", "unlike", "like"])]
     likes = spark.createDataFrame([], "user_id long, comment_id long, created_at timestamp_ntz")
     out = chg.like_event_outcomes(likes, spark.createDataFrame(ev, EVENTS)).collect()
-    assert [(r["liked"], r["accepted"], r["rejected"]) for r in out] == [(True, 3, 2)]
+    assert [(r["liked"], r["accepted"], r["rejected"], r["liked_since"]) for r in out] == [(True, 3, 2, D(2024, 1, 1, 4))]
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
