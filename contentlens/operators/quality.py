@@ -204,3 +204,17 @@ def validate_like_requests(requests: DataFrame, users: DataFrame, comments: Data
         g.select("user_id", "comment_id", "created_at", F.inline(parts))
         .where(F.col("requests") > 0)
     )
+
+
+def split_like_events(events: DataFrame, users: DataFrame, comments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Like/unlike events whose comment and user exist (to replay), and the
+    others with ``reasons`` (rejected without touching any state)."""
+    e = _exists(events, F.col("comment_id"), comments, "id", "__comment_found", unique=True)
+    e = _exists(e, F.col("user_id"), users, "id", "__user_found", unique=True)
+    reasons = _reasons(
+        _reason(~F.col("__comment_found"), "comment_not_found"),
+        _reason(~F.col("__user_found"), "user_not_found"),
+        _reason(~F.coalesce(F.col("action").isin("like", "unlike"), F.lit(False)), "action_invalid"),
+    )
+    checked = e.withColumn("reasons", reasons).select(*events.columns, "reasons")
+    return split(checked)

@@ -7,7 +7,9 @@ without a like is rejected).  Per batch the job writes, under ``state_dir``:
 
 * ``likes/batch=<id>``     the like table after the batch (a new folder),
 * ``outcomes/batch=<id>``  per (user, comment): final state, accepted, rejected,
-* ``like_counts/batch=<id>`` per comment: like count change from the batch.
+* ``like_counts/batch=<id>`` per comment: like count change from the batch,
+* ``rejected/batch=<id>``  events on missing comments/users (when the current
+  ``users``/``comments`` snapshot folders are given), with reasons.
 
 Writes are keyed by the batch id, so a batch replayed after a failure
 overwrites only its own folders and the result is exactly-once.  The
@@ -22,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from contentlens.operators.changes import apply_like_events, like_event_outcomes
+from contentlens.operators.quality import split_like_events
 
 LIKE_EVENT_SCHEMA = T.StructType(
     [
@@ -51,10 +54,22 @@ def _snapshot(spark: SparkSession, state_dir: str, batch_id: int, initial_likes:
     return spark.createDataFrame([], LIKES_SCHEMA)
 
 
-def process_batch(events: DataFrame, batch_id: int, state_dir: str, initial_likes: str | None = None) -> None:
-    """One micro-batch: replay, then write the batch's three outputs."""
+def process_batch(
+    events: DataFrame,
+    batch_id: int,
+    state_dir: str,
+    initial_likes: str | None = None,
+    users_path: str | None = None,
+    comments_path: str | None = None,
+) -> None:
+    """One micro-batch: validate, replay, then write the batch's outputs."""
     spark = events.sparkSession
     likes = _snapshot(spark, state_dir, batch_id, initial_likes)
+    if users_path and comments_path:
+        events, rejected = split_like_events(
+            events, spark.read.parquet(users_path), spark.read.parquet(comments_path)
+        )
+        rejected.write.mode("overwrite").parquet(f"{state_dir}/rejected/batch={batch_id}")
     outcomes = like_event_outcomes(likes, events).drop("liked_since")
     outcomes.write.mode("overwrite").parquet(f"{state_dir}/outcomes/batch={batch_id}")
     before = likes.select("user_id", "comment_id", F.lit(True).alias("was"))
@@ -81,11 +96,13 @@ def start_like_stream(
     initial_likes: str | None = None,
     available_now: bool = False,
     processing_time: str | None = None,
+    users_path: str | None = None,
+    comments_path: str | None = None,
 ) -> StreamingQuery:
     """Start the stream; ``events`` is a streaming DataFrame of
     :data:`LIKE_EVENT_SCHEMA` rows (for example :func:`like_event_source`)."""
     writer = events.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(
-        lambda df, batch_id: process_batch(df, batch_id, state_dir, initial_likes)
+        lambda df, batch_id: process_batch(df, batch_id, state_dir, initial_likes, users_path, comments_path)
     )
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -142,3 +142,11 @@ def test_single_author_stats_unknown_is_zero_row(spark):
     assert len(b) == 1 and b[0]["average_likes_per_comment"] == 0.0
     k = pst.author_stats(t.users, t.posts, t.comments, author_id=1).collect()
     assert len(k) == 1 and k[0]["total_posts"] == 2
+
+
+def test_series_to_long(spark):
+    from contentlens.operators.timeseries import to_long
+
+    wide = spark.createDataFrame([("2024-01-01", 1, 2), ("2024-01-02", 3, 4)], "date string, a bigint, b bigint")
+    got = rows(to_long(wide, ["date"], ["a", "b"]))
+    assert got == [("2024-01-01", "a", 1), ("2024-01-01", "b", 2), ("2024-01-02", "a", 3), ("2024-01-02", "b", 4)]

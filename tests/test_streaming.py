@@ -30,3 +30,19 @@ def test_like_stream_matches_batch(spark):
     for u, c in want:
         want_counts[c] = want_counts.get(c, 0) + 1
     assert {k: v for k, v in per_comment.items() if v} == want_counts
+
+
+def test_like_stream_rejects_missing_rows(spark):
+    src, state, ckpt, ref = (tempfile.mkdtemp(prefix=p) for p in ("ls2-src-", "ls2-state-", "ls2-ckpt-", "ls2-ref-"))
+    spark.createDataFrame([(1,), (2,)], "id bigint").write.parquet(f"{ref}/users")
+    spark.createDataFrame([(10,)], "id bigint").write.parquet(f"{ref}/comments")
+    t0 = dt.datetime(2024, 1, 1)
+    evs = [(1, t0, 1, 10, "like"), (2, t0, 1, 99, "like"), (3, t0, 7, 10, "like"), (4, t0, 2, 10, "poke")]
+    spark.createDataFrame(evs, LIKE_EVENT_SCHEMA).coalesce(1).write.parquet(f"{src}/f0")
+    q = start_like_stream(like_event_source(spark, f"{src}/*"), state, ckpt, available_now=True,
+                          users_path=f"{ref}/users", comments_path=f"{ref}/comments")
+    q.awaitTermination(120)
+    liked = sorted((r["user_id"], r["comment_id"]) for r in spark.read.parquet(f"{state}/likes/batch=0").collect())
+    assert liked == [(1, 10)]
+    rej = sorted((r["event_id"], ",".join(r["reasons"])) for r in spark.read.parquet(f"{state}/rejected/batch=0").collect())
+    assert rej == [(2, "comment_not_found"), (3, "user_not_found"), (4, "action_invalid")]
