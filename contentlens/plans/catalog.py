@@ -608,3 +608,29 @@ def _q(spark, d):
     t = _t(spark, d)
     log = like_log_view(spark, d, t.users, t.comments)
     return chg.apply_like_events(t.comment_likes, log)
+
+
+@query("edit_comments_of_author")
+def _q(spark, d):
+    """Author 3 rewrites every comment (content upper-cased)."""
+    t = _t(spark, d)
+    edits = t.comments.where(F.col("author_id") == 3).select("id", F.upper("content").alias("content"))
+    out = chg.edit_comments(t.comments, edits, "2024-02-01 00:00:00")
+    return out.where(F.col("author_id") == 3)
+
+
+@query("merge_nation_updates")
+def _q(spark, d):
+    """Nations move 100 places down; NULL fields keep their values."""
+    t = _t(spark, d)
+    changes = t.categories.where(F.col("id").between(2000, 2999)).select(
+        "id", F.lit(None).cast("string").alias("name"), (F.col("order") + 100).alias("order"),
+        F.lit(None).cast("int").alias("parent_id"),
+    )
+    return chg.update_merge(t.categories, changes, "2024-02-01 00:00:00")
+
+
+@query("category_closure")
+def _q(spark, d):
+    """H1 for every category: (seed, ancestor, depth)."""
+    return hier.closure(_t(spark, d).categories, "up")
