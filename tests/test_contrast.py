@@ -82,3 +82,25 @@ def test_recursive_cte_cross_check(spark, t):
            SELECT depth, COUNT(*) AS category_count FROM cd GROUP BY depth"""
     )
     assert as_set(sql, ["depth", "category_count"]) == as_set(hier.depth_stats(t.categories), ["depth", "category_count"])
+
+
+def test_d2_literal(spark, t):
+    uid = 3
+    sql = spark.sql(
+        f"""WITH dates AS (SELECT explode(sequence(date_sub(to_date(TIMESTAMP_NTZ'{AS_OF}'), 30),
+                                                   to_date(TIMESTAMP_NTZ'{AS_OF}'))) AS date)
+            SELECT date_format(d.date, 'yyyy-MM-dd') AS date,
+              COUNT(DISTINCT CASE WHEN to_date(p.created_at) = d.date THEN p.id END) AS posts,
+              COUNT(DISTINCT CASE WHEN to_date(c.created_at) = d.date THEN c.id END) AS comments,
+              COALESCE(SUM(CASE WHEN to_date(c.created_at) = d.date THEN c.like_count END), 0) AS likes_given,
+              COALESCE(SUM(CASE WHEN to_date(p.created_at) = d.date THEN p.like_count END), 0) AS likes_received
+            FROM dates d JOIN users u ON u.id = {uid}
+            LEFT JOIN posts p ON u.id = p.author_id AND to_date(p.created_at) = d.date
+            LEFT JOIN comments c ON u.id = c.author_id AND to_date(c.created_at) = d.date
+            GROUP BY d.date"""
+    )
+    cols = ["date", "posts", "comments", "likes_given", "likes_received"]
+    lit = ts.user_activity_timeline(t.users, t.posts, t.comments, AS_OF, 30, user_id=uid, semantics="literal")
+    assert as_set(sql, cols) == as_set(lit, cols)
+    # an unknown user has no rows at all
+    assert ts.user_activity_timeline(t.users, t.posts, t.comments, AS_OF, 30, user_id=10**9).count() == 0
