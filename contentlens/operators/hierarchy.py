@@ -70,6 +70,9 @@ def closure(
         found = frontier
         level = 1
         while level < MAX_LEVELS and not frontier.isEmpty():
+            if direction == "up" and level >= SHALLOW_LEVELS:
+                # a long parent chain: finish by binary lifting
+                return _ancestors_by_lifting(nodes, seeds, found, level, id_col, parent_col)
             level += 1
             frontier = _cut(
                 frontier.join(edges, F.col("node") == F.col("src"))
@@ -85,6 +88,55 @@ def closure(
         edges.unpersist()
 
 
+def _ancestors_by_lifting(
+    nodes: DataFrame, seeds: DataFrame, found: DataFrame, level: int, id_col: str, parent_col: str
+) -> DataFrame:
+    """Continue an upward closure whose pairs up to ``level`` steps are in
+    ``found`` (seed, node, depth): ``lift`` maps a node to its ancestor
+    ``step`` levels up; one round extends every seed's path from ``step`` to
+    ``2 * step`` levels and squares the lift, so a chain of depth D needs
+    about log2(D) rounds instead of D.  Pairs already found are never
+    re-added (cycles end the loop)."""
+    lift = _cut(
+        nodes.where(F.col(parent_col).isNotNull())
+        .select(F.col(id_col).alias("v"), F.col(parent_col).alias("a"))
+        .distinct()
+    )
+    # lift by `level` steps = the pairs found at exactly that depth, per node
+    base = seeds.distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
+    # largest power-of-two lift not beyond level + 1, so the first round
+    # (depths 0..step shifted by step) leaves no gap after the known 1..level
+    step = 1
+    while step * 2 <= level + 1:
+        lift = _cut(_compose(lift, lift))
+        step *= 2
+    # the known path covers depths 1..level; extend from depths 0..level by `step`
+    rounds = 0
+    while rounds < MAX_LEVELS:
+        rounds += 1
+        src = base.unionByName(found.where(F.col("depth") <= F.lit(step)))
+        new = (
+            src.join(lift, F.col("node") == F.col("v"))
+            .select("seed", F.col("a").alias("node"), (F.col("depth") + F.lit(step)).alias("depth"))
+            .groupBy("seed", "node")
+            .agg(F.min("depth").alias("depth"))
+            .join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+        )
+        new = _cut(new)
+        if new.isEmpty():  # nothing within (step, 2 * step]: the chain has ended
+            break
+        found = _cut(found.unionByName(new))
+        lift = _cut(_compose(lift, lift))
+        step *= 2
+    return found
+
+
+def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(v, a) o (v, a): v -> second(first(v))."""
+    s2 = second.select(F.col("v").alias("__v"), F.col("a").alias("__a"))
+    return first.join(s2, F.col("a") == F.col("__v")).select("v", F.col("__a").alias("a"))
+
+
 def ancestors(categories: DataFrame, category_id) -> DataFrame:
     """H1: the transitive parents of one category (the category excluded)."""
     seed = categories.where(F.col("id") == F.lit(category_id)).select("id")

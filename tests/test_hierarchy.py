@@ -106,3 +106,18 @@ def test_marked_by_ancestor_matches_walk(spark, parents, marks):
     df = spark.createDataFrame(edges, NODES)
     m = spark.createDataFrame([(x,) for x in marks], "id int")
     assert sorted(r["id"] for r in hier.marked_by_ancestor(df, m).collect()) == want
+
+
+def test_closure_up_deep_chain_uses_lifting(spark):
+    n = 40  # deeper than SHALLOW_LEVELS
+    edges = [(0, None)] + [(i, i - 1) for i in range(1, n)] + [(100, 101), (101, 102), (102, 100)]
+    for i in range(103, 115):
+        edges.append((i, i - 1))  # a chain hanging under the 3-cycle
+    df = spark.createDataFrame(edges, NODES)
+    parent = {i: p for i, p in edges if p is not None}
+    for seed in (n - 1, 114):
+        want = sorted((seed, a, d) for a, d in walk_up(parent, seed).items())
+        seeds = spark.createDataFrame([(seed,)], "id int")
+        got = sorted((r["seed"], r["node"], r["depth"]) for r in hier.closure(df, "up", seeds).collect())
+        assert got == want, seed
+    assert sorted(r["id"] for r in hier.ancestors(df, n - 1).collect()) == list(range(n - 1))
