@@ -45,7 +45,11 @@ def _cast_like(batch: DataFrame, table: DataFrame) -> DataFrame:
 
 def insert_rows(table: DataFrame, rows: DataFrame, table_name: str, as_of) -> DataFrame:
     """Append rows with the model defaults; a given id is kept, a
-    missing string id gets a random UUID; created_at defaults to ``as_of``."""
+    missing string id gets a random UUID; created_at defaults to ``as_of``.
+
+    Generated UUIDs are drawn when the plan runs: write the result (for
+    example with :func:`save_tables`) or ``checkpoint()`` it before using the
+    new ids in a second job, so every job sees the same ids."""
     r = _cast_like(rows, table)
     fixes = {}
     for col, default in DEFAULTS.get(table_name, {}).items():

@@ -183,3 +183,15 @@ def test_apply_like_events_created_at(spark):
     nxt = chg.apply_like_events(likes, spark.createDataFrame(ev, EVENTS))
     got = {(r["user_id"], r["comment_id"]): r["created_at"] for r in nxt.collect()}
     assert got == {(1, 1): D(2024, 1, 3), (2, 2): D(2023, 1, 1), (4, 4): D(2024, 1, 1), (5, 5): D(2024, 1, 6)}
+
+
+def test_insert_string_ids_get_uuids(spark):
+    table = spark.createDataFrame(
+        [("a", "x", None, 0, D(2024, 1, 1), None)],
+        "id string, name string, parent_id string, `order` int, created_at timestamp_ntz, updated_at timestamp_ntz",
+    )
+    rows_in = spark.createDataFrame([(None, "new"), ("given", "kept")], "id string, name string")
+    out = chg.insert_rows(table, rows_in, "categories", "2024-02-01 00:00:00").collect()
+    ids = {r["name"]: r["id"] for r in out}
+    assert ids["kept"] == "given" and len(ids["new"]) == 36 and ids["new"] != ids["kept"]
+    assert {r["name"]: r["order"] for r in out}["new"] == 0  # model default

@@ -112,3 +112,13 @@ def test_page_after_matches_offset_pages(t):
     last = first[-1]
     second = flt.page_after(t.posts, (last["created_at"], last["id"]), 2)
     assert [r["id"] for r in second.collect()] == [r["id"] for r in flt.page(t.posts, 2, 2).collect()]
+
+
+def test_lookup_long_key_lists_use_semi_join(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 AS k")
+    keys = list(range(0, 3000, 2))  # 1500 keys > INLINE_KEYS_MAX
+    got = flt.lookup(df, keys)
+    assert got.count() == 1500
+    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+    pairs = [(i, i % 7) for i in range(1200)] + [(1, 5)]  # (1, 5) does not exist
+    assert flt.lookup(df, pairs, ["id", "k"]).count() == 1200
