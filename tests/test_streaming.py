@@ -46,3 +46,21 @@ def test_like_stream_rejects_missing_rows(spark):
     assert liked == [(1, 10)]
     rej = sorted((r["event_id"], ",".join(r["reasons"])) for r in spark.read.parquet(f"{state}/rejected/batch=0").collect())
     assert rej == [(2, "comment_not_found"), (3, "user_not_found"), (4, "action_invalid")]
+
+
+def test_like_stream_resumes_from_checkpoint(spark):
+    import os
+
+    src, state, ckpt = (tempfile.mkdtemp(prefix=p) for p in ("ls3-src-", "ls3-state-", "ls3-ckpt-"))
+    t0 = dt.datetime(2024, 1, 1)
+    first = [(1, t0, 1, 1, "like"), (2, t0 + dt.timedelta(minutes=1), 2, 1, "like")]
+    second = [(3, t0 + dt.timedelta(minutes=2), 1, 1, "unlike"), (4, t0 + dt.timedelta(minutes=3), 3, 1, "like")]
+    spark.createDataFrame(first, LIKE_EVENT_SCHEMA).coalesce(1).write.parquet(f"{src}/f0")
+    start_like_stream(like_event_source(spark, f"{src}/*"), state, ckpt, available_now=True).awaitTermination(120)
+    # the job stops; new events arrive; a new run resumes from the checkpoint
+    spark.createDataFrame(second, LIKE_EVENT_SCHEMA).coalesce(1).write.parquet(f"{src}/f1")
+    start_like_stream(like_event_source(spark, f"{src}/*"), state, ckpt, available_now=True).awaitTermination(120)
+    batches = sorted(int(p.split("=")[1]) for p in os.listdir(f"{state}/likes"))
+    assert batches == [0, 1]
+    liked = sorted((r["user_id"], r["comment_id"]) for r in spark.read.parquet(f"{state}/likes/batch=1").collect())
+    assert liked == [(2, 1), (3, 1)]
