@@ -116,9 +116,12 @@ def set_status(posts: DataFrame, ids: DataFrame, status: str, as_of) -> DataFram
 def _ordered_segments(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Tag events with ``__seg``: events are range-partitioned on
     (key, order), so the partition index splits a hot key's events into
-    consecutive, bounded segments whose order follows the index."""
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return events.repartitionByRange(n, *key, *order).withColumn("__seg", F.spark_partition_id())
+    consecutive, bounded segments whose order follows the index.
+
+    No partition count is fixed: AQE may merge adjacent small ranges (a
+    merged partition is still one contiguous range, so the order holds),
+    and large inputs keep partitions near the advisory size."""
+    return events.repartitionByRange(*key, *order).withColumn("__seg", F.spark_partition_id())
 
 
 def like_event_outcomes(likes: DataFrame, events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:

@@ -47,14 +47,16 @@ def test_like_log_example(spark):
 def test_like_replay_matches_sequential(spark, evs, stored):
     events = [(i, D(2024, 1, 1) + dt.timedelta(minutes=i), u, c, a) for i, (u, c, a) in enumerate(evs)]
     likes = spark.createDataFrame([(u, c, D(2023, 1, 1)) for u, c in stored], "user_id long, comment_id long, created_at timestamp_ntz")
-    # 3 shuffle partitions: a pair's events span several ordered segments
+    # 3 shuffle partitions, no coalescing: a pair's events span several ordered segments
     spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = {(r["user_id"], r["comment_id"]): (r["liked"], r["accepted"], r["rejected"])
                for r in chg.like_event_outcomes(likes, spark.createDataFrame(events, EVENTS)).collect()}
         nxt = {(r["user_id"], r["comment_id"]) for r in chg.apply_like_events(likes, spark.createDataFrame(events, EVENTS)).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want = replay_likes(stored, events)
     assert got == want
     final = {k for k in stored if k not in want} | {k for k, v in want.items() if v[0]}
@@ -81,10 +83,12 @@ def test_counter_replay_matches_sequential(spark, ds, starts):
     table = spark.createDataFrame([(i, s) for i, s in enumerate(starts)], "id long, like_count int")
     deltas = spark.createDataFrame([(i, seq, d) for seq, (i, d) in enumerate(ds)], DELTAS)
     spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = {r["id"]: r["like_count"] for r in chg.apply_counter_deltas(table, deltas).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     want = {i: replay_counter(s, [d for j, d in ds if j == i]) for i, s in enumerate(starts)}
     assert got == want
 

@@ -20,6 +20,8 @@ def test_hot_pair_is_split_into_ordered_segments(spark):
     cold = [(1000 + i, D(2024, 1, 1), 2 + i, 9, "like") for i in range(300)]
     ev = spark.createDataFrame(hot + cold, EVENTS)
     spark.conf.set("spark.sql.shuffle.partitions", "6")
+    # tiny test data: keep AQE from merging the ranges so the split is visible
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         seg = chg._ordered_segments(ev, ["user_id", "comment_id"], ["ts", "event_id"])
         per_seg = seg.where("user_id = 1").groupBy("__seg").count().collect()
@@ -30,6 +32,7 @@ def test_hot_pair_is_split_into_ordered_segments(spark):
                for r in chg.like_event_outcomes(likes, ev).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     state, acc = False, 0
     for _, _, _, _, a in hot:
         want = a == "like"
