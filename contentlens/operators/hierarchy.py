@@ -18,6 +18,9 @@ from contentlens.session import ensure_checkpoint_dir
 
 CHECKPOINT_EVERY = 4
 MAX_LEVELS = 10_000  # a guard against runaway loops, far beyond any real depth
+# Level-by-level walks stop here and the rest is done by pointer jumping or
+# binary lifting (O(log depth) rounds), so deep chains never cost a job per level.
+SHALLOW_LEVELS = 8
 
 
 def _edges(nodes: DataFrame, direction: str, id_col: str, parent_col: str) -> DataFrame:
@@ -52,7 +55,9 @@ def closure(
     reported once, at its shortest depth.
 
     Each level is written once with a reliable checkpoint (the job that
-    computes it), and the emptiness check reads the checkpoint files.  The
+    computes it), and the emptiness check reads the checkpoint files.  An
+    upward walk still going after ``SHALLOW_LEVELS`` levels is finished by
+    binary lifting (:func:`_ancestors_by_lifting`).  The
     result is a union of checkpointed levels, so it depends on no cache; the
     edge list is cached only while the loop runs.
     """
@@ -261,9 +266,6 @@ def reparent_conflicts(categories: DataFrame, changes: DataFrame) -> DataFrame:
     return cycle_members(graph, ch.select("id"))
 
 
-SHALLOW_LEVELS = 8
-
-
 def marked_by_ancestor(
     nodes: DataFrame, marks: DataFrame, id_col: str = "id", parent_col: str = "parent_id"
 ) -> DataFrame:
