@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from contentlens.llm import decontamination
 from contentlens.llm.common import table, work_folder
+from contentlens.llm.fingerprints import fingerprint_edits
+from contentlens.llm.jaccard_join import jaccard_classes
 from contentlens.llm.packing import pack
 from contentlens.llm.token_files import checksums, write_tokens
 
@@ -37,3 +40,24 @@ def op2_token_files(spark, sf_dir):
     path = work_folder(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file(), end=2)
     return checksums(spark, path)
+
+
+@query
+def op4_decontaminate(spark, sf_dir):
+    """Benchmark items of which a document holds 0.8 or more."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op4_decontaminate"] = decontamination.SQL
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    """Near-duplicate class and number of links of every document."""
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_fingerprints(spark, sf_dir):
+    """Merkle fingerprints of every document and of its edited text."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
