@@ -32,6 +32,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that are broadcast at most (two numbers each); more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, hash of the text) is not among ``keys``
+    (doc_id, th), which are stored.  Null ids are equal to each other."""
+    keys = keys.select(F.col("doc_id").alias("k_id_"), F.col("th").alias("k_th_")).distinct()
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_hash")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_th_"))
+    return docs.join(keys, same, "left_anti")
+
+
 def pieces_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``limit`` bytes
     (at least one row each), which bounds what a task works on at once."""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import WORD_SPLIT, stored
+from contentlens.llm.common import WORD_SPLIT, stored, without
 
 #: Words of a shingle; share of an item's shingles that makes a document contaminated.
 WIDTH, SHARE = 5, 0.8
@@ -62,16 +62,8 @@ def sketches(rows: DataFrame, share: float, seed: int) -> DataFrame:
     )
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, seed: int = 4) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_shared, containment: every document and
-    item with at least ``share`` of the item's distinct shingles in the document.
-
-    Words are runs of letters, marks and digits, in lower case.  Null texts
-    are empty and match nothing.  Rows of ``docs`` with one id and equal texts
-    give their matches once; with one id and different texts, each text is
-    searched and the largest count is kept.  Null ids are kept as null.  Empty
-    tables give no rows; further columns are not read.
-    """
+def matches(docs: DataFrame, items: DataFrame, width: int, share: float, seed: int) -> DataFrame:
+    """doc_id, th (hash of the text), item_id, n_shingles, n_shared."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     base = base.withColumn("th", F.xxhash64("text"))
     bench = stored(item_shingles(items.select(F.col("item_id"), F.col("text").cast("string").alias("text")), width), "bench")
@@ -107,13 +99,31 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
         got = each.join(bench.where(F.col("width") == k).drop("width"), "shingle").withColumn("width", F.lit(k))
         out = got if out is None else out.unionByName(got)
     counted = out.groupBy("doc_id", "th", "item_id", "width").agg(F.count("*").alias("n_shared"), F.first("size").alias("n_shingles"))
+    return counted.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * share - 1e-9))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, seed: int = 4) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_shared, containment: every document and
+    item with at least ``share`` of the item's distinct shingles in the document.
+
+    Words are runs of letters, marks and digits, in lower case.  Null texts
+    are empty and match nothing.  Rows of ``docs`` with one id and equal texts
+    give their matches once; with one id and different texts, each text is
+    searched and the largest count is kept.  Null ids are kept as null.  Empty
+    tables give no rows; further columns are not read.
+    """
     return (
-        counted.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * share - 1e-9))
+        matches(docs, items, width, share, seed)
         .groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
         .select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE, seed: int = 4) -> DataFrame:
+    """Rows of ``docs`` whose text holds no item; columns unchanged."""
+    return without(docs, stored(matches(docs, items, width, share, seed).select("doc_id", "th"), "contaminated"))
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),

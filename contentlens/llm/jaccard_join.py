@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import connected_components, pieces_of, sorted_groups, stored
+from contentlens.llm.common import connected_components, pieces_of, sorted_groups, stored, without
 from contentlens.llm.textsets import mix, runs, seeds, signatures, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -264,27 +264,9 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "sid binary, family binary, size long, copies long, grams binary")
 
 
-def jaccard_classes(
-    docs: DataFrame,
-    width: int = WIDTH,
-    similarity: float = SIMILARITY,
-    recall: float = RECALL,
-    depth: int = DEPTH,
-    bucket: int = BUCKET,
-    block: int = BLOCK,
-    seed: int = 5,
-) -> DataFrame:
-    """doc_id, class_id, n_links for every row of ``docs``.
-
-    ``n_links`` counts the other rows whose shingle sets have a Jaccard
-    similarity of at least ``similarity`` (equal sets included);
-    ``class_id`` is the least doc_id of the row's connected class.  A text of
-    fewer than ``width`` words is one shingle of all its words.  Texts without
-    words (null texts too) have no links and are classes of their own, with
-    their own doc_id.  Null ids count as larger than any.  Repeated rows are
-    links of each other.  An empty table gives no rows; further columns are
-    not read.
-    """
+def linked_rows(docs: DataFrame, width: int, similarity: float, recall: float, depth: int, bucket: int, block: int, seed: int) -> DataFrame:
+    """doc_id, th (hash of the text), root (of the class; null without words),
+    class_id, n_links of every row."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     rows = stored(describe(base.select("doc_id", "th", "text"), width, PLACES), "described")
@@ -316,10 +298,58 @@ def jaccard_classes(
     ).withColumn("root", F.coalesce("root", "sid"))
     least = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
     known = classes.join(least, "root").join(linked, "sid", "left").select(
-        "sid", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "sid", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return rows.select("doc_id", "sid").join(known, "sid", "left").select(
+    return rows.select("doc_id", "th", "sid").join(known, "sid", "left").select(
         "doc_id",
+        "th",
+        F.coalesce("root", "sid").alias("root"),
         F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
+
+
+def jaccard_classes(
+    docs: DataFrame,
+    width: int = WIDTH,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    depth: int = DEPTH,
+    bucket: int = BUCKET,
+    block: int = BLOCK,
+    seed: int = 5,
+) -> DataFrame:
+    """doc_id, class_id, n_links for every row of ``docs``.
+
+    ``n_links`` counts the other rows whose shingle sets have a Jaccard
+    similarity of at least ``similarity`` (equal sets included);
+    ``class_id`` is the least doc_id of the row's connected class.  A text of
+    fewer than ``width`` words is one shingle of all its words.  Texts without
+    words (null texts too) have no links and are classes of their own, with
+    their own doc_id.  Null ids count as larger than any.  Repeated rows are
+    links of each other.  An empty table gives no rows; further columns are
+    not read.
+    """
+    return linked_rows(docs, width, similarity, recall, depth, bucket, block, seed).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class: the least id, then the least hash of
+    the text; of rows equal in both, one.  Columns stay; a text without words
+    is a class of its own."""
+    given = {"width": WIDTH, "similarity": SIMILARITY, "recall": RECALL, "depth": DEPTH, "bucket": BUCKET, "block": BLOCK, "seed": 5}
+    rows = stored(linked_rows(docs, **(given | options)).where("n_links > 0").select("doc_id", "th", "root"), "linked")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
+    keys = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    best = keys.groupBy("root").agg(F.min(order).alias("best"))
+    keys = stored(keys.join(best, "root").select("doc_id", "th", "n", (order == F.col("best")).alias("kept")), "keys")
+    out = without(docs, keys.where("NOT kept"))
+    again = keys.where("kept AND n > 1")  # rows that come several times over
+    if again.isEmpty():
+        return out
+    names = {"i": "k_id_", "t": "k_th_"}
+    again = again.select(F.col("doc_id").alias(names["i"]), F.col("th").alias(names["t"]))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_th_"))
+    once = out.join(again, same, "left_semi")
+    once = once.dropDuplicates(["doc_id", "text"])
+    return out.join(again, same, "left_anti").unionByName(once)
