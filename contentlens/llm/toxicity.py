@@ -192,7 +192,7 @@ def fit(
 
 
 def fit_sparse(
-    has: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], k: int, penalty: float, steps: int = 800, ridge: float = 3e-5
+    has: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], k: int, penalty: float, steps: int = 800, ridge: float = 1e-4
 ) -> tuple[np.ndarray, float]:
     """Logistic regression on present features by Adam steps over all rows."""
     n = len(y)
