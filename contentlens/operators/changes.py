@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentlens.operators.hierarchy import subtree
+from contentlens.session import ensure_checkpoint_dir
 from contentlens.sources.spine import as_of_literal
 from contentlens.sources.tables import ContentTables
 
@@ -46,6 +47,7 @@ def _cast_like(batch: DataFrame, table: DataFrame) -> DataFrame:
 def insert_rows(table: DataFrame, rows: DataFrame, table_name: str, as_of) -> DataFrame:
     """Append rows with the model defaults; a given id is kept, a
     missing string id gets a random UUID; created_at defaults to ``as_of``.
+    A missing id of another type fails the job: it can't be made up.
 
     Generated UUIDs are drawn when the plan runs: write the result (for
     example with :func:`save_tables`) or ``checkpoint()`` it before using the
@@ -59,6 +61,8 @@ def insert_rows(table: DataFrame, rows: DataFrame, table_name: str, as_of) -> Da
         fixes["tags"] = F.coalesce("tags", F.array().cast("array<string>"))
     if "id" in r.columns and r.schema["id"].dataType.typeName() == "string":
         fixes["id"] = F.coalesce("id", F.expr("uuid()"))
+    elif "id" in r.columns:
+        fixes["id"] = F.coalesce("id", F.raise_error(F.lit("insert_rows: a row has no id")).cast(r.schema["id"].dataType))
     if "created_at" in r.columns:
         fixes["created_at"] = F.coalesce("created_at", as_of_literal(as_of))
     if "updated_at" in r.columns:
@@ -67,11 +71,25 @@ def insert_rows(table: DataFrame, rows: DataFrame, table_name: str, as_of) -> Da
     return table.unionByName(r)
 
 
-def _update(table: DataFrame, changes: DataFrame, as_of, mode: str, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
-    cols = [c for c in changes.columns if c != "id" and c in table.columns]
-    ch = changes.select(
-        "id", F.lit(True).alias("__hit"), *[F.col(f"`{c}`").alias(f"__new_{c}") for c in cols]
-    )
+def _update(
+    table: DataFrame, changes: DataFrame, as_of, mode: str, keep_if_null: tuple[str, ...] = (), order: str | None = None
+) -> DataFrame:
+    """Changes are first folded to one per id: with ``order`` to the last one
+    (a column that keeps its value on NULL takes the last given value);
+    without it two changes for one id fail the job."""
+    cols = [c for c in changes.columns if c not in ("id", order) and c in table.columns]
+    whole = F.struct(F.lit(True).alias("hit"), *[F.col(f"`{c}`") for c in cols])
+    if order is None:
+        twice = F.raise_error(F.lit("update: two changes for one id; name the order column"))
+        only = F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.first(whole))
+        folded = changes.groupBy("id").agg(only.alias("__c"))
+        value = {c: F.col(f"__c.`{c}`") for c in cols}
+    else:
+        kept = [c for c in cols if mode == "merge" or c in keep_if_null]
+        last = [F.max_by(f"`{c}`", F.when(F.col(f"`{c}`").isNotNull(), F.col(order))).alias(f"__k_{c}") for c in kept]
+        folded = changes.groupBy("id").agg(F.max_by(whole, F.col(order)).alias("__c"), *last)
+        value = {c: F.col(f"`__k_{c}`") if c in kept else F.col(f"__c.`{c}`") for c in cols}
+    ch = folded.select("id", F.col("__c.hit").alias("__hit"), *[v.alias(f"__new_{c}") for c, v in value.items()])
     j = table.join(ch, "id", "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     out = []
@@ -89,28 +107,30 @@ def _update(table: DataFrame, changes: DataFrame, as_of, mode: str, keep_if_null
     return j.select(*out)
 
 
-def update_replace(table: DataFrame, changes: DataFrame, as_of, keep_if_null: tuple[str, ...] = ("status",)) -> DataFrame:
+def update_replace(
+    table: DataFrame, changes: DataFrame, as_of, keep_if_null: tuple[str, ...] = ("status",), order: str | None = None
+) -> DataFrame:
     """Changed rows take every given column (``status`` only when
-    given, as the post update rule); ``updated_at = as_of``.  ``changes``
-    must hold one row per id."""
-    return _update(table, changes, as_of, "replace", keep_if_null)
+    given, as the post update rule); ``updated_at = as_of``.  Of several
+    changes for one id the last by ``order`` holds."""
+    return _update(table, changes, as_of, "replace", keep_if_null, order)
 
 
-def update_merge(table: DataFrame, changes: DataFrame, as_of) -> DataFrame:
+def update_merge(table: DataFrame, changes: DataFrame, as_of, order: str | None = None) -> DataFrame:
     """Only non-NULL change fields overwrite (category rule; a parent
     can therefore not be cleared this way)."""
-    return _update(table, changes, as_of, "merge")
+    return _update(table, changes, as_of, "merge", (), order)
 
 
-def edit_comments(comments: DataFrame, edits: DataFrame, as_of) -> DataFrame:
+def edit_comments(comments: DataFrame, edits: DataFrame, as_of, order: str | None = None) -> DataFrame:
     """Content replaced and ``is_edited`` set."""
-    ch = edits.select("id", "content").withColumn("is_edited", F.lit(True))
-    return _update(comments, ch, as_of, "replace")
+    ch = edits.select("id", "content", *([order] if order else [])).withColumn("is_edited", F.lit(True))
+    return _update(comments, ch, as_of, "replace", (), order)
 
 
 def set_status(posts: DataFrame, ids: DataFrame, status: str, as_of) -> DataFrame:
     """Publish / archive as a one-column update."""
-    return update_replace(posts, ids.select("id").withColumn("status", F.lit(status)), as_of)
+    return update_replace(posts, ids.select("id").distinct().withColumn("status", F.lit(status)), as_of)
 
 
 def _ordered_segments(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -139,7 +159,9 @@ def like_event_outcomes(likes: DataFrame, events: DataFrame, order: tuple[str, .
     order, so no pair's whole history is ever gathered in one task.
     """
     key = ["user_id", "comment_id"]
-    ev = events.select(*key, (F.col("action") == "like").alias("a"), *order)
+    # other actions are refused requests and touch nothing
+    known = events.where(F.col("action").isin("like", "unlike"))
+    ev = known.select(*key, (F.col("action") == "like").alias("a"), *order)
     ev = _ordered_segments(ev, key, list(order))
     w = Window.partitionBy(*key, "__seg").orderBy(*order)
     ev = ev.withColumn("__prev", F.lag("a").over(w))
@@ -179,8 +201,12 @@ def apply_like_events(likes: DataFrame, events: DataFrame, order: tuple[str, ...
     accepted like, whose ``ts`` becomes ``created_at``); the replay reports
     that time, so no further pass over the events is needed.
     """
+    return likes_after_outcomes(likes, like_event_outcomes(likes, events, order))
+
+
+def likes_after_outcomes(likes: DataFrame, out: DataFrame) -> DataFrame:
+    """The like table after a replay whose outcomes are known (and stored)."""
     key = ["user_id", "comment_id"]
-    out = like_event_outcomes(likes, events, order)
     untouched = likes.join(out.select(*key), key, "left_anti")
     added = (
         out.where("liked")
@@ -198,14 +224,19 @@ def counter_after_deltas(
     table: DataFrame, deltas: DataFrame, column: str = "like_count", order: tuple[str, ...] = ("seq",)
 ) -> DataFrame:
     """Apply unit deltas ``(id, seq, delta)`` to ``column`` in seq order
-    with a floor at zero (a decrement at 0 is ignored).
+    with a floor at zero (a decrement at 0 is ignored); another delta fails
+    the job.
 
     The end value of the clamped walk is ``c0 + S_n - min(0, min_k(c0 +
     S_k))`` (S_k = prefix sums).  Prefix sums and minima are computed per
     bounded ordered segment and chained per id, as in
     :func:`like_event_outcomes`.  Returns id, old, new.
     """
-    d = deltas.select("id", *order, F.col("delta").cast("bigint").alias("delta"))
+    given = F.col("delta").cast("bigint")
+    unit = F.when(F.abs(given) == 1, given).otherwise(
+        F.raise_error(F.lit("counter_after_deltas: a delta is not 1 or -1")).cast("bigint")
+    )
+    d = deltas.select("id", *order, unit.alias("delta"))
     d = _ordered_segments(d, ["id"], list(order))
     w = Window.partitionBy("id", "__seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__run", F.sum("delta").over(w))
@@ -259,6 +290,11 @@ def _flagged(df: DataFrame, refs: list[tuple[str, DataFrame]]) -> DataFrame:
     return df.where(hit).drop(*[f"__hit{i}" for i in range(len(refs))])
 
 
+def _once(ids: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(ids.sparkSession)
+    return ids.checkpoint()
+
+
 def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[ContentTables, DataFrame]:
     """Delete rows by id with the model's referential actions.
 
@@ -270,8 +306,8 @@ def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[C
     ids = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
     t = tables
     spark = t.users.sparkSession
-    empty = spark.createDataFrame([], "id bigint")
-    del_users, del_posts, del_comment_seeds, del_cats = empty, empty, empty, None
+    none = {name: df.select("id").limit(0) for name, df in t.as_dict().items() if "id" in df.columns}
+    del_users, del_posts, del_comment_seeds, del_cats = none["users"], none["posts"], none["comments"], None
     if table == "users":
         del_users = t.users.select("id").join(ids, "id", "left_semi")
         del_posts = t.posts.join(del_users.select(F.col("id").alias("author_id")), "author_id", "left_semi").select("id")
@@ -292,10 +328,13 @@ def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[C
     else:
         raise ValueError(f"cascade delete from {table!r} is not defined")
 
-    del_comments = subtree(t.comments, del_comment_seeds)
-    likes_gone = _flagged(
+    # each id set is written once and read by the counts and all next tables;
+    # a thread stays on one post, so only the seeds' posts are walked
+    del_users, del_posts = _once(del_users), _once(del_posts)
+    del_comments = _once(subtree(t.comments, _once(del_comment_seeds), within="post_id"))
+    likes_gone = _once(_flagged(
         t.comment_likes.select("user_id", "comment_id"), [("user_id", del_users), ("comment_id", del_comments)]
-    )
+    ))
 
     users = t.users.join(del_users, "id", "left_anti")
     posts = t.posts.join(del_posts, "id", "left_anti")
@@ -307,25 +346,23 @@ def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[C
         categories = (
             t.categories.join(del_cats, "id", "left_anti")
             .join(gone, F.col("parent_id") == F.col("__gone"), "left")
-            .withColumn("parent_id", F.when(F.col("__g"), F.lit(None).cast("int")).otherwise(F.col("parent_id")))
+            .withColumn("parent_id", F.when(F.col("__g").isNull(), F.col("parent_id")))
             .drop("__gone", "__g")
         )
         posts = (
             posts.join(gone, F.col("category_id") == F.col("__gone"), "left")
-            .withColumn("category_id", F.when(F.col("__g"), F.lit(None).cast("int")).otherwise(F.col("category_id")))
+            .withColumn("category_id", F.when(F.col("__g").isNull(), F.col("category_id")))
             .drop("__gone", "__g")
         )
 
-    def cnt(name: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("removed")).select(F.lit(name).alias("table_name"), "removed")
-
-    counts = (
-        cnt("users", del_users)
-        .unionByName(cnt("categories", del_cats if del_cats is not None else empty))
-        .unionByName(cnt("posts", del_posts))
-        .unionByName(cnt("comments", del_comments))
-        .unionByName(cnt("comment_likes", likes_gone))
-    )
+    gone = {
+        "users": del_users, "categories": del_cats if del_cats is not None else none["categories"], "posts": del_posts,
+        "comments": del_comments, "comment_likes": likes_gone,
+    }
+    tagged = spark.createDataFrame([(name, 0) for name in gone], "table_name string, one bigint")
+    for name, df in gone.items():
+        tagged = tagged.unionByName(df.select(F.lit(name).alias("table_name"), F.lit(1).cast("bigint").alias("one")))
+    counts = tagged.groupBy("table_name").agg(F.sum("one").alias("removed"))
     nxt = ContentTables(users=users, categories=categories, posts=posts, comments=comments, comment_likes=likes)
     return nxt, counts
 
@@ -341,6 +378,7 @@ __all__ = [
     "edit_comments",
     "insert_rows",
     "like_event_outcomes",
+    "likes_after_outcomes",
     "set_status",
     "update_merge",
     "update_replace",

@@ -52,10 +52,10 @@ def comment_stats_by_author(users: DataFrame, comments: DataFrame, author_id=Non
 
 
 def comments_by_hour(comments: DataFrame) -> DataFrame:
-    """Hour of day (session time zone) -> comment_count; empty hours absent."""
+    """Hour of day (session time zone) -> comment_count, by hour; empty hours absent."""
     return comments.groupBy(F.hour("created_at").alias("hour")).agg(
         F.count(F.lit(1)).alias("comment_count")
-    )
+    ).orderBy("hour")
 
 
 def likes_count_by_comment(likes: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def most_replied_comments(comments: DataFrame, limit: int = TOP_K_DEFAULT) -> Da
         .orderBy(*order)
         .limit(limit)
     )
-    return fetch_top(roots, top, order)
+    return fetch_top(roots, top, order, limit)
 
 
 def like_count_drift(comments: DataFrame, likes: DataFrame) -> DataFrame:

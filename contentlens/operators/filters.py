@@ -11,9 +11,6 @@ from contentlens.functions.columns import tag_contains, title_matches
 from contentlens.functions.visibility import Viewer, visible_in_listing, visible_single
 from contentlens.schema import PAGE_SIZE_DEFAULT, PAGE_SIZE_MAX, RESPONSE_COLUMNS, STATUS_PUBLISHED
 
-# Key lists up to this length become an IN predicate that reaches the Parquet
-# scan; longer lists (or key DataFrames) become a semi join.
-INLINE_KEYS_MAX = 1000
 PAGE_ORDER = ("created_at", "id")
 
 
@@ -23,8 +20,9 @@ PAGE_ORDER = ("created_at", "id")
 def lookup(df: DataFrame, keys, on: str | Sequence[str] = "id") -> DataFrame:
     """Rows whose key is in ``keys``.
 
-    ``keys`` is a scalar, a short list of scalars / tuples, or a DataFrame
-    of key columns (bulk lookup, executed as a left semi join).
+    ``keys`` is a scalar or a list of scalars / tuples (an IN predicate, which
+    reaches the scan), or a DataFrame of key columns (bulk lookup, a left
+    semi join).
     """
     cols = [on] if isinstance(on, str) else list(on)
     if isinstance(keys, DataFrame):
@@ -35,20 +33,13 @@ def lookup(df: DataFrame, keys, on: str | Sequence[str] = "id") -> DataFrame:
         keys = [keys]
     keys = list(keys)
     if len(cols) == 1:
-        if len(keys) <= INLINE_KEYS_MAX:
-            return df.where(F.col(cols[0]).isin(keys))
-        spark = df.sparkSession
-        return df.join(spark.createDataFrame([(k,) for k in keys], cols), cols, "left_semi")
-    if len(keys) <= INLINE_KEYS_MAX:
-        cond = F.lit(False)
-        for key in keys:
-            term = F.lit(True)
-            for c, v in zip(cols, key):
-                term = term & (F.col(c) == F.lit(v))
-            cond = cond | term
-        return df.where(cond)
-    spark = df.sparkSession
-    return df.join(spark.createDataFrame([tuple(k) for k in keys], cols), cols, "left_semi")
+        return df.where(F.col(cols[0]).isin(keys))
+    if not keys:
+        return df.where(F.lit(False))
+    cond = F.struct(*cols).isin([F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(cols, key))) for key in keys])
+    for i, c in enumerate(cols):  # each column alone, for the scan
+        cond = cond & F.col(c).isin([key[i] for key in keys])
+    return df.where(cond)
 
 
 def by_id(df: DataFrame, ids) -> DataFrame:

@@ -1,12 +1,11 @@
 """Hierarchies over parent pointers (H1-H5): categories and comment threads.
 
-The transitive closure is an iterative frontier join: each level joins the
-frontier to the edge list, removes pairs already found (left anti join), and
-stops when a level adds nothing.  Each level is
-materialised by one reliable checkpoint in the session's shared checkpoint
-folder (which also cuts the lineage), the loop stops when a level is empty,
-never collects rows, and terminates on cycles.  The result is a union of
-checkpointed levels, so it does not depend on executor-local state.
+Every walk doubles: a lift table maps a node to its ancestor 1, 2, 4, ...
+steps up, and one round doubles the distance covered, so a chain of depth D
+needs about log2(D) rounds of one job each.  A round is linear in the nodes
+(or in the pairs asked for) and is written once by a reliable checkpoint in
+the session's shared folder, which also cuts the lineage.  Loops end when
+nothing is left to move, on cycles too; no row is collected.
 """
 
 from __future__ import annotations
@@ -16,23 +15,6 @@ from pyspark.sql import functions as F
 
 from contentlens.session import ensure_checkpoint_dir
 
-CHECKPOINT_EVERY = 4
-MAX_LEVELS = 10_000  # a guard against runaway loops, far beyond any real depth
-# Level-by-level walks stop here and the rest is done by pointer jumping or
-# binary lifting (O(log depth) rounds), so deep chains never cost a job per level.
-SHALLOW_LEVELS = 8
-
-
-def _edges(nodes: DataFrame, direction: str, id_col: str, parent_col: str) -> DataFrame:
-    e = nodes.where(F.col(parent_col).isNotNull())
-    if direction == "up":
-        e = e.select(F.col(id_col).alias("src"), F.col(parent_col).alias("dst"))
-    elif direction == "down":
-        e = e.select(F.col(parent_col).alias("src"), F.col(id_col).alias("dst"))
-    else:
-        raise ValueError("direction must be 'up' or 'down'")
-    return e.distinct()
-
 
 def _cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder."""
@@ -40,220 +22,136 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _parents(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
+    """(v, a): each node and its parent; roots are absent."""
+    return nodes.where(F.col(parent_col).isNotNull()).select(F.col(id_col).alias("v"), F.col(parent_col).alias("a")).distinct()
+
+
+def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(v, a) o (v, a): v -> second(first(v))."""
+    s2 = second.select(F.col("v").alias("__v"), F.col("a").alias("__a"))
+    return first.join(s2, F.col("a") == F.col("__v")).select("v", F.col("__a").alias("a"))
+
+
 def closure(
     nodes: DataFrame,
+    seeds: DataFrame,
     direction: str = "up",
-    seeds: DataFrame | None = None,
     id_col: str = "id",
     parent_col: str = "parent_id",
 ) -> DataFrame:
     """(seed, node, depth): ``node`` is reached from ``seed`` in ``depth`` >= 1
     steps, following parents (``up``) or children (``down``).
 
-    ``seeds`` is a one-column DataFrame of start ids (default: every node).
-    A node on a cycle reaches itself, giving a (x, x) pair; each pair is
-    reported once, at its shortest depth.
+    ``seeds`` is a one-column DataFrame of start ids; the result has one row
+    for each seed and node it reaches, so seeds are given by the caller and
+    never default to every node.  A node on a cycle reaches itself; a pair
+    is reported once, at its shortest depth.
 
-    Each level is written once with a reliable checkpoint (the job that
-    computes it), and the emptiness check reads the checkpoint files.  An
-    upward walk still going after ``SHALLOW_LEVELS`` levels is finished by
-    binary lifting (:func:`_ancestors_by_lifting`).  The
-    result is a union of checkpointed levels, so it depends on no cache; the
-    edge list is cached only while the loop runs.
+    A round extends each seed's known pairs by ``step`` levels through the
+    lift table and squares the table.
     """
-    edges = _edges(nodes, direction, id_col, parent_col).persist()
-    try:
-        if seeds is None:
-            seeds = nodes.select(F.col(id_col).alias("seed"))
-        else:
-            seeds = seeds.select(F.col(seeds.columns[0]).alias("seed"))
-        frontier = _cut(
-            seeds.distinct()
-            .join(edges, F.col("seed") == F.col("src"))
-            .select("seed", F.col("dst").alias("node"), F.lit(1).alias("depth"))
-        )
-        found = frontier
-        level = 1
-        while level < MAX_LEVELS and not frontier.isEmpty():
-            if direction == "up" and level >= SHALLOW_LEVELS:
-                # a long parent chain: finish by binary lifting
-                return _ancestors_by_lifting(nodes, seeds, found, level, id_col, parent_col)
-            level += 1
-            frontier = _cut(
-                frontier.join(edges, F.col("node") == F.col("src"))
-                .select("seed", F.col("dst").alias("node"), F.lit(level).alias("depth"))
-                .distinct()
-                .join(found.select("seed", "node"), ["seed", "node"], "left_anti")
-            )
-            found = found.unionByName(frontier)
-            if level % CHECKPOINT_EVERY == 0:
-                found = _cut(found)
-        return found
-    finally:
-        edges.unpersist()
-
-
-def _ancestors_by_lifting(
-    nodes: DataFrame, seeds: DataFrame, found: DataFrame, level: int, id_col: str, parent_col: str
-) -> DataFrame:
-    """Continue an upward closure whose pairs up to ``level`` steps are in
-    ``found`` (seed, node, depth): ``lift`` maps a node to its ancestor
-    ``step`` levels up; one round extends every seed's path from ``step`` to
-    ``2 * step`` levels and squares the lift, so a chain of depth D needs
-    about log2(D) rounds instead of D.  Pairs already found are never
-    re-added (cycles end the loop)."""
-    lift = _cut(
-        nodes.where(F.col(parent_col).isNotNull())
-        .select(F.col(id_col).alias("v"), F.col(parent_col).alias("a"))
-        .distinct()
-    )
-    # lift by `level` steps = the pairs found at exactly that depth, per node
-    base = seeds.distinct().select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth"))
-    # largest power-of-two lift not beyond level + 1, so the first round
-    # (depths 0..step shifted by step) leaves no gap after the known 1..level
-    step = 1
-    while step * 2 <= level + 1:
-        lift = _cut(_compose(lift, lift))
-        step *= 2
-    # the known path covers depths 1..level; extend from depths 0..level by `step`
-    rounds = 0
-    while rounds < MAX_LEVELS:
-        rounds += 1
-        src = base.unionByName(found.where(F.col("depth") <= F.lit(step)))
-        new = (
-            src.join(lift, F.col("node") == F.col("v"))
-            .select("seed", F.col("a").alias("node"), (F.col("depth") + F.lit(step)).alias("depth"))
-            .groupBy("seed", "node")
-            .agg(F.min("depth").alias("depth"))
-            .join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+    if direction not in ("up", "down"):
+        raise ValueError("direction must be 'up' or 'down'")
+    here, there = ("v", "a") if direction == "up" else ("a", "v")
+    seeds = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
+    lift = _cut(_parents(nodes, id_col, parent_col))
+    known = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("bigint").alias("depth"))
+    found, step = None, 1
+    while True:
+        # known pairs reach to depth step - 1; shifted by step they reach to 2 * step - 1
+        near = (
+            known.join(lift, F.col("node") == F.col(here))
+            .select("seed", F.col(there).alias("node"), (F.col("depth") + F.lit(step)).alias("depth"))
+            .groupBy("seed", "node").agg(F.min("depth").alias("depth"))
         )
-        new = _cut(new)
-        if new.isEmpty():  # nothing within (step, 2 * step]: the chain has ended
-            break
-        found = _cut(found.unionByName(new))
+        if found is not None:
+            near = near.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
+        near = _cut(near)
+        found = near if found is None else found.unionByName(near)
+        if near.isEmpty():
+            return found.select("seed", "node", F.col("depth").cast("int").alias("depth"))
+        known = known.unionByName(near)
         lift = _cut(_compose(lift, lift))
         step *= 2
-    return found
-
-
-def _compose(first: DataFrame, second: DataFrame) -> DataFrame:
-    """(v, a) o (v, a): v -> second(first(v))."""
-    s2 = second.select(F.col("v").alias("__v"), F.col("a").alias("__a"))
-    return first.join(s2, F.col("a") == F.col("__v")).select("v", F.col("__a").alias("a"))
 
 
 def ancestors(categories: DataFrame, category_id) -> DataFrame:
     """H1: the transitive parents of one category (the category excluded)."""
     seed = categories.where(F.col("id") == F.lit(category_id)).select("id")
-    pairs = closure(categories, "up", seed).where(F.col("node") != F.col("seed"))
+    pairs = closure(categories, seed, "up").where(F.col("node") != F.col("seed"))
     return categories.join(pairs.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
 
 
 def descendants(categories: DataFrame, category_id) -> DataFrame:
-    """H2: the transitive children of one category (the category excluded).
-
-    Uses :func:`subtree`, so a deep tree costs O(log depth) rounds after the
-    first few levels."""
+    """H2: the transitive children of one category (the category excluded)."""
     seed = categories.where(F.col("id") == F.lit(category_id)).select("id")
     below = subtree(categories, seed).where(F.col("id") != F.lit(category_id))
     return categories.join(below, "id", "left_semi")
 
 
-def depths(
-    nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", method: str = "doubling"
-) -> DataFrame:
+def _jump(state: DataFrame, moving, step) -> DataFrame:
+    """Pointer jumping: rows for which ``moving`` holds are moved by ``step``
+    (moving rows, all rows) until none is left.  Rows at rest are written once
+    and kept apart; a round rewrites the moving rows only."""
+    state = _cut(state)
+    rest, active = state.where(~moving), state.where(moving)
+    while not active.isEmpty():
+        active = _cut(step(active, rest.unionByName(active)))
+        rest, active = rest.unionByName(active.where(~moving)), active.where(moving)
+    return rest
+
+
+def depths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """(id, depth) of every node reachable from a root (depth 0 = root).
 
     Nodes under a missing parent or on a parent cycle are left out, as in
-    the reference's recursive query.
-
-    ``method="doubling"`` (default) uses pointer jumping: every node keeps a
-    pointer to an ancestor and the distance to it, and each round replaces
-    the pointer by the pointer's pointer, so a chain of depth D resolves in
-    about log2(D) rounds (one job and one checkpoint each) instead of D.
-    ``method="levels"`` walks one level per round from the roots.
+    the reference's recursive query.  A row holds a pointer to an ancestor
+    (NULL once it is past a root), the distance to it, and whether the way is
+    sound; a round replaces the pointer by the pointer's pointer.
     """
-    if method == "levels":
-        return _depths_by_level(nodes, id_col, parent_col)
-    if method != "doubling":
-        raise ValueError("method must be 'doubling' or 'levels'")
-    # state: id, anc (NULL once the pointer reached past a root), dist to anc
-    # (or to the root when anc is NULL), ok (false = dead end / unreachable)
-    state = _cut(
-        nodes.select(
-            F.col(id_col).alias("id"),
-            F.col(parent_col).alias("anc"),
-            F.when(F.col(parent_col).isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
-            F.lit(True).alias("ok"),
-        )
+    state = nodes.select(
+        F.col(id_col).alias("id"),
+        F.col(parent_col).alias("anc"),
+        F.when(F.col(parent_col).isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
+        F.lit(True).alias("ok"),
     )
-    # An acyclic pointer never spans more than the node count; a longer one
-    # is on (or hangs under) a parent cycle and is retired as unreachable.
-    n_nodes = state.count()
-    rounds = 0
-    while rounds < MAX_LEVELS:
-        active = state.where(F.col("anc").isNotNull() & F.col("ok"))
-        if active.isEmpty():
-            break
-        rounds += 1
-        target = state.select(
-            F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"),
-            F.col("ok").alias("t_ok"),
+    size = nodes.count()
+
+    def step(active: DataFrame, every: DataFrame) -> DataFrame:
+        target = every.select(
+            F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"), F.col("ok").alias("t_ok")
         )
-        moved = active.join(target, F.col("anc") == F.col("t_id"), "left").select(
-            "id",
-            F.col("t_anc").alias("anc"),
-            (F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint"))).alias("dist"),
-            # a pointer to a missing node is a dead end
-            (
-                F.col("t_id").isNotNull()
-                & F.coalesce("t_ok", F.lit(False))
-                & (F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint")) <= F.lit(n_nodes))
-            ).alias("ok"),
+        dist = F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint"))
+        return active.join(target, F.col("anc") == F.col("t_id"), "left").select(
+            "id", F.col("t_anc").alias("anc"), dist.alias("dist"),
+            # a missing parent is a dead end; a pointer longer than the node count is on a cycle
+            (F.col("t_id").isNotNull() & F.coalesce("t_ok", F.lit(False)) & (dist <= F.lit(size))).alias("ok"),
         )
-        resting = state.where(F.col("anc").isNull() | ~F.col("ok"))
-        state = _cut(resting.unionByName(moved))
-    return state.where(F.col("anc").isNull() & F.col("ok")).select(
-        "id", F.col("dist").cast("int").alias("depth")
-    )
-
 
-def _depths_by_level(nodes: DataFrame, id_col: str, parent_col: str) -> DataFrame:
-    children = (
-        nodes.where(F.col(parent_col).isNotNull())
-        .select(F.col(id_col).alias("child"), F.col(parent_col).alias("parent"))
-        .persist()
-    )
-    try:
-        level_df = _cut(
-            nodes.where(F.col(parent_col).isNull()).select(F.col(id_col).alias("id"), F.lit(0).alias("depth"))
-        )
-        out = level_df
-        level = 0
-        while level < MAX_LEVELS and not level_df.isEmpty():
-            level += 1
-            level_df = _cut(
-                level_df.join(children, F.col("id") == F.col("parent")).select(
-                    F.col("child").alias("id"), F.lit(level).alias("depth")
-                )
-            )
-            out = out.unionByName(level_df)
-            if level % CHECKPOINT_EVERY == 0:
-                out = _cut(out)
-        return out
-    finally:
-        children.unpersist()
+    done = _jump(state, F.col("anc").isNotNull() & F.col("ok"), step)
+    return done.where("ok").select("id", F.col("dist").cast("int").alias("depth"))
 
 
 def depth_stats(categories: DataFrame) -> DataFrame:
-    """H3: depth -> category_count."""
-    return depths(categories).groupBy("depth").agg(F.count(F.lit(1)).alias("category_count"))
+    """H3: depth -> category_count, by depth."""
+    return depths(categories).groupBy("depth").agg(F.count(F.lit(1)).alias("category_count")).orderBy("depth")
+
 
+def cycle_members(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+    """Ids that reach themselves by following parents (H4's condition).
 
-def cycle_members(nodes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """Ids that reach themselves by following parents (H4's condition)."""
-    pairs = closure(nodes, "up", seeds)
-    return pairs.where(F.col("seed") == F.col("node")).select(F.col("seed").alias("id"))
+    Each round replaces a node's pointer by the pointer's pointer and drops
+    nodes that have run past a root.  Once pointers span more steps than
+    there are nodes with a parent, every pointer lies on a cycle, and the nodes of
+    a cycle point at each other one to one: the pointers are its members.
+    """
+    lift, step = _cut(_parents(nodes, id_col, parent_col)), 1
+    size = lift.count()
+    while step <= size and not lift.isEmpty():
+        lift = _cut(_compose(lift, lift))
+        step *= 2
+    return lift.select(F.col("a").alias("id")).distinct()
 
 
 def reparent_conflicts(categories: DataFrame, changes: DataFrame) -> DataFrame:
@@ -263,7 +161,7 @@ def reparent_conflicts(categories: DataFrame, changes: DataFrame) -> DataFrame:
     descendants as parent)."""
     ch = changes.select("id", "parent_id")
     graph = categories.select("id", "parent_id").join(ch.select("id"), "id", "left_anti").unionByName(ch)
-    return cycle_members(graph, ch.select("id"))
+    return ch.select("id").distinct().join(cycle_members(graph), "id", "left_semi")
 
 
 def marked_by_ancestor(
@@ -272,77 +170,47 @@ def marked_by_ancestor(
     """Ids of nodes that are marked or have a marked node on their parent
     path, by pointer jumping: each node keeps (pointer, hit) where ``hit``
     says whether the path segment up to the pointer holds a mark; a round
-    replaces the pointer by the pointer's pointer and ORs the hits, so a
-    path of length D is covered in about log2(D) rounds."""
+    replaces the pointer by the pointer's pointer and ORs the hits."""
     m = marks.select(F.col(marks.columns[0]).alias("__m"), F.lit(True).alias("__hit")).distinct()
     base = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("anc"))
-    # marked ids that are not rows still count (as marked roots), like seeds
-    # of the level walk
+    # marked ids that are not rows still count (as marked roots)
     extra = m.join(base, F.col("__m") == F.col("id"), "left_anti").select(
         F.col("__m").cast(base.schema["id"].dataType).alias("id"),
         F.lit(None).cast(base.schema["anc"].dataType).alias("anc"),
     )
-    state = _cut(
+    state = (
         base.unionByName(extra)
         .join(m, F.col("id") == F.col("__m"), "left")
-        .select(
-            "id", "anc", F.lit(1).cast("bigint").alias("dist"),
-            F.coalesce("__hit", F.lit(False)).alias("hit"),
-        )
+        .select("id", "anc", F.lit(1).cast("bigint").alias("dist"), F.coalesce("__hit", F.lit(False)).alias("hit"))
     )
-    n_nodes = state.count()
-    rounds = 0
-    while rounds < MAX_LEVELS:
-        active = state.where(F.col("anc").isNotNull() & ~F.col("hit"))
-        if active.isEmpty():
-            break
-        rounds += 1
-        target = state.select(
-            F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"),
-            F.col("hit").alias("t_hit"),
+    size = nodes.count() + marks.count()
+
+    def step(active: DataFrame, every: DataFrame) -> DataFrame:
+        target = every.select(
+            F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"), F.col("hit").alias("t_hit")
         )
-        moved = active.join(target, F.col("anc") == F.col("t_id"), "left").select(
+        dist = F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint"))
+        return active.join(target, F.col("anc") == F.col("t_id"), "left").select(
             "id",
             # a missing parent or a pointer longer than any acyclic path ends the walk
-            F.when(
-                F.col("t_id").isNotNull() & (F.col("dist") + F.col("t_dist") <= F.lit(n_nodes)), F.col("t_anc")
-            ).alias("anc"),
-            (F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint"))).alias("dist"),
+            F.when(F.col("t_id").isNotNull() & (dist <= F.lit(size)), F.col("t_anc")).alias("anc"),
+            dist.alias("dist"),
             F.coalesce("t_hit", F.lit(False)).alias("hit"),
         )
-        resting = state.where(F.col("anc").isNull() | F.col("hit"))
-        state = _cut(resting.unionByName(moved))
-    return state.where("hit").select("id")
+
+    return _jump(state, F.col("anc").isNotNull() & ~F.col("hit"), step).where("hit").select("id")
 
 
-def subtree(nodes: DataFrame, seeds: DataFrame, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
+def subtree(
+    nodes: DataFrame, seeds: DataFrame, id_col: str = "id", parent_col: str = "parent_id", within: str | None = None
+) -> DataFrame:
     """H5: seeds plus every transitive child (ids only, distinct).
 
-    Shallow trees are walked level by level (work proportional to the
-    subtree); when the walk is still going after ``SHALLOW_LEVELS`` levels
-    the rest is finished by :func:`marked_by_ancestor` in O(log depth)
-    rounds, so a long reply chain never costs one job per reply.
+    ``within`` names a column that a node shares with all its descendants
+    (a comment's post): only nodes of the seeds' groups are then walked.
     """
-    children = (
-        nodes.where(F.col(parent_col).isNotNull())
-        .select(F.col(id_col).alias("__child"), F.col(parent_col).alias("__parent"))
-        .persist()
-    )
-    try:
-        found = _cut(seeds.select(F.col(seeds.columns[0]).alias("id")).distinct())
-        frontier = found
-        for level in range(1, SHALLOW_LEVELS + 1):
-            frontier = _cut(
-                frontier.join(children, F.col("id") == F.col("__parent"))
-                .select(F.col("__child").alias("id"))
-                .distinct()
-                .join(found, "id", "left_anti")
-            )
-            if frontier.isEmpty():
-                return found
-            found = found.unionByName(frontier)
-            if level % CHECKPOINT_EVERY == 0:
-                found = _cut(found)
-        return marked_by_ancestor(nodes, found, id_col, parent_col)
-    finally:
-        children.unpersist()
+    seeds = seeds.select(F.col(seeds.columns[0]).alias("id")).distinct()
+    if within is not None:
+        groups = nodes.join(seeds.select(F.col("id").alias(id_col)), id_col, "left_semi").select(within).distinct()
+        nodes = nodes.join(groups, within, "left_semi")
+    return marked_by_ancestor(nodes.select(id_col, parent_col), seeds, id_col, parent_col)

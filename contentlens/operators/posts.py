@@ -100,7 +100,7 @@ def most_commented_posts(posts: DataFrame, comments: DataFrame, limit: int = TOP
         .orderBy(*order)
         .limit(limit)
     )
-    return fetch_top(posts, top, order)
+    return fetch_top(posts, top, order, limit)
 
 
 def most_viewed_posts(posts: DataFrame, limit: int = TOP_K_DEFAULT) -> DataFrame:

@@ -65,9 +65,9 @@ def posts_with_comment_counts(posts: DataFrame, comments: DataFrame, *cols: str)
     )
 
 
-def fetch_top(table: DataFrame, top: DataFrame, order, key: str = "id") -> DataFrame:
+def fetch_top(table: DataFrame, top: DataFrame, order, limit: int, key: str = "id") -> DataFrame:
     """Late materialisation for top-k: ``top`` is the ranked key list (at
-    most ``limit`` rows, so broadcasting it is bounded by the caller's limit);
-    the wide rows of ``table`` are fetched with one map-side join instead of
-    being shuffled through the ranking."""
-    return table.join(F.broadcast(top), key).orderBy(*order)
+    most ``limit`` rows); the wide rows of ``table`` are fetched by a join on
+    the key instead of being shuffled through the ranking, and put in order
+    by a top-``limit``, which needs no range exchange."""
+    return table.join(top, key).orderBy(*order).limit(limit)

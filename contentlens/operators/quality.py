@@ -3,9 +3,10 @@
 A validator takes a batch DataFrame and the current tables and returns the
 batch with a ``reasons`` array (empty = valid); :func:`split` separates valid
 rows from rejects.  Existence checks are joins against one-row-per-key
-projections of the tables; "already taken" checks inside the batch use a
-grouped first-occurrence (partial aggregate) joined back by key, never a
-window over a possibly hot key.
+projections of the tables.  "Already taken" checks inside the batch replay
+it: only a row that passes every other rule can claim a key, and an earlier
+rejected row claims nothing.  They use grouped first occurrences (partial
+aggregates) joined back by key, never a window over a possibly hot key.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from contentlens import schema as S
 from contentlens.operators.hierarchy import reparent_conflicts
+from contentlens.session import ensure_checkpoint_dir
 
 
 def _reason(cond: Column, label: str) -> Column:
@@ -50,13 +52,39 @@ def _exists(
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
-def _first_in_batch(df: DataFrame, key: str, order: str, flag: str) -> DataFrame:
-    """``flag`` = this row is not the first of its key in batch order."""
-    first = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(f"__first_{flag}"))
-    out = df.join(first, key, "left")
-    return out.withColumn(
-        flag, F.coalesce(F.col(order) > F.col(f"__first_{flag}"), F.lit(False))
-    ).drop(f"__first_{flag}")
+def _accepted(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Rows that a one-by-one replay in the order of ``at`` (unique) accepts:
+    a row is refused when an accepted earlier row has one of its ``keys``.
+
+    In a round, rows that come first under each of their keys are accepted
+    and the other rows of those keys refused; the rest goes to the next
+    round.  Rounds end when no row is left (one round per key, unless
+    conflicts over different keys form a chain).
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    left, taken = rows.checkpoint(), None
+    while not left.isEmpty():
+        marked = left
+        for i, k in enumerate(keys):
+            first = left.groupBy(k).agg(F.min(at).alias(f"__first{i}"))
+            marked = marked.join(first, k)
+        wins = F.lit(True)
+        for i in range(len(keys)):
+            wins = wins & (F.col(at) == F.col(f"__first{i}"))
+        won = marked.where(wins).select(*rows.columns).checkpoint()
+        taken = won if taken is None else taken.unionByName(won)
+        rest = left
+        for k in keys:
+            rest = rest.join(won.select(k), k, "left_anti")
+        left = rest.select(*rows.columns).checkpoint()
+    return rows.limit(0) if taken is None else taken
+
+
+def _taken_before(df: DataFrame, accepted: DataFrame, key: str, at: str, flag: str) -> DataFrame:
+    """``flag`` = an accepted earlier row has this row's ``key``."""
+    claim = accepted.select(F.col(key).alias(f"__{flag}_key"), F.col(at).alias(f"__{flag}_at"))
+    out = df.join(claim, F.col(key) == F.col(f"__{flag}_key"), "left")
+    return out.withColumn(flag, F.coalesce(F.col(f"__{flag}_at") < F.col(at), F.lit(False)))
 
 
 def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,19 +93,34 @@ def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.where(ok).drop("reasons"), validated.where(~ok)
 
 
-def validate_users(batch: DataFrame, users: DataFrame, order: str = "seq") -> DataFrame:
-    """V1: batch(email, username[, full_name], seq)."""
+def validate_users(batch: DataFrame, users: DataFrame, order: str | tuple[str, ...] = "seq") -> DataFrame:
+    """V1: batch(email, username[, full_name], seq).
+
+    Rows are replayed in the order of ``seq`` (or of several columns); rows
+    equal in it in an arbitrary but fixed order.  A row that breaks a field rule or meets a
+    stored email or username is refused and claims nothing; of the others,
+    each is accepted unless an accepted earlier row has its email or username.
+    """
     b = batch if "full_name" in batch.columns else batch.withColumn("full_name", F.lit(None).cast("string"))
-    b = _exists(b, F.col("email"), users, "email", "__email_taken")
-    b = _exists(b, F.col("username"), users, "username", "__username_taken")
-    b = _first_in_batch(b, "email", order, "__email_dup")
-    b = _first_in_batch(b, "username", order, "__username_dup")
+    b = _exists(b, F.col("email"), users, "email", "__email_stored")
+    b = _exists(b, F.col("username"), users, "username", "__username_stored")
+    ensure_checkpoint_dir(b.sparkSession)
+    cols = [order] if isinstance(order, str) else list(order)
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(cols)], F.monotonically_increasing_id().alias("r"))
+    b = b.withColumn("__at", at).checkpoint()
+    bad_email = ~F.coalesce(F.col("email").rlike(S.EMAIL_PATTERN), F.lit(False))
+    bad_username = _len_outside("username", *S.USERNAME_LEN)
+    bad_name = F.coalesce(_len_outside("full_name", None, S.FULL_NAME_MAX, required=False), F.lit(False))
+    sound = ~(bad_email | bad_username | bad_name | F.col("__email_stored") | F.col("__username_stored"))
+    accepted = _accepted(b.where(sound).select("email", "username", "__at"), ["email", "username"], "__at")
+    b = _taken_before(b, accepted, "email", "__at", "__email_dup")
+    b = _taken_before(b, accepted, "username", "__at", "__username_dup")
     reasons = _reasons(
-        _reason(~F.coalesce(F.col("email").rlike(S.EMAIL_PATTERN), F.lit(False)), "email_invalid"),
-        _reason(_len_outside("username", *S.USERNAME_LEN), "username_length"),
-        _reason(_len_outside("full_name", None, S.FULL_NAME_MAX, required=False), "full_name_length"),
-        _reason(F.col("__email_taken") | F.col("__email_dup"), "email_taken"),
-        _reason(F.col("__username_taken") | F.col("__username_dup"), "username_taken"),
+        _reason(bad_email, "email_invalid"),
+        _reason(bad_username, "username_length"),
+        _reason(bad_name, "full_name_length"),
+        _reason(F.col("__email_stored") | F.col("__email_dup"), "email_taken"),
+        _reason(F.col("__username_stored") | F.col("__username_dup"), "username_taken"),
     )
     return b.withColumn("reasons", reasons).select(*batch.columns, "reasons")
 
@@ -86,37 +129,34 @@ def validate_categories(batch: DataFrame, categories: DataFrame, order: str = "s
     """V2: batch(id, name, slug[, description], parent_id, seq) of new or
     changed categories.  Slug must be unique among *other* categories, the
     parent must exist (in the table or the batch), and no change may put a
-    category on a parent cycle."""
+    category on a parent cycle.  Only rows that pass all other rules claim
+    their slug, the first by (``seq``, id)."""
     b = batch if "description" in batch.columns else batch.withColumn("description", F.lit(None).cast("string"))
-    # Taken: another category holds the slug now, or an earlier batch row
-    # for another category claimed it (and that claim was not blocked).
     owners = categories.groupBy("slug").agg(F.min("id").alias("__o_min"), F.max("id").alias("__o_max"))
     b = b.join(owners, "slug", "left").withColumn(
         "__slug_taken",
         F.coalesce((F.col("__o_min") != F.col("id")) | (F.col("__o_max") != F.col("id")), F.lit(False)),
     )
-    claims = (
-        b.where(~F.col("__slug_taken") & F.col("slug").isNotNull())
-        .groupBy("slug")
-        .agg(F.min_by("id", F.struct(order, "id")).alias("__c_id"), F.min(order).alias("__c_seq"))
-    )
-    b = b.join(claims, "slug", "left").withColumn(
-        "__slug_dup",
-        F.coalesce((F.col(order) >= F.col("__c_seq")) & (F.col("__c_id") != F.col("id")), F.lit(False)),
-    )
     known = categories.select("id").unionByName(batch.select("id"))
     b = _exists(b, F.col("parent_id"), known, "id", "__parent_found")
     cyc = reparent_conflicts(categories, batch.select("id", "parent_id"))
     b = _exists(b, F.col("id"), cyc, "id", "__cycle", unique=True)
-    slug_bad = _len_outside("slug", *S.CATEGORY_SLUG_LEN) | ~F.coalesce(
-        F.col("slug").rlike(S.SLUG_PATTERN), F.lit(False)
+    bad_name = _len_outside("name", *S.CATEGORY_NAME_LEN)
+    bad_slug = _len_outside("slug", *S.CATEGORY_SLUG_LEN) | ~F.coalesce(F.col("slug").rlike(S.SLUG_PATTERN), F.lit(False))
+    bad_text = F.coalesce(_len_outside("description", None, S.CATEGORY_DESCRIPTION_MAX, required=False), F.lit(False))
+    no_parent = F.col("parent_id").isNotNull() & ~F.col("__parent_found")
+    sound = ~(bad_name | bad_slug | bad_text | F.col("__slug_taken") | no_parent | F.col("__cycle"))
+    claims = b.where(sound).groupBy("slug").agg(F.min(F.struct(order, "id")).alias("__claim"))
+    b = b.join(claims, "slug", "left").withColumn(
+        "__slug_dup",
+        F.coalesce((F.col("__claim.id") != F.col("id")) & (F.struct(order, "id") > F.col("__claim")), F.lit(False)),
     )
     reasons = _reasons(
-        _reason(_len_outside("name", *S.CATEGORY_NAME_LEN), "name_length"),
-        _reason(slug_bad, "slug_invalid"),
-        _reason(_len_outside("description", None, S.CATEGORY_DESCRIPTION_MAX, required=False), "description_length"),
+        _reason(bad_name, "name_length"),
+        _reason(bad_slug, "slug_invalid"),
+        _reason(bad_text, "description_length"),
         _reason(F.col("__slug_taken") | F.col("__slug_dup"), "slug_taken"),
-        _reason(F.col("parent_id").isNotNull() & ~F.col("__parent_found"), "parent_not_found"),
+        _reason(no_parent, "parent_not_found"),
         _reason(F.col("__cycle"), "parent_cycle"),
     )
     return b.withColumn("reasons", reasons).select(*batch.columns, "reasons")
@@ -145,11 +185,14 @@ def validate_comments(batch: DataFrame, posts: DataFrame, comments: DataFrame) -
     Both lookups join one row per key (post id, comment id) onto the batch;
     a batch concentrated on one hot post is split by AQE's skew handling
     without duplicating work, since the right side has one row per key.
+    Root comments (no parent) go around the second join.
     """
     p = posts.select(F.col("id").alias("__pid"), F.col("allow_comments").alias("__allow"))
     c = comments.select(F.col("id").alias("__cid"), F.col("post_id").alias("__parent_post"))
     b = batch.join(p, F.col("post_id") == F.col("__pid"), "left")
-    b = b.join(c, F.col("parent_id") == F.col("__cid"), "left")
+    replies = b.where(F.col("parent_id").isNotNull()).join(c, F.col("parent_id") == F.col("__cid"), "left")
+    roots = b.where(F.col("parent_id").isNull())
+    b = replies.unionByName(roots, allowMissingColumns=True)
     reasons = _reasons(
         _reason(_len_outside("content", *S.COMMENT_CONTENT_LEN), "content_length"),
         _reason(F.col("__pid").isNull(), "post_not_found"),

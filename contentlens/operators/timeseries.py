@@ -30,7 +30,7 @@ def _in_window(col: str, as_of, days: int) -> Column:
 
 
 def new_users_daily(users: DataFrame, as_of, days: int = 30) -> DataFrame:
-    """Date (text), new_users; every spine day present."""
+    """Date (text), new_users, by date; every spine day present."""
     spark = users.sparkSession
     per_day = (
         users.where(_in_window("created_at", as_of, days))
@@ -41,6 +41,7 @@ def new_users_daily(users: DataFrame, as_of, days: int = 30) -> DataFrame:
         date_spine(spark, as_of, days)
         .join(per_day, "date", "left")
         .select(day_text("date").alias("date"), coalesce0("new_users").alias("new_users"))
+        .orderBy("date")
     )
 
 
@@ -54,6 +55,8 @@ def user_activity_timeline(
     semantics: str = "true",
 ) -> DataFrame:
     """Per user and day: posts, comments, likes_given, likes_received.
+    One user's series is ordered by date; the table of all users is left
+    unordered (sort it when it is written, if a reader needs that).
 
     With ``user_id`` only that user (an unknown user yields no rows).  Each
     selected user gets ``days + 1`` rows from a per-row generator over its
@@ -88,7 +91,7 @@ def user_activity_timeline(
         one = F.lit(1).cast("bigint")
         given = F.col("c_likes") * F.greatest(coalesce0("p_n"), one)
         received = F.col("p_likes") * F.greatest(coalesce0("c_n"), one)
-    return j.select(
+    out = j.select(
         "user_id",
         day_text("date").alias("date"),
         coalesce0("p_n").alias("posts"),
@@ -96,6 +99,7 @@ def user_activity_timeline(
         coalesce0(given).alias("likes_given"),
         coalesce0(received).alias("likes_received"),
     )
+    return out if user_id is None else out.orderBy("date")
 
 
 def category_growth(
@@ -107,7 +111,7 @@ def category_growth(
     semantics: str = "true",
 ) -> DataFrame:
     """D3: per day new_posts, new_comments, new_views, new_likes over posts
-    whose category exists.  Views and likes are the counters of posts
+    whose category exists, by date.  Views and likes are the counters of posts
     *created* that day; comments count by their own creation day.
 
     Comments are first reduced to (post, day) counts, so a post holding a
@@ -151,6 +155,7 @@ def category_growth(
             coalesce0("new_views").alias("new_views"),
             coalesce0("new_likes").alias("new_likes"),
         )
+        .orderBy("date")
     )
 
 

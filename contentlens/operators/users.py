@@ -81,7 +81,7 @@ def most_active_users(
         .orderBy(*order)
         .limit(limit)
     )
-    return fetch_top(users, top, order).select(
+    return fetch_top(users, top, order, limit).select(
         *[F.col(f"`{c}`") for c in users.columns], "posts", "comments", "likes_given", "likes_received"
     )
 
@@ -122,10 +122,7 @@ def user_engagement(
     # Unknown user: one zero row.  The single-row default is a literal, and
     # the anti join keeps it only when the lookup found nothing.
     spark = users.sparkSession
-    zero = spark.createDataFrame(
-        [(user_id, 0, 0, 0, 0, 0, 0, 0)],
-        "user_id bigint, total_posts bigint, total_comments bigint, total_likes_given bigint, "
-        "total_likes_received bigint, total_views_received bigint, days_since_join int, "
-        "days_since_last_activity int",
-    )
+    zero = spark.range(1).select(*[
+        F.lit(user_id if c == "user_id" else 0).cast(f.dataType).alias(c) for c, f in zip(out.columns, out.schema.fields)
+    ])
     return out.unionByName(zero.join(out.select("user_id"), "user_id", "left_anti"))

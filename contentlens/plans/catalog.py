@@ -8,6 +8,7 @@ with the DuckDB oracle of :mod:`contentlens.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,9 @@ from contentlens.operators import quality as qa
 from contentlens.operators import timeseries as ts
 from contentlens.operators import users as usr
 from contentlens.plans import reports as rep
+from contentlens.session import ensure_checkpoint_dir
 from contentlens.sources.fixtures import AS_OF, content_tables, likes_raw_view, like_log_view
+from contentlens.sources.tables import load_tables, save_tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -408,31 +411,65 @@ def _q(spark, d):
 
 @query("user_audit")
 def _q(spark, d):
+    """V1 with planted violations of every rule, against stored users."""
     t = _t(spark, d)
-    batch = t.users.select("id", "email", "username")
-    return flat(qa.validate_users(batch, t.users.where(F.lit(False)), order="id").select("id", "reasons"))
+    k = F.col("id")
+    batch = t.users.select(
+        "id",
+        F.floor(k / 2).alias("seq"),
+        F.when(k % 7 == 1, "no-address").otherwise(F.concat(F.lit("user"), (k - k % 5).cast("string"), F.lit("@example.org"))).alias("email"),
+        F.when(k % 11 == 2, "ab").otherwise(F.concat(F.lit("name-"), (k - k % 3).cast("string"))).alias("username"),
+        F.when(k % 13 == 3, F.repeat(F.lit("x"), 300)).alias("full_name"),
+    )
+    stored = t.users.where(F.col("id") % 10 == 0)
+    return flat(qa.validate_users(batch, stored, order=("seq", "id")).select("id", "reasons"))
 
 
 @query("category_audit")
 def _q(spark, d):
+    """V2 with planted violations of every rule, against a third of the categories."""
     t = _t(spark, d)
-    batch = t.categories.select("id", "name", "slug", "parent_id", F.col("id").alias("seq"))
-    v = qa.validate_categories(batch, t.categories.where(F.lit(False)))
+    k = F.col("id")
+    batch = t.categories.select(
+        "id",
+        F.floor(k / 2).alias("seq"),
+        F.when(k % 17 == 4, "").otherwise(F.col("name")).alias("name"),
+        F.when(k % 13 == 5, "Not A Slug").when(k >= 2000, F.concat(F.lit("topic-"), (k - k % 4).cast("string"))).otherwise(F.col("slug")).alias("slug"),
+        F.when(k % 19 == 6, 999999).when(k == 1001, 2006).when(k == 1002, 1002).otherwise(F.col("parent_id")).alias("parent_id"),
+    )
+    v = qa.validate_categories(batch, t.categories.where(F.col("id") % 3 == 0))
     return flat(v.select("id", "reasons"))
 
 
 @query("post_audit")
 def _q(spark, d):
-    t = _t(spark, d)
-    v = qa.validate_posts(t.posts.drop("tags"), t.users, t.categories)
-    return flat(v.select("id", "reasons"))
+    """V3 with planted violations of every rule."""
+    t = _t(spark, d)
+    k = F.col("id")
+    batch = t.posts.select(
+        "id",
+        F.when(k % 23 == 1, "").when(k % 23 == 2, F.repeat(F.lit("t"), 256)).otherwise(F.col("title")).alias("title"),
+        F.when(k % 29 == 3, "").when(k % 29 == 4, F.lit(None)).otherwise(F.col("content")).alias("content"),
+        F.when(k % 31 == 5, F.repeat(F.lit("e"), 501)).when(k % 31 == 6, "short").alias("excerpt"),
+        F.when(k % 37 == 7, "hidden").otherwise(F.col("status")).alias("status"),
+        F.when(k % 41 == 8, -1).otherwise(F.col("author_id")).alias("author_id"),
+        F.when(k % 43 == 9, -1).otherwise(F.col("category_id")).alias("category_id"),
+    )
+    return flat(qa.validate_posts(batch, t.users, t.categories).select("id", "reasons"))
 
 
 @query("comment_audit")
 def _q(spark, d):
+    """V4 with planted violations of every rule."""
     t = _t(spark, d)
-    v = qa.validate_comments(t.comments, t.posts, t.comments)
-    return flat(v.select("id", "reasons"))
+    k = F.col("id")
+    batch = t.comments.select(
+        "id",
+        F.when(k % 23 == 1, "").when(k % 23 == 2, F.repeat(F.lit("c"), 1001)).otherwise(F.col("content")).alias("content"),
+        F.when(k % 29 == 3, -5).otherwise(F.col("post_id")).alias("post_id"),
+        F.when(k % 31 == 4, -9).when(k % 31 == 5, 1).otherwise(F.col("parent_id")).alias("parent_id"),
+    )
+    return flat(qa.validate_comments(batch, t.posts, t.comments).select("id", "reasons"))
 
 
 @query("like_events_final_state")
@@ -446,11 +483,22 @@ def _q(spark, d):
 def _q(spark, d):
     t = _t(spark, d)
     log = like_log_view(spark, d, t.users, t.comments)
-    deltas = log.select(
-        F.col("comment_id").alias("id"), "ts", "event_id",
+    return chg.counter_after_deltas(t.comments, _deltas(log), "like_count", ("ts", "event_id", "user_id"))
+
+
+def _deltas(log):
+    return log.select(
+        F.col("comment_id").alias("id"), "ts", "event_id", "user_id",
         F.when(F.col("action") == "like", 1).otherwise(-1).alias("delta"),
     )
-    return chg.counter_after_deltas(t.comments, deltas, "like_count", ("ts", "event_id"))
+
+
+@query("comments_after_counter_replay")
+def _q(spark, d):
+    """The comments with the replayed counters."""
+    t = _t(spark, d)
+    log = like_log_view(spark, d, t.users, t.comments)
+    return chg.apply_counter_deltas(t.comments, _deltas(log), "like_count", ("ts", "event_id", "user_id"))
 
 
 @query("cascade_delete_counts")
@@ -578,7 +626,7 @@ def _q(spark, d):
     t = _t(spark, d)
     drafts = t.posts.where((F.col("author_id") == 7) & (F.col("status") == "draft")).select("id")
     out = chg.set_status(t.posts, drafts, "published", "2024-02-01 00:00:00")
-    return flat(out.where(F.col("author_id") == 7))
+    return flat(out)
 
 
 @query("reconcile_like_counts")
@@ -598,8 +646,7 @@ def _q(spark, d):
         "post_id",
         F.col("id").alias("parent_id"),
     )
-    out = chg.insert_rows(t.comments, new, "comments", "2024-02-01 00:00:00")
-    return out.where(F.col("post_id") == 7)
+    return chg.insert_rows(t.comments, new, "comments", "2024-02-01 00:00:00")
 
 
 @query("likes_after_log")
@@ -615,8 +662,7 @@ def _q(spark, d):
     """Author 3 rewrites every comment (content upper-cased)."""
     t = _t(spark, d)
     edits = t.comments.where(F.col("author_id") == 3).select("id", F.upper("content").alias("content"))
-    out = chg.edit_comments(t.comments, edits, "2024-02-01 00:00:00")
-    return out.where(F.col("author_id") == 3)
+    return chg.edit_comments(t.comments, edits, "2024-02-01 00:00:00")
 
 
 @query("merge_nation_updates")
@@ -630,7 +676,112 @@ def _q(spark, d):
     return chg.update_merge(t.categories, changes, "2024-02-01 00:00:00")
 
 
-@query("category_closure")
+# ------------------------------------------------------------ whole results
+
+
+@query("user_timeline_all")
+def _q(spark, d):
+    """D2 for every user."""
+    t = _t(spark, d)
+    return ts.user_activity_timeline(t.users, t.posts, t.comments, AS_OF, 30)
+
+
+@query("user_timeline_literal_all")
+def _q(spark, d):
+    t = _t(spark, d)
+    return ts.user_activity_timeline(t.users, t.posts, t.comments, AS_OF, 30, semantics="literal")
+
+
+@query("likes_after_unlikes")
+def _q(spark, d):
+    """The likes that remain after every unlike request of the log."""
+    t = _t(spark, d)
+    log = like_log_view(spark, d, t.users, t.comments)
+    pairs = log.where(F.col("action") == "unlike").select("user_id", "comment_id").distinct()
+    left, _ = chg.delete_likes(t.comment_likes, pairs)
+    return left
+
+
+def _after(spark, d, table, ids):
+    t = _t(spark, d)
+    rows = getattr(t, table)
+    left, _ = chg.cascade_delete(t, table, rows.where(F.col("id").isin(ids)).select("id"))
+    return left
+
+
+@query("posts_after_user_delete")
+def _q(spark, d):
+    """W5 from users: the posts left."""
+    return flat(_after(spark, d, "users", [3]).posts)
+
+
+@query("comments_after_user_delete")
 def _q(spark, d):
-    """H1 for every category: (seed, ancestor, depth)."""
-    return hier.closure(_t(spark, d).categories, "up")
+    return _after(spark, d, "users", [3]).comments
+
+
+@query("likes_after_user_delete")
+def _q(spark, d):
+    return _after(spark, d, "users", [3]).comment_likes
+
+
+@query("comments_after_post_delete")
+def _q(spark, d):
+    """W5 from posts."""
+    return _after(spark, d, "posts", [7]).comments
+
+
+@query("likes_after_comment_delete")
+def _q(spark, d):
+    """W5 from comments."""
+    return _after(spark, d, "comments", [8, 9]).comment_likes
+
+
+@query("posts_after_category_delete")
+def _q(spark, d):
+    """W5 from categories: posts lose the category, children their parent."""
+    return flat(_after(spark, d, "categories", [2007]).posts)
+
+
+@query("categories_after_category_delete")
+def _q(spark, d):
+    return _after(spark, d, "categories", [2007]).categories
+
+
+@query("post_overview_rows")
+def _q(spark, d):
+    """R1 with its breakdowns."""
+    return rep.post_overview(_t(spark, d)).rows()
+
+
+@query("category_overview_rows")
+def _q(spark, d):
+    return rep.category_overview(_t(spark, d)).rows()
+
+
+@query("comment_overview_rows")
+def _q(spark, d):
+    return rep.comment_overview(_t(spark, d)).rows()
+
+
+@query("comments_page_after")
+def _q(spark, d):
+    """P1 by key: the 20 comments that follow comment 500 in page order."""
+    t = _t(spark, d)
+    at = t.comments.where(F.col("id") == 500).select("created_at", "id").first()
+    return flt.page_after(t.comments, (at["created_at"], at["id"]), 20)
+
+
+@query("comment_responses")
+def _q(spark, d):
+    """P3 for every comment."""
+    return flt.respond(_t(spark, d).comments, "comment")
+
+
+@query("snapshot_posts")
+def _q(spark, d):
+    """The posts of a snapshot that was written and loaded again."""
+    t = _t(spark, d)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    save_tables(t, path)
+    return flat(load_tables(spark, path).posts.select(*t.posts.columns))

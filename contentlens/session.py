@@ -14,6 +14,8 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # checkpoint files go with the plans that read them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -75,16 +77,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 
 
-def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int) -> dict[str, str]:
-    """Settings that scale with the data, for a cluster session.
+# Map outputs times reducers that one driver can track; more partitions than
+# this make the map-output table, not the data, the bottleneck.
+MAX_SHUFFLE_PARTITIONS = 50_000
 
-    Shuffle partitions follow the input size (at least two waves of tasks
-    over all cores); AQE then coalesces small partitions and splits skewed
-    ones at run time.  Example: 100 TB on 1000 executors x 8 cores gives
-    400k initial shuffle partitions of ~256 MB.
+
+def cluster_conf(shuffle_bytes: int, executors: int, cores_per_executor: int) -> dict[str, str]:
+    """Settings for a cluster session.
+
+    ``shuffle_bytes`` is what the largest exchange moves after column pruning,
+    filters and partial aggregation, not the size of the input.  Partitions
+    follow it (at least two waves of tasks over all cores); AQE coalesces
+    small ones and splits skewed ones at run time.  Example: 5 TB shuffled of
+    100 TB read, on 1000 executors x 8 cores, gives 20k partitions of 256 MB;
+    beyond 50k, partitions grow instead and spill to local disk.
     """
     cores = max(1, executors * cores_per_executor)
-    partitions = max(2 * cores, -(-int(input_bytes) // TARGET_PARTITION_BYTES))
+    wanted = max(2 * cores, -(-int(shuffle_bytes) // TARGET_PARTITION_BYTES))
+    partitions = min(wanted, max(2 * cores, MAX_SHUFFLE_PARTITIONS))
     return {
         **BASE_CONF,
         "spark.sql.shuffle.partitions": str(partitions),

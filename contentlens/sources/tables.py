@@ -52,7 +52,8 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     """Select and cast ``df`` to the declared schema of ``table``.
 
     Declared columns missing from ``df`` become typed NULLs; undeclared
-    columns (and credentials) are dropped.
+    columns (and credentials) are dropped.  Key columns (``id``, ``*_id``)
+    keep the type of the source when that is text, so UUID keys work.
     """
     schema = TABLE_SCHEMAS[table]
     present = {c.lower(): c for c in df.columns}
@@ -60,7 +61,9 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     for field in schema.fields:
         src = present.get(field.name.lower())
         expr = F.col(f"`{src}`") if src else F.lit(None)
-        cols.append(expr.cast(field.dataType).alias(field.name))
+        key = field.name == "id" or field.name.endswith("_id")
+        text = src is not None and df.schema[src].dataType.typeName() == "string"
+        cols.append(expr.cast("string" if key and text else field.dataType).alias(field.name))
     return df.select(*cols)
 
 

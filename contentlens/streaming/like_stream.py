@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from contentlens.operators.changes import apply_like_events, like_event_outcomes
+from contentlens.operators.changes import likes_after_outcomes, like_event_outcomes
 from contentlens.operators.quality import split_like_events
 
 LIKE_EVENT_SCHEMA = T.StructType(
@@ -70,13 +70,12 @@ def process_batch(
             events, spark.read.parquet(users_path), spark.read.parquet(comments_path)
         )
         rejected.write.mode("overwrite").parquet(f"{state_dir}/rejected/batch={batch_id}")
-    outcomes = like_event_outcomes(likes, events).drop("liked_since")
-    outcomes.write.mode("overwrite").parquet(f"{state_dir}/outcomes/batch={batch_id}")
+    like_event_outcomes(likes, events).write.mode("overwrite").parquet(f"{state_dir}/outcomes/batch={batch_id}")
+    outcomes = spark.read.parquet(f"{state_dir}/outcomes/batch={batch_id}")  # the events are replayed once
     before = likes.select("user_id", "comment_id", F.lit(True).alias("was"))
     # Like-count change per comment: pairs that flipped state in this batch.
     change = (
-        spark.read.parquet(f"{state_dir}/outcomes/batch={batch_id}")
-        .join(before, ["user_id", "comment_id"], "left")
+        outcomes.join(before, ["user_id", "comment_id"], "left")
         .select(
             "comment_id",
             (F.col("liked").cast("int") - F.coalesce(F.col("was"), F.lit(False)).cast("int")).alias("d"),
@@ -86,7 +85,7 @@ def process_batch(
         .where(F.col("like_count_change") != 0)
     )
     change.write.mode("overwrite").parquet(f"{state_dir}/like_counts/batch={batch_id}")
-    apply_like_events(likes, events).write.mode("overwrite").parquet(f"{state_dir}/likes/batch={batch_id}")
+    likes_after_outcomes(likes, outcomes).write.mode("overwrite").parquet(f"{state_dir}/likes/batch={batch_id}")
 
 
 def start_like_stream(

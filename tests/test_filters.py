@@ -98,11 +98,12 @@ def test_respond_projection(t):
     assert out.columns[:3] == ["id", "title", "content"] and "excerpt" not in out.columns
 
 
-def test_cluster_conf_scales_with_input():
-    from contentlens.session import cluster_conf
+def test_cluster_conf_follows_shuffled_bytes():
+    from contentlens.session import MAX_SHUFFLE_PARTITIONS, cluster_conf
 
-    c = cluster_conf(100 * 1024**4, 1000, 8)
-    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    c = cluster_conf(5 * 1024**4, 1000, 8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 20480
+    assert int(cluster_conf(100 * 1024**4, 1000, 8)["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
     assert int(cluster_conf(10 * 1024**2, 10, 4)["spark.sql.shuffle.partitions"]) == 80
 
 
@@ -114,11 +115,15 @@ def test_page_after_matches_offset_pages(t):
     assert [r["id"] for r in second.collect()] == [r["id"] for r in flt.page(t.posts, 2, 2).collect()]
 
 
-def test_lookup_long_key_lists_use_semi_join(spark):
+def test_lookup_plan_follows_the_type_of_the_keys(spark):
     df = spark.range(5000).selectExpr("id", "id % 7 AS k")
-    keys = list(range(0, 3000, 2))  # 1500 keys > INLINE_KEYS_MAX
-    got = flt.lookup(df, keys)
-    assert got.count() == 1500
-    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
-    pairs = [(i, i % 7) for i in range(1200)] + [(1, 5)]  # (1, 5) does not exist
+    keys = list(range(0, 3000, 2))
+    listed = flt.lookup(df, keys)
+    framed = flt.lookup(df, spark.createDataFrame([(k,) for k in keys], "id bigint"))
+    assert listed.count() == framed.count() == 1500
+    assert "Join" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in framed._jdf.queryExecution().executedPlan().toString()
+    pairs = [(i, i % 7) for i in range(1200)] + [(4000, 99)]
     assert flt.lookup(df, pairs, ["id", "k"]).count() == 1200
+    assert flt.lookup(df, [], ["id", "k"]).count() == 0
+

@@ -20,7 +20,7 @@ def walk_up(parent, x):
 
 def closure_pairs(spark, edges, direction="up"):
     df = spark.createDataFrame(edges, NODES)
-    return sorted((r["seed"], r["node"], r["depth"]) for r in hier.closure(df, direction).collect())
+    return sorted((r["seed"], r["node"], r["depth"]) for r in hier.closure(df, df.select("id"), direction).collect())
 
 
 def test_deep_chain_and_orphan(spark):
@@ -72,11 +72,47 @@ def test_random_forest_closure_matches_walk(spark, parents):
 
 @settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.one_of(st.none(), st.integers(0, 14)), min_size=1, max_size=14))
-def test_doubling_depths_match_levels(spark, parents):
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(parents)], NODES)
-    a = sorted(tuple(r) for r in hier.depths(df).collect())
-    b = sorted(tuple(r) for r in hier.depths(df, method="levels").collect())
-    assert a == b
+def test_depths_and_cycles_match_walk(spark, parents):
+    parent = {i: p for i, p in enumerate(parents) if p is not None}
+    df = spark.createDataFrame(list(enumerate(parents)), NODES)
+
+    def ends_at_root(i):
+        above = walk_up(parent, i)
+        top = max(above, key=above.get) if above else i
+        return top < len(parents) and parents[top] is None
+
+    want = sorted((i, len(walk_up(parent, i))) for i in range(len(parents)) if ends_at_root(i))
+    assert sorted(tuple(r) for r in hier.depths(df).collect()) == want
+    cyclic = sorted(i for i in range(len(parents)) if i in walk_up(parent, i))
+    assert sorted(r["id"] for r in hier.cycle_members(df).collect()) == cyclic
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.one_of(st.none(), st.integers(0, 11)), min_size=1, max_size=12))
+def test_random_forest_closure_down(spark, parents):
+    edges = list(enumerate(parents))
+    parent = {i: p for i, p in edges if p is not None}
+    want = sorted((a, x, d) for x, _ in edges for a, d in walk_up(parent, x).items() if a < len(parents))
+    assert closure_pairs(spark, edges, "down") == want
+
+
+def test_chains_of_9_100_and_12000(spark):
+    for n in (9, 100, 12_000):
+        df = spark.range(n).selectExpr("cast(id as int) id", "cast(if(id = 0, null, id - 1) as int) parent_id")
+        up = hier.closure(df, df.where(f"id = {n - 1}").select("id"), "up")
+        assert up.count() == n - 1 and up.agg({"depth": "max"}).first()[0] == n - 1
+        down = hier.closure(df, df.where("id = 0").select("id"), "down")
+        assert down.count() == n - 1 and down.where("depth <> node").count() == 0
+        assert hier.subtree(df, df.where("id = 5").select("id")).count() == n - 5
+        assert hier.depths(df).where("depth <> id").count() == 0 and hier.depths(df).count() == n
+        assert hier.cycle_members(df).count() == 0
+
+
+def test_subtree_within_groups(spark):
+    rows = [(1, None, 7), (2, 1, 7), (3, 2, 7), (4, None, 8), (5, 4, 8), (6, None, 9)]
+    df = spark.createDataFrame(rows, "id long, parent_id long, post_id long")
+    seeds = spark.createDataFrame([(2,), (4,)], "id long")
+    assert sorted(r["id"] for r in hier.subtree(df, seeds, within="post_id").collect()) == [2, 3, 4, 5]
 
 
 def test_doubling_long_chain(spark):
@@ -86,8 +122,8 @@ def test_doubling_long_chain(spark):
     assert got == {i: i for i in range(n)}  # the 2-cycle at the end is left out
 
 
-def test_subtree_deep_chain_switches_to_doubling(spark):
-    n = 60  # deeper than SHALLOW_LEVELS
+def test_subtree_deep_chain(spark):
+    n = 60
     edges = [(0, None)] + [(i, i - 1) for i in range(1, n)] + [(100, None), (101, 100), (200, 201), (201, 200)]
     df = spark.createDataFrame(edges, "id long, parent_id long")
     seeds = spark.createDataFrame([(5,)], "id long")
@@ -108,8 +144,8 @@ def test_marked_by_ancestor_matches_walk(spark, parents, marks):
     assert sorted(r["id"] for r in hier.marked_by_ancestor(df, m).collect()) == want
 
 
-def test_closure_up_deep_chain_uses_lifting(spark):
-    n = 40  # deeper than SHALLOW_LEVELS
+def test_closure_up_deep_chain(spark):
+    n = 40
     edges = [(0, None)] + [(i, i - 1) for i in range(1, n)] + [(100, 101), (101, 102), (102, 100)]
     for i in range(103, 115):
         edges.append((i, i - 1))  # a chain hanging under the 3-cycle
@@ -118,6 +154,6 @@ def test_closure_up_deep_chain_uses_lifting(spark):
     for seed in (n - 1, 114):
         want = sorted((seed, a, d) for a, d in walk_up(parent, seed).items())
         seeds = spark.createDataFrame([(seed,)], "id int")
-        got = sorted((r["seed"], r["node"], r["depth"]) for r in hier.closure(df, "up", seeds).collect())
+        got = sorted((r["seed"], r["node"], r["depth"]) for r in hier.closure(df, seeds, "up").collect())
         assert got == want, seed
     assert sorted(r["id"] for r in hier.ancestors(df, n - 1).collect()) == list(range(n - 1))
