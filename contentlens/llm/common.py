@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,29 @@ def work_folder(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers.
+
+    Nothing is done where the workers find it by PYTHONPATH or their working
+    folder, as on a cluster that installs it.  Else its sources are added to
+    the session as a zip file, which Spark hands to every executor.
+    """
+    root = Path(__file__).resolve().parents[2]
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _SENT or any(p and Path(p).resolve() == root for p in found):
+        return
+    path = Path(tempfile.mkdtemp(prefix="contentlens-code-")) / "contentlens.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "contentlens").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+    _SENT.add(app)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back (cuts lineage)."""
     path = work_folder(df.sparkSession, what)
@@ -32,6 +60,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most bytes of a batch that a Python worker gets; texts are long, and a
+#: worker holds a batch several times over.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session's Arrow batches are bounded to BATCH_BYTES from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in conf.get(key, f"{8 * BATCH_BYTES}b") if c.isdigit()))
+    if now > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 #: Keys that are broadcast at most (two numbers each); more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -52,7 +94,7 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Rec
     if not n:
         return
     col = batch.column(batch.schema.get_field_index(column))
-    sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
     run = np.cumsum(sizes, dtype=np.int64) // max(1, limit)
     cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), n]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -111,7 +153,7 @@ def sorted_groups(
         keys = batch.column(batch.schema.get_field_index(key))
         if held and rows >= at_least:
             last = held[-1].column(held[-1].schema.get_field_index(key))[-1]
-            same = pa.compute.equal(keys, last).fill_null(False).to_numpy(zero_copy_only=False)
+            same = pc.equal(keys, last).fill_null(False).to_numpy(zero_copy_only=False)
             cut = int(same.argmin()) if not same.all() else len(same)
             if cut < len(same):
                 yield from flush([*held, batch.slice(0, cut)] if cut else held)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import pieces_of
+from contentlens.llm.common import bounded_batches, pieces_of
 
 RUN_BYTES = 4 << 20
 KINDS = ["email", "card", "ipv4", "phone", "ssn", "iban", "date"]
@@ -239,7 +239,7 @@ def pseudonymise(docs: DataFrame, key: bytes, counts: str | None = "pii") -> Dat
     """
     if counts and counts.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {counts}; pass another name")
-    typed = docs.withColumn("text", F.col("text").cast("string"))
+    typed = bounded_batches(docs).withColumn("text", F.col("text").cast("string"))
     at = [c.lower() for c in typed.columns].index("text")
     schema = typed.withColumn(counts, F.lit(None).cast("map<string,long>")).schema if counts else typed.schema
 
