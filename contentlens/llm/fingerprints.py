@@ -137,24 +137,32 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     base = base.withColumn("th", F.xxhash64("text"))
     keys = base.select("doc_id", "th", F.length("text").alias("n")).distinct()
     links = stored(_next_keys(keys), "next")
+
+    def key(name: str, id_col: str, th_col: str) -> list[Column]:
+        """Three columns without nulls, so one exchange serves a grouping and a join."""
+        none = F.col(id_col).isNull()
+        return [F.coalesce(id_col, F.lit(0).cast("long")).alias(f"{name}1"), none.alias(f"{name}2"), F.col(th_col).alias(f"{name}3")]
+
+    own, to = ["k1", "k2", "k3"], ["t1", "t2", "t3"]
     before = links.select(
-        F.col("next_id").alias("k_id"), F.col("next_th").alias("k_th"),
-        F.col("doc_id").alias("to_id"), F.col("th").alias("to_th"), F.floor(F.col("n") / 3).cast("int").alias("to_cut"),
-    )
-    rows = base.join(
-        before.hint("shuffle_hash"), base["doc_id"].eqNullSafe(before["k_id"]) & (base["th"] == before["k_th"])
+        *key("k", "next_id", "next_th"), *key("t", "doc_id", "th"), F.floor(F.col("n") / 3).cast("int").alias("to_cut")
     )
+    # both joins take the same columns of the documents, so they share one exchange of the texts
+    base = base.select("text", *key("k", "doc_id", "th"))
+    doc_id = F.when(~F.col("k2"), F.col("k1")).alias("doc_id")
+    rows = base.join(before.hint("shuffle_hash"), own)
     sent = (
-        rows.select("to_id", "to_th", F.col("text").substr(F.lit(1), F.col("to_cut")).alias("head"), tree(F.col("text")).alias("t"))
-        .select("to_id", "to_th", "head", root(F.col("t")).alias("next_root"), F.array_distinct(leaves(F.col("t"))).alias("next_set"))
-        .groupBy("to_id", "to_th")
+        rows.select(*to, F.col("text").substr(F.lit(1), F.col("to_cut")).alias("head"), tree(F.col("text")).alias("t"))
+        .select(*to, "head", root(F.col("t")).alias("next_root"), F.array_distinct(leaves(F.col("t"))).alias("next_set"))
+        .groupBy(*to)
         .agg(F.first("head").alias("head"), F.first("next_root").alias("next_root"), F.first("next_set").alias("next_set"))
+        .withColumnsRenamed(dict(zip(to, own, strict=True)))
     )
     n = F.length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
     return (
-        base.join(sent, base["doc_id"].eqNullSafe(sent["to_id"]) & (base["th"] == sent["to_th"]))
-        .select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), tree(F.col("text")).alias("t"), "next_root", "next_set")
+        base.join(sent, own)
+        .select(doc_id, n.cast("long").alias("n_chars"), edited.alias("edited"), tree(F.col("text")).alias("t"), "next_root", "next_set")
         .select("*", tree(F.col("edited")).alias("e"))
         .select(
             "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_root", "next_set",
