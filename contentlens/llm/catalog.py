@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from contentlens.llm import decontamination, lm_scores, quality, toxicity
-from contentlens.llm.common import table, work_folder
+from contentlens.llm.common import send_package, table, work_folder
 from contentlens.llm.edit_counts import counts_after_edits, routine_edits
 from contentlens.llm.fingerprints import fingerprint_edits
 from contentlens.llm.jaccard_join import jaccard_classes
@@ -22,8 +23,13 @@ SQL: dict[str, str] = {}
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        send_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def tokenizer_file() -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import pieces_of
+from contentlens.llm.common import bounded_batches, pieces_of
 from contentlens.llm.tokens import RUN_BYTES, encoder
 
 #: Characters after which a leaf ends at the next cut.
@@ -203,7 +203,7 @@ def apply_edits(state: DataFrame, edits: Column, tokenizer: str) -> DataFrame:
 
 
 def _base(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
 def counts_after_edits(docs: DataFrame, edits: Column, tokenizer: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import connected_components, pieces_of, sorted_groups, stored, without
+from contentlens.llm.common import bounded_batches, connected_components, pieces_of, sorted_groups, stored, without
 from contentlens.llm.textsets import mix, runs, seeds, signatures, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -267,7 +267,7 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def linked_rows(docs: DataFrame, width: int, similarity: float, recall: float, depth: int, bucket: int, block: int, seed: int) -> DataFrame:
     """doc_id, th (hash of the text), root (of the class; null without words),
     class_id, n_links of every row."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     rows = stored(describe(base.select("doc_id", "th", "text"), width, PLACES), "described")
     full = rows.where("sid IS NOT NULL")

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentlens.llm.common import bounded_batches
+
 
 def sample(labels: DataFrame, label: str, rows: int, seed: int = 3) -> DataFrame:
     """At most ``rows`` labelled ids (l_id, l_label), the least by hash; an id
@@ -18,7 +20,7 @@ def sample(labels: DataFrame, label: str, rows: int, seed: int = 3) -> DataFrame
 def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, text, label of the sampled rows; repeated ids count once."""
     # bounded: at most the sample's rows of two numbers
-    rows = docs.join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("l_id"))
+    rows = bounded_batches(docs).join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("l_id"))
     rows = rows.select(F.col("l_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("l_label").alias("label"))
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 

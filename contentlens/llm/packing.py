@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import pieces_of, stored
+from contentlens.llm.common import bounded_batches, pieces_of, stored
 from contentlens.llm.tokens import RUN_BYTES, crc, encoder, with_end
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, nth long"
@@ -101,7 +101,8 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int) ->
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "nth"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return base.mapInArrow(run, PIECES)
 
 
 def pack(

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import pieces_of, stored
+from contentlens.llm.common import bounded_batches, pieces_of, stored
 from contentlens.llm.labelled import fit_dense, labelled_texts, sample, sigmoid
 from contentlens.llm.textsets import words
 
@@ -153,7 +153,7 @@ def posteriors(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FRO
         raise ValueError(f"docs has columns {sorted(clash)}; pass another prefix")
 
     def evidence(columns: list[str]) -> DataFrame:
-        sited = docs.select(
+        sited = bounded_batches(docs).select(
             *[F.col(f"`{c}`") for c in columns], host_of(F.col("source")).alias(host),
             path_of(F.col("source"), F.col("lang")).alias(path),
             *([] if "text" in columns else [F.col("text")]),

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import pieces_of
+from contentlens.llm.common import bounded_batches, pieces_of
 from contentlens.llm.tokens import RUN_BYTES, crc, encoder, with_end
 
 FILE_SCHEMA = "doc_id long, n_tokens long, local_start long, part int, ids array<int>"
@@ -61,7 +61,7 @@ def write_tokens(
                 before += int(at[-1])
 
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .withColumn("hash", F.xxhash64("text"))
         .withColumn("any", F.rand(11))
         .repartitionByRange("doc_id", "hash", "any")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import pieces_of, stored
+from contentlens.llm.common import bounded_batches, pieces_of, stored
 from contentlens.llm.labelled import labelled_texts, sample, sigmoid
 from contentlens.llm.textsets import words
 
@@ -239,5 +239,5 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
                 score = sigmoid(intercept + np.bincount(text, weights=weights[which], minlength=part.num_rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
