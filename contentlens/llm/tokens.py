@@ -9,8 +9,9 @@ whole texts go to the library.
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +23,23 @@ MEMORY_WORDS = 400_000
 #: Bytes of text encoded at once.
 RUN_BYTES = 4 << 20
 
-_PLAIN = re.compile(r"([a-zß-öø-ÿœ]*)([.,;:!?*#%&$|/()-]*)")
+#: Signs that may follow a word's letters as one pre-token.
+_SIGNS = ".,;:!?*#%&$|/()-"
+#: Words of letters below this one (and not the dotted capital I) are lower-cased
+#: and composed by Python as by the library's normalizer.
+_LATIN_END, _DOTTED = "\u0250", "\u0130"
+
+
+class _Alphabet(dict):
+    """The byte-level letters of a character, as the pre-tokenizer writes them."""
+
+    def __init__(self, pre_tokenizer):
+        super().__init__()
+        self.of = pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, code: int) -> str:
+        got = self[code] = self.of(chr(code))[0][0]
+        return got
 
 
 class TextEncoder:
@@ -41,49 +58,48 @@ class TextEncoder:
         self.parts: dict[str, bytes] = {}
         probe = "ab, c\nd  é."
         self.by_word = self._ids(probe) == b"".join(self._ids(w) for w in probe.replace("\n", " ").split(" "))
-        self.fast = self.by_word and self._part_table()
+        self.fast = self.by_word and array("I").itemsize == 4 and sys.byteorder == "little" and self._part_table()
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part_table(self) -> bool:
-        """Whether a normalised word of letters and a tail of signs are two
-        pre-tokens, which the model can take one by one."""
-        chars = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, (*range(0xDF, 0xF7), *range(0xF8, 0x100)))) + "œ.,;:!?*#%&$|/()-"
+        """Whether letters and the signs after them are two pre-tokens of a
+        lower-cased word, which the model can take one by one."""
         try:
-            self.table = {ord(c): self.whole.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in chars}
-            return all(self._plain(w) == self._ids(w) for w in ("abc", "abc,", "été.", "straße!!", "Œuvre***".lower(), "()"))
+            self.table = _Alphabet(self.whole.pre_tokenizer)
+            probe = ["abc", "Abc,", "été.", "Straße!!", "ŒUVRE***", "()", "x"]
+            self._learn_fast(probe)
+            return all(self.words.pop(w) == self._ids(w) for w in probe)
         except Exception:  # a tokenizer without these parts: whole words go to the library
             return False
 
-    def _plain(self, word: str) -> bytes | None:
-        """Ids of a normalised word by the model alone; None where the
-        pre-tokenizer has to look at it."""
-        m = _PLAIN.fullmatch(word)
-        if m is None:
-            return None
-        out = b""
-        for part in m.groups():
-            if part:
-                got = self.parts.get(part)
-                if got is None:
-                    if len(self.parts) >= MEMORY_WORDS:
-                        self.parts.clear()
-                    got = np.asarray([t.id for t in self.model.tokenize(part.translate(self.table))], "<u4").tobytes()
-                    self.parts[part] = got
-                out += got
-        return out
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) >= MEMORY_WORDS:
+            self.parts.clear()
+        got = self.parts[part] = array("I", [t.id for t in self.model.tokenize(part.translate(self.table))]).tobytes()
+        return got
+
+    def _learn_fast(self, words: list[str]) -> None:
+        known, parts = self.words, self.parts
+        for word in words:
+            core = word.rstrip(_SIGNS)
+            if core and not (core.isalpha() and (core.isascii() or (max(core) < _LATIN_END and _DOTTED not in core))):
+                known[word] = self._ids(word)
+                continue
+            low = core.lower()
+            ids = (parts.get(low) or self._part(low)) if core else b""
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                ids += parts.get(tail) or self._part(tail)
+            known[word] = ids
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > MEMORY_WORDS:
-            self.words.clear()
-        normal: list[str | None] = [None] * len(words)
         if self.fast:
-            got = self.whole.normalizer.normalize_str(" ".join(words)).split(" ")
-            normal = got if len(got) == len(words) else normal
-        for word, low in zip(words, normal, strict=True):
-            ids = self._plain(low) if low is not None else None
-            self.words[word] = self._ids(word) if ids is None else ids
+            self._learn_fast(words)
+        else:
+            for word in words:
+                self.words[word] = self._ids(word)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.fill_null("")
@@ -101,14 +117,12 @@ class TextEncoder:
         if distinct is None:
             blobs = [self._ids(t) for t in texts.to_pylist()]
         else:
-            if missing := [w for w in distinct if w not in self.words]:
+            if len(self.words) + len(distinct) > MEMORY_WORDS:
+                self.words.clear()
+            known = self.words
+            if missing := [w for w in distinct if w not in known]:
                 self._learn(missing)
-            known = self.words.get
-            blobs = [known(w) for w in distinct]
-            if None in blobs:  # the memory started anew meanwhile
-                self._learn([w for w, b in zip(distinct, blobs, strict=True) if b is None])
-                blobs = [known(w) for w in distinct]
-                blobs = [self._ids(w) if b is None else b for w, b in zip(distinct, blobs, strict=True)]
+            blobs = [known[w] for w in distinct]
         flat = np.frombuffer(b"".join(blobs), "<u4")
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
