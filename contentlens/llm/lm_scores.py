@@ -26,12 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import pieces_of, sorted_groups, stored
-from contentlens.llm.textsets import runs, word_hashes
+from contentlens.llm.common import bounded_batches, pieces_of, sorted_groups, stored
+from contentlens.llm.textsets import mix, runs, word_hashes
 
 ORDER, ALPHA = 3, 0.4
 #: Characters of text whose n-grams one bucket of the count tables holds, on average.
-BUCKET_CHARS = 8 << 20
+BUCKET_CHARS = 4 << 20
+#: Bits of an n-gram's hash beyond those that number the corpus's characters:
+#: an n-gram shares its hash with another with a chance below 2^-20 at any size.
+SPARE_BITS = 20
 #: Words after which a block ends (a block holds whole documents).
 BLOCK_WORDS = 1_200_000
 RUN_BYTES = 4 << 20
@@ -57,37 +60,40 @@ def _expand_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(_expand(data, np.uint64), dtype=np.uint64)
 
 
-def _grams(hashes: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(n-gram hashes, end position of each) for n = 1..order."""
-    out = []
+def _grams(hashes: np.ndarray, at: np.ndarray, order: int, width: int):
+    """(n-gram hashes of ``width`` bits, end position of each) for n = 1..order."""
     for n in range(1, order + 1):
         grams, ends = runs(hashes, at, n, short=False)
         count = np.diff(ends)
         first = np.repeat(at[:-1] - ends[:-1], count) + np.arange(len(grams))
-        out.append((grams, first + n - 1))
-    return out
+        yield grams >> np.uint64(64 - width), first + n - 1
 
 
-def _ask(docs: DataFrame, order: int, bits: int, block_words: int) -> DataFrame:
+def _ask(docs: DataFrame, order: int, width: int, bits: int, block_words: int) -> DataFrame:
     def block(key: int, doc_ids: list, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         hashes = np.concatenate([h for h, _ in parts])
         at = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(a) for _, a in parts]))))
-        distinct, index = np.unique(hashes, return_inverse=True)
+        distinct, index, often = np.unique(hashes, return_inverse=True, return_counts=True)
+        ranked = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress
+        rank = np.empty(len(distinct), np.uint32)
+        rank[ranked] = np.arange(len(distinct), dtype=np.uint32)
         own = [
             _squeeze(np.array([d if d is not None else 0 for d in doc_ids], np.int64)),
             _squeeze(np.array([d is None for d in doc_ids], np.uint8)), _squeeze(np.diff(at)),
-            _squeeze_sorted(distinct), _squeeze(index.astype(np.uint32)),
+            _squeeze(distinct[ranked]), _squeeze(rank[index]),
         ]
+        del distinct, index, often, ranked, rank
         buckets: dict[int, tuple[list, list]] = {}
-        for n, (grams, _) in enumerate(_grams(hashes, at, order)):
+        for n, (grams, _) in enumerate(_grams(hashes, at, order, width)):
             values, counts = np.unique(grams, return_counts=True)
-            where = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+            where = (values >> np.uint64(width - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(where)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True):
                 if hi > lo:
                     g, c = buckets.setdefault(int(where[lo]), ([b""] * order, [b""] * order))
                     g[n], c[n] = _squeeze_sorted(values[lo:hi]), _squeeze(counts[lo:hi].astype(np.uint32))
-        rows = [(key % (1 << bits), key, own, None, None)]
+        # a block's own record travels with some bucket, dealt evenly
+        rows = [(int(mix(np.array([key], np.uint64))[0]) & ((1 << bits) - 1), key, own, None, None)]
         rows += [(b, key, None, g, c) for b, (g, c) in sorted(buckets.items())]
         b, k, o, g, c = zip(*rows, strict=True)
         lists = pa.list_(pa.binary())
@@ -153,13 +159,13 @@ def _answer(asked: DataFrame, order: int) -> DataFrame:
     return dealt.mapInArrow(run, "block long, bucket long, own array<binary>, totals array<binary>")
 
 
-def _score_block(own: list[bytes], totals: list[list[bytes]], order: int, alpha: float) -> dict[str, np.ndarray]:
+def _score_block(own: list[bytes], totals: list[list[bytes]], order: int, width: int, alpha: float) -> dict[str, np.ndarray]:
     sizes = _expand(own[2], np.int64)
     at = np.concatenate(([0], np.cumsum(sizes)))
-    hashes = _expand_sorted(own[3])[_expand(own[4], np.uint32)]
+    hashes = _expand(own[3], np.uint64)[_expand(own[4], np.uint32)]
     n_words, doc = len(hashes), np.repeat(np.arange(len(sizes)), sizes)
     count = np.zeros((order + 1, n_words))
-    for n, (grams, ends) in enumerate(_grams(hashes, at, order), 1):
+    for n, (grams, ends) in enumerate(_grams(hashes, at, order, width), 1):
         if not len(grams):
             continue
         distinct, place = np.unique(grams, return_inverse=True)
@@ -212,9 +218,10 @@ def backoff_scores(
     ``docs`` should be a scan of stored files: a block is rebuilt from the
     same rows if an executor is lost.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(48, max(0, math.ceil(math.log2(max(1, chars / bucket_chars)))))
+    width = min(64, math.ceil(math.log2(max(2, chars))) + SPARE_BITS)
+    bits = min(width - 1, max(0, math.ceil(math.log2(max(1, chars / bucket_chars)))))
 
     def act(rows: pa.Table) -> pa.Table | None:
         block = rows.column("block").to_numpy()
@@ -226,14 +233,14 @@ def backoff_scores(
                 (b, t) for b, t in zip(rows.column("bucket")[lo:hi].to_pylist(), rows.column("totals")[lo:hi].to_pylist(), strict=True)
                 if t is not None
             )
-            out.append(pa.table(_score_block(own, [t for _, t in answers], order, alpha)))
+            out.append(pa.table(_score_block(own, [t for _, t in answers], order, width, alpha)))
         return pa.concat_tables(out)
 
     def run(batches):
         return sorted_groups(batches, "block", act, 1)
 
     orders = ", ".join(f"n_order{n} long" for n in range(order + 1))
-    answered = _answer(_ask(base, order, bits, block_words), order)
+    answered = _answer(_ask(base, order, width, bits, block_words), order)
     dealt = answered.repartition(F.col("block")).sortWithinPartitions("block")
     scored = stored(dealt.mapInArrow(run, f"doc_id long, n_words long, partial double, {orders}"), "scores")
     every = scored.agg(F.sum("n_words")).first()[0] or 0
