@@ -1,6 +1,6 @@
 """7. PII: format-preserving pseudonyms from a keyed Feistel permutation.
 
-Found values are validated (card check digits, IPv4 octets, phone plans, real
+Found values are validated (card check digits, IPv4 octets, phone formats, real
 calendar days, IBAN and social security rules, mail addresses); each is
 mapped by a permutation of its own kind's numbers that depends on a secret
 key.  The result has the same format and passes the same validation, equal
@@ -135,15 +135,19 @@ class Pseudonyms:
         return ".".join(map(str, self.permute("ipv4", 1 << 32, number).to_bytes(4, "big")))
 
     def _phone(self, text: str) -> str | None:
+        """Any ten digits; without +1, not both area code and exchange begin with 0 or 1.
+        The others are permuted among themselves, so a number has one pseudonym with and without +1."""
         head = "+1" if text.startswith("+1") else ""
         digits = re.sub(r"\D", "", text[len(head) :])
 
-        def fits(v: int) -> bool:
-            return v >= 2 * 10**9 and f"{v:010d}"[3] >= "2"
+        def plain(v: int) -> bool:
+            return v >= 2 * 10**9 or f"{v:010d}"[3] >= "2"
 
-        if not fits(int(digits)):
+        own = plain(int(digits))
+        if not own and not head:
             return None
-        return head + _fill(text[len(head) :], f"{self._walk('phone', 10**10, int(digits), fits):010d}")
+        new = self._walk("phone", 10**10, int(digits), lambda v: plain(v) == own)
+        return head + _fill(text[len(head) :], f"{new:010d}")
 
     def _ssn(self, text: str) -> str | None:
         def fits(v: int) -> bool:

@@ -44,6 +44,24 @@ def test_dates(day):
     assert NAMES.value("date", got) is not None
 
 
+@pytest.mark.parametrize("phone", ["+1 (017) 555-7713", "+1 (136) 555-7479", "(017) 555-7713", "212-155-0187", "+1 123-055-1234", "+1 (000) 000-0000"])
+def test_phones_of_any_area_code(phone):
+    got, found = pseudonymised(f"call {phone} now", NAMES)
+    new = got[5:-4]
+    assert found == {"phone": 1} and new != phone and re.sub(r"\d", "0", new[2:]) == re.sub(r"\d", "0", phone[2:])
+    assert pseudonymised(new, NAMES)[1] == {"phone": 1}
+
+
+@settings(deadline=None)
+@given(st.integers(0, 10**10 - 1), st.integers(0, 10**10 - 1))
+def test_phones_keep_apart(a, b):
+    x, y = (f"{v:010d}" for v in (a, b))
+    x, y = (f"{v[:3]}-{v[3:6]}-{v[6:]}" for v in (x, y))
+    new, other = NAMES.value("phone", "+1 " + x), NAMES.value("phone", "+1 " + y)
+    assert (new == other) == (a == b)
+    assert NAMES.value("phone", x) in (None, new[3:])
+
+
 def test_kinds_in_text():
     text = (
         "Mail Bob.42@mail8.example.com. Card 4041894974608795, IP 42.144.35.254; call +1 (488) 555-2485 or 212-555-0187. "

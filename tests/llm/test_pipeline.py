@@ -1,6 +1,7 @@
 """The pipeline: each stage against what its operator decides, whole and odd input."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -60,6 +61,15 @@ def test_pii_stage(steps):
     assert not rows(clean) - rows(steps[4])
 
 
+def test_pii_stage_changes_every_phone(steps):
+    phone = re.compile(r"\+1 \(\d{3}\) 555-\d{4}")
+    before, after = ({r.doc_id: r.text or "" for r in s.select("doc_id", "text").collect()} for s in (steps[3], steps[4]))
+    planted = {d: phone.findall(t) for d, t in before.items() if phone.search(t)}
+    assert planted
+    for d, found in planted.items():
+        assert not [p for p in found if p in after[d]]
+
+
 def test_run_packs_what_is_left(spark, steps):
     got = corpus_pipeline.run(spark, SF)
     left = {r.doc_id for r in steps[4].collect()}
