@@ -36,7 +36,14 @@ PATTERNS = {
     "phone": r"(?:\+1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
-_CANDIDATE = re.compile(r"(?<![^\W_])(?<!\d[.-])(?:" + "|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()) + r")(?![^\W_])(?!\.\d)")
+# A card may follow other digits and a hyphen: its run is tried from each of its groups on.
+_BEFORE = {"card": r"(?<!\d\.)"}
+_CANDIDATE = re.compile(
+    r"(?<![^\W_])(?:" + "|".join(_BEFORE.get(k, r"(?<!\d[.-])") + f"(?P<{k}>{p})" for k, p in PATTERNS.items()) + r")(?![^\W_])(?!\.\d)"
+)
+_GROUP = re.compile(r"[^\W_]+")
+# The groups in which cards are printed; these come before any other reading of the same digits.
+_PRINTED = re.compile(r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![^\W_])(?!\.\d)")
 # What every candidate needs near it, for a fast first look.
 _LOOK = re.compile(r"\d|@")
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
@@ -208,28 +215,51 @@ class Pseudonyms:
         return "".join(reversed(new)) + "@" + domain
 
 
+def _valid(text: str, m: re.Match, names: Pseudonyms) -> tuple[str, int, str | None]:
+    """Kind, end and pseudonym of the value that begins where the run ``m`` does.
+
+    A card or IBAN may be followed by other groups of digits or letters (an
+    expiry date, a check value, a count), which the pattern takes in: the run
+    is tried up to each of its group borders, the longest first.
+    """
+    kind, start, end = m.lastgroup or "", m.start(), m.end()
+    if kind == "card" and (card := _PRINTED.match(text, start)) and (got := names.value(kind, card.group())) is not None:
+        return kind, card.end(), got
+    got = names.value(kind, m.group())
+    if got is None:  # not valid as this kind: a value of another kind may hide in it
+        for other in KINDS:
+            if other != kind and re.fullmatch(PATTERNS[other], m.group()):
+                got = names.value(other, m.group())
+                if got is not None:
+                    return other, end, got
+    if got is None and kind in ("card", "iban"):
+        for g in reversed([g.end() for g in _GROUP.finditer(text, start, end)][:-1]):
+            if re.fullmatch(PATTERNS[kind], text[start:g]) and (got := names.value(kind, text[start:g])) is not None:
+                end = g
+                break
+    if got is not None and kind == "card":  # by chance, where a card as printed begins inside and is valid
+        for g in [g.end() for g in _GROUP.finditer(text, start, end)][:-1]:
+            if (card := _PRINTED.match(text, g + 1)) and names.value(kind, card.group()) is not None:
+                return kind, end, None
+    return kind, end, got
+
+
 def pseudonymised(text: str | None, names: Pseudonyms) -> tuple[str | None, dict[str, int]]:
     """The text with its valid values replaced, and their number by kind."""
     found: dict[str, int] = {}
     if not text or not _LOOK.search(text):
         return text, found
 
-    def replace(m: re.Match) -> str:
-        kind = m.lastgroup or ""
-        got = names.value(kind, m.group())
-        if got is None:  # not valid as this kind: a value of another kind may hide in it
-            for other in KINDS:
-                if other != kind and re.fullmatch(PATTERNS[other], m.group()):
-                    got = names.value(other, m.group())
-                    if got is not None:
-                        kind = other
-                        break
-        if got is None:
-            return m.group()
+    out, done, at = [], 0, 0
+    while m := _CANDIDATE.search(text, at):
+        kind, end, got = _valid(text, m, names)
+        if got is None:  # a value may begin at the run's next group
+            at = _GROUP.search(text, m.start()).end()
+            continue
         found[kind] = found.get(kind, 0) + 1
-        return got
-
-    return _CANDIDATE.sub(replace, text), found
+        out += [text[done : m.start()], got]
+        done = at = end
+    return "".join([*out, text[done:]]), found
 
 
 def pseudonymise(docs: DataFrame, key: bytes, counts: str | None = "pii") -> DataFrame:
@@ -237,7 +267,8 @@ def pseudonymise(docs: DataFrame, key: bytes, counts: str | None = "pii") -> Dat
 
     All columns of ``docs`` stay, in order; with ``counts`` a column of
     that name (map of kind to replaced values) follows.  Numbers that fail
-    validation, and all other text, stay as they are.  Null texts stay null
+    validation, and all other text, stay as they are; where a run of groups of
+    digits fails, the runs of its groups are tried from each group on.  Null texts stay null
     and empty ones empty.  Repeated rows give equal rows.  An empty table gives no
     rows.  A ``counts`` name that ``docs`` has already is an error.
     """

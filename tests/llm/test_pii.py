@@ -30,6 +30,38 @@ def test_cards_stay_valid(payload):
     assert NAMES.value("card", spaced).replace(" ", "") == got
 
 
+CARD, SPACED = "4845168114407329", "4845 1681 1440 7329"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [f"card {CARD} 12/27", f"{SPACED} 123", f"12 {CARD}", f"12-{CARD}", f"12 34 56 {SPACED} 123", f"{CARD} 2027-12-01 x", f"{CARD} 12 {SPACED}", f"3 {CARD} 12th",
+     f"5 2024-03-05 {SPACED}", f"AB12 {SPACED}", f"{CARD} 123-45-6789", f"1 2 3 4 5 6 7 8 9 {SPACED} 1 2 3 4 5 6", f"{SPACED}-{SPACED}", f"0000 {SPACED} 0000"],
+)
+def test_cards_beside_other_digits(text):
+    got, found = pseudonymised(text, NAMES)
+    new = NAMES.value("card", CARD)
+    spaced = " ".join(new[i : i + 4] for i in range(0, 16, 4))
+    assert found["card"] == text.count(CARD) + text.count(SPACED) and CARD not in got and SPACED not in got
+    assert got.count(new) == text.count(CARD) and got.count(spaced) == text.count(SPACED)
+
+
+@settings(deadline=None)
+@given(st.integers(10**14, 10**15 - 1), st.integers(0, 9999), st.integers(0, 9999), st.sampled_from([" ", "-"]))
+def test_no_card_stays_beside_numbers(payload, before, after, by):
+    card = f"{payload}" + str(luhn_digit(f"{payload}"))
+    got, found = pseudonymised(f"{before}{by}{card}{by}{after}", NAMES)
+    if len(set(card)) > 1:
+        assert got == f"{before}{by}{NAMES.value('card', card)}{by}{after}" and found == {"card": 1}
+
+
+def test_values_inside_failed_runs():
+    text = "5 2024-03-05 1234; 4 212-555-0187 12; IBAN ES91 2100 0418 4502 0005 1332 BANK"
+    got, found = pseudonymised(text, NAMES)
+    assert found == {"date": 1, "phone": 1, "iban": 1}
+    assert got.startswith("5 ") and " 1234; 4 " in got and got.endswith(" BANK") and "2100 0418" not in got
+
+
 @settings(deadline=None)
 @given(st.ip_addresses(v=4), st.ip_addresses(v=4))
 def test_addresses(a, b):
