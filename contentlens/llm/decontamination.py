@@ -18,8 +18,8 @@ from contentlens.llm.common import WORD_SPLIT, stored, without
 
 #: Words of a shingle; share of an item's shingles that makes a document contaminated.
 WIDTH, SHARE = 5, 0.8
-#: The sketch table is broadcast up to so many rows of two numbers (16 bytes
-#: each, 3 MB in all) and joined by shuffles beyond, with the same result.
+#: The sketch table is broadcast up to so many rows of four numbers (32 bytes
+#: each, 6 MB in all) and joined by shuffles beyond, with the same result.
 BROADCAST_ROWS = 200_000
 
 
@@ -35,16 +35,19 @@ def shingles(words: Column, width: int) -> Column:
 
 
 def item_shingles(items: DataFrame, width: int) -> DataFrame:
-    """item_id, width, shingle (distinct), size.  An item of fewer words than
-    ``width`` is one shingle of all its words; one without words has none."""
+    """item_id, ih (hash of the item's words), width, shingle (distinct), size.
+    An item is its id with its words: different texts with one id (or without
+    one) are items of their own.  An item of fewer words than ``width`` is one
+    shingle of all its words; one without words has none."""
     w = items.select("item_id", words(F.col("text")).alias("w")).withColumn("width", F.least(F.size("w"), F.lit(width)))
+    w = w.withColumn("ih", F.xxhash64("w"))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1), lambda i: F.xxhash64(F.slice("w", i, F.col("width"))))
-    rows = w.where("width > 0").select("item_id", "width", F.explode(runs).alias("shingle")).distinct()
-    return rows.withColumn("size", F.count("*").over(Window.partitionBy("item_id", "width")))
+    rows = w.where("width > 0").select("item_id", "ih", "width", F.explode(runs).alias("shingle")).distinct()
+    return rows.withColumn("size", F.count("*").over(Window.partitionBy("item_id", "ih", "width")))
 
 
 def sketches(rows: DataFrame, share: float, seed: int) -> DataFrame:
-    """item_id, width, shingle, need: each item's least shingles by seeded hash.
+    """item_id, ih, width, shingle, need: each item's least shingles by seeded hash.
 
     In the class of sizes 2^k..2^(k+1)-1 a sketch holds u - ceil(share u) + 1
     shingles, u the largest size of the class.  An item of size s that lies in
@@ -53,17 +56,17 @@ def sketches(rows: DataFrame, share: float, seed: int) -> DataFrame:
     """
     top = F.pow(F.lit(2.0), F.floor(F.log2(F.col("size").cast("double"))) + 1) - 1
     take = top - F.ceil(top * share - 1e-9) + 1
-    order = Window.partitionBy("item_id", "width").orderBy(F.xxhash64("shingle", F.lit(seed)), "shingle")
+    order = Window.partitionBy("item_id", "ih", "width").orderBy(F.xxhash64("shingle", F.lit(seed)), "shingle")
     held = F.least(take, F.col("size").cast("double"))
     need = F.greatest(held - (F.col("size") - F.ceil(F.col("size") * share - 1e-9)), F.lit(1.0))
     return (
         rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= take)
-        .select("item_id", "width", "shingle", need.cast("long").alias("need"))
+        .select("item_id", "ih", "width", "shingle", need.cast("long").alias("need"))
     )
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int, share: float, seed: int) -> DataFrame:
-    """doc_id, th (hash of the text), item_id, n_shingles, n_shared."""
+    """doc_id, th (hash of the text), item_id, ih (hash of the item's words), n_shingles, n_shared."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     base = base.withColumn("th", F.xxhash64("text"))
     bench = stored(item_shingles(items.select(F.col("item_id"), F.col("text").cast("string").alias("text")), width), "bench")
@@ -82,9 +85,9 @@ def matches(docs: DataFrame, items: DataFrame, width: int, share: float, seed: i
         return out
 
     found = (
-        hits(base, sketch).groupBy("doc_id", "th", "item_id", "width")
+        hits(base, sketch).groupBy("doc_id", "th", "item_id", "ih", "width")
         .agg(F.count_distinct("shingle").alias("hits"), F.first("need").alias("need"))
-        .where("hits >= need").select("doc_id", "th", "item_id", "width")
+        .where("hits >= need").select("doc_id", "th", "item_id", "ih", "width")
     )
     found = stored(found, "candidates")
     few = found.select(F.col("doc_id").alias("c_doc"), F.col("th").alias("c_th")).distinct()
@@ -98,7 +101,7 @@ def matches(docs: DataFrame, items: DataFrame, width: int, share: float, seed: i
         each = exact.select("doc_id", "th", F.explode(F.array_distinct(shingles(F.col("w"), k))).alias("shingle"))
         got = each.join(bench.where(F.col("width") == k).drop("width"), "shingle").withColumn("width", F.lit(k))
         out = got if out is None else out.unionByName(got)
-    counted = out.groupBy("doc_id", "th", "item_id", "width").agg(F.count("*").alias("n_shared"), F.first("size").alias("n_shingles"))
+    counted = out.groupBy("doc_id", "th", "item_id", "ih", "width").agg(F.count("*").alias("n_shared"), F.first("size").alias("n_shingles"))
     return counted.where(F.col("n_shared") >= F.ceil(F.col("n_shingles") * share - 1e-9))
 
 
@@ -109,12 +112,15 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: f
     Words are runs of letters, marks and digits, in lower case.  Null texts
     are empty and match nothing.  Rows of ``docs`` with one id and equal texts
     give their matches once; with one id and different texts, each text is
-    searched and the largest count is kept.  Null ids are kept as null.  Empty
-    tables give no rows; further columns are not read.
+    searched and the largest count is kept.  Rows of ``items`` with one id and
+    equal words are one item; with one id, or none, and different words, each
+    is an item with a size, search and row of its own, so an id can occur in
+    several rows of a document.  Null ids are kept as null.  Empty tables give
+    no rows; further columns are not read.
     """
     return (
         matches(docs, items, width, share, seed)
-        .groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
+        .groupBy("doc_id", "item_id", "ih", "n_shingles").agg(F.max("n_shared").alias("n_shared"))
         .select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
     )
 

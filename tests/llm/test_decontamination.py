@@ -64,6 +64,28 @@ def test_brute_force(spark, monkeypatch, seed, broadcast):
     assert all(r.containment == r.n_shared / r.n_shingles for r in got)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_repeated_and_null_item_ids(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    docs, items = sample(3)
+    texts = {i: t for i, t in items}
+    ids = {i: None if i is not None and i % 3 == 0 else i % 2 for i in texts}
+    same = [(ids[i], t) for i, t in items]
+    docs_frame, items_frame = frames(spark, docs, same + same[:3])
+    got = dc.contaminated(docs_frame, items_frame).collect()
+    want = set()  # an item is its id and its words
+    for d, i, n, s in brute(docs, items):
+        want.add((d, ids[i], tuple(re.findall(r"[^\W_]+", texts[i].lower())), n, s))
+    key = str
+    assert sorted(((r.doc_id if r.doc_id is not None else -1, r.item_id, r.n_shingles, r.n_shared) for r in got), key=key) == sorted(
+        ((d, i, n, s) for d, i, _, n, s in want), key=key
+    )
+    left = {r.doc_id for r in dc.clean(docs_frame, items_frame).where("doc_id < 60").collect()}
+    found = {d for d, *_ in want}
+    assert found & set(range(60)) and not left & (found - {6})  # id 6 has two texts
+
+
 def test_empty_tables(spark):
     docs, items = frames(spark, [], [])
     some, bench = frames(spark, [(1, "a b c d e f")], [(1, "a b c d e f")])
