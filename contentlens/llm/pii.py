@@ -38,12 +38,15 @@ PATTERNS = {
 }
 # A card may follow other digits and a hyphen: its run is tried from each of its groups on.
 _BEFORE = {"card": r"(?<!\d\.)"}
+_END = r"(?![^\W_])(?!\.\d)"
+# The date of a time stamp is followed by T and the hour.
+_AFTER = {"date": rf"(?:(?=T\d\d)|{_END})"}
 _CANDIDATE = re.compile(
-    r"(?<![^\W_])(?:" + "|".join(_BEFORE.get(k, r"(?<!\d[.-])") + f"(?P<{k}>{p})" for k, p in PATTERNS.items()) + r")(?![^\W_])(?!\.\d)"
+    r"(?<![^\W_])(?:" + "|".join(_BEFORE.get(k, r"(?<!\d[.-])") + f"(?P<{k}>{p})" + _AFTER.get(k, _END) for k, p in PATTERNS.items()) + ")"
 )
 _GROUP = re.compile(r"[^\W_]+")
 # The groups in which cards are printed; these come before any other reading of the same digits.
-_PRINTED = re.compile(r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?![^\W_])(?!\.\d)")
+_PRINTED = re.compile(r"(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})" + _END)
 # What every candidate needs near it, for a fast first look.
 _LOOK = re.compile(r"\d|@")
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()

@@ -94,6 +94,13 @@ def test_phones_keep_apart(a, b):
     assert NAMES.value("phone", x) in (None, new[3:])
 
 
+@pytest.mark.parametrize("rest", ["T12:00:00Z", "T12:00:00.123+01:00", "T1200", " 12:00", ""])
+def test_dates_of_time_stamps(rest):
+    got, found = pseudonymised(f"at 2024-03-05{rest}", NAMES)
+    assert got == f"at {NAMES.value('date', '2024-03-05')}{rest}" and found == {"date": 1}
+    assert pseudonymised("2024-03-05Tuesday 2024-03-05x", NAMES)[1] == {}
+
+
 def test_kinds_in_text():
     text = (
         "Mail Bob.42@mail8.example.com. Card 4041894974608795, IP 42.144.35.254; call +1 (488) 555-2485 or 212-555-0187. "
