@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from contentlens.llm import decontamination, lm_scores, quality, toxicity
+from contentlens.llm import decontamination, hard_negatives, lm_scores, quality, toxicity
 from contentlens.llm.common import send_package, table, work_folder
 from contentlens.llm.edit_counts import counts_after_edits, routine_edits
 from contentlens.llm.fingerprints import fingerprint_edits
@@ -111,6 +111,16 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of the first five positives of every hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+SQL["op13_hard_negatives"] = hard_negatives.SQL
+
+
 @query
 def pipeline(spark, sf_dir):
     """The corpus pipeline over all documents."""
