@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from contentlens.llm import decontamination, hard_negatives, lm_scores, quality, toxicity
+from contentlens.llm import decontamination, hard_negatives, languages, lm_scores, quality, toxicity
 from contentlens.llm.common import send_package, table, work_folder
 from contentlens.llm.edit_counts import counts_after_edits, routine_edits
 from contentlens.llm.fingerprints import fingerprint_edits
 from contentlens.llm.jaccard_join import jaccard_classes
 from contentlens.llm.packing import pack
 from contentlens.llm.pii import pseudonymise
+from contentlens.llm.spelling import variants_of_documents
 from contentlens.llm.token_files import checksums, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +112,22 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_spelling_variants(spark, sf_dir):
+    """Frequent form and root of every word of all documents, with slips of the pen."""
+    return variants_of_documents(table(spark, sf_dir, "documents"), slip_every=31)
+
+
+@query
+def op12_languages(spark, sf_dir):
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = languages.fit(docs.where(~held))
+    got = languages.languages_of(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op13_hard_negatives(spark, sf_dir):
     """Hard negatives of the first five positives of every hundredth vector."""

@@ -1,0 +1,129 @@
+"""12. Language identification: brute force of the vectors, held-out accuracy."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from contentlens.llm import languages as la
+
+WORDS = {
+    "aa": "banana papaya mango ananas guava".split(),
+    "bb": "schrift strudel zwischen kirsche pfund".split(),
+    "cc": "дом молоко хлеб письмо книга".split(),
+}
+
+
+def corpus(n, seed=1):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        lang = rng.choice(list(WORDS))
+        out.append((i, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(3, 30))), lang))
+    return out
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, c, 1.0, "x") for i, t, c in rows], "doc_id long, text string, lang string, score double, place string")
+
+
+def grams(text):
+    out = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        w = f" {word} "
+        out.update(word)
+        out.update(w[i : i + 2] for i in range(len(w) - 1))
+        out.update(w[i : i + 3] for i in range(len(w) - 2))
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 40])
+def test_counts_are_those_of_the_ngrams(monkeypatch, piece):
+    monkeypatch.setattr(la, "PIECE", piece)
+    texts = ["Ab, ab. ÉTÉ été!", "", "12 34", "a", "été" + " - " * 50 + "été abc", "one two three four five " * 20]
+    number = {}
+    for _, _, counts, has in la.counts_of(pa.array(texts), la.FEATURES):
+        for t, row, h in zip(texts, counts, has.tolist(), strict=True):
+            want = grams(t)
+            assert h == bool(want) and row.sum() == sum(want.values())
+            for g, n in want.items():
+                _, place, _ = la.ngrams([g.strip()])
+                number.setdefault(g, place)
+    # texts of the same n-grams in another order have the same vector
+    (_, _, two, _), = la.counts_of(pa.array(["abc def", "def! ABC"]), la.FEATURES)
+    assert (two[0] == two[1]).all()
+
+
+def test_frequencies_over_all_texts(spark):
+    rows = corpus(300)
+    got = {r["place"]: r["n"] for r in la._frequencies(frame(spark, rows).repartition(7), la.FEATURES).collect()}
+    assert got[-1] == len(rows)
+    by_place = Counter()
+    for _, t, _ in rows:
+        by_place.update(set(la.ngrams([t.lower()])[1].tolist()))
+    assert {k: n for k, n in got.items() if k >= 0} == by_place
+
+
+def test_held_out_texts(spark):
+    rows = corpus(600)
+    model = la.fit(frame(spark, rows[:400]), centroids=3, sample=120)
+    assert model.names == ["aa", "bb", "cc"] and set(model.owner.tolist()) == {0, 1, 2}
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4)
+    got = la.languages_of(frame(spark, rows[400:]), model, prefix="p_").collect()
+    assert len(got) == 200 and all(r["p_lang_pred"] == r["lang"] and 0 <= r["p_score"] <= 1 for r in got)
+    assert all(r["score"] == 1.0 and r["place"] == "x" for r in got)
+    # nearest centroid by hand
+    r = got[0]
+    (_, _, counts, _), = la.counts_of(pa.array([r["text"]]), la.FEATURES)
+    weight = {k: math.log1p(int(counts[0, k])) * float(model.idf[k]) for k in np.flatnonzero(counts[0]).tolist()}
+    length = math.sqrt(sum(w * w for w in weight.values()))
+    best = max(sum(w * float(c[k]) for k, w in weight.items()) / length for c in model.centroids)
+    assert abs(best - r["p_score"]) < 1e-4
+
+
+def test_far_texts_are_rejected(spark):
+    model = la.fit(frame(spark, corpus(400)))
+    odd = [(1, "qxqx wvwv qxqx jkjk", "zz"), (2, "banana mango papaya ananas guava", "aa")]
+    got = {r["doc_id"]: r for r in la.languages_of(frame(spark, odd).drop("score"), model).collect()}
+    assert got[1]["rejected"] and not got[2]["rejected"] and got[2]["lang_pred"] == "aa"
+
+
+def test_odd_rows(spark):
+    model = la.fit(frame(spark, corpus(200) + [(900, None, "aa"), (901, "papaya", None), (902, "", "bb"), (903, "123 !", "dd")]))
+    assert "dd" not in {model.names[k] for k in model.owner}
+    rows = [(None, None, None), (1, "", "aa"), (2, "12 !! 3", "bb"), (3, "x", "bb"), (4, "молоко " * 40_000, None), (4, "молоко " * 40_000, None)]
+    got = la.languages_of(frame(spark, rows).drop("score"), model).collect()
+    assert [r["lang_pred"] for r in got[:3]] == ["und"] * 3 and all(r["score"] == 0 and r["rejected"] for r in got[:3])
+    assert [r["lang_pred"] for r in got[4:]] == ["cc", "cc"] and got[3]["lang_pred"] in model.names
+    with pytest.raises(ValueError):
+        la.languages_of(frame(spark, rows), model)
+
+
+def test_nothing_to_learn_and_empty(spark):
+    model = la.fit(frame(spark, []))
+    assert model.names == []
+    assert [r["lang_pred"] for r in la.languages_of(frame(spark, corpus(3)).drop("score"), model).collect()] == ["und"] * 3
+    assert la.languages_of(frame(spark, []).drop("score"), la.fit(frame(spark, corpus(60)))).collect() == []
+
+
+def test_one_common_text(spark):
+    rows = [(i, "papaya mango", "aa") for i in range(500)] + corpus(60, 3)
+    model = la.fit(frame(spark, rows), sample=30)
+    got = la.languages_of(frame(spark, corpus(60, 4)).drop("score"), model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 58
+
+
+def test_query_over_given_documents(spark):
+    from contentlens.llm.catalog import QUERIES
+
+    path = "/root/testdata/sf0.01"
+    got = QUERIES["op12_languages"](spark, path).join(spark.read.parquet(f"{path}/documents.parquet"), "doc_id")
+    held = got.where("held_out").select("lang", "lang_pred").collect()
+    assert got.count() == 1000 and len(held) > 200
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+    wrong = got.where(F.col("held_out") != (F.crc32(F.col("doc_id").cast("string")) % 4 == 2))
+    assert wrong.isEmpty()
