@@ -4,8 +4,8 @@ A text is a vector of its letter n-grams (one to three letters of lower-cased
 words, with the word's borders), hashed into ``FEATURES`` places, weighted by
 TF-IDF and normalised.  Document frequencies come from all labelled texts.  A
 language is described by several centroids, found by spherical k-means on a
-bounded sample of its texts; a text takes the language of the centroid with
-the largest cosine.  A text that is farther from its nearest centroid than the
+bounded sample of its texts (but those that mislabelled texts make); a text
+takes the language of the centroid with the largest cosine.  A text that is farther from its nearest centroid than the
 centroid's own sample is (``REACH`` standard deviations beyond the mean cosine
 distance) is rejected.
 
@@ -239,25 +239,42 @@ def fit(
     some = low.dropDuplicates(["lang", "text"]).withColumn("place", place).where(F.col("place") <= share)
     vec_type = np.uint16 if features <= 1 << 16 else np.uint32
     taken = some.select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect()  # at most ``sample`` rows
-    centres, owner, far = [], [], []
+    samples, centres, owner, far = {}, [], [], []
     for name in names:
-        rows = [r for r in taken if r["lang"] == name]
-        if not rows:
-            continue
+        rows = sorted((bytes(r["at"]), bytes(r["n"])) for r in taken if r["lang"] == name)
         counts = np.zeros((len(rows), features), np.uint16)
-        for i, r in enumerate(sorted((bytes(r["at"]), bytes(r["n"])) for r in rows)):
-            counts[i, np.frombuffer(r[0], vec_type)] = np.frombuffer(r[1], np.uint16)
-        x = vectors(counts, idf)
-        own, number = spherical_kmeans(x, centroids, ROUNDS, seed)
-        cosine = np.einsum("ij,ij->i", x, own[number])
-        for c in range(len(own)):
-            distance = 1 - cosine[number == c] if (number == c).any() else np.array([1.0])
-            centres.append(own[c])
-            owner.append(names.index(name))
-            far.append(float(distance.mean() + reach * max(distance.std(), 0.02)))
+        for i, (at, n) in enumerate(rows):
+            counts[i, np.frombuffer(at, vec_type)] = np.frombuffer(n, np.uint16)
+        if rows:
+            samples[names.index(name)] = counts
+            x = vectors(counts, idf)
+            own, number = spherical_kmeans(x, centroids, ROUNDS, seed)
+            cosine = np.einsum("ij,ij->i", x, own[number])
+            for c in range(len(own)):
+                distance = 1 - cosine[number == c] if (number == c).any() else np.array([1.0])
+                centres.append(own[c])
+                owner.append(names.index(name))
+                far.append(float(distance.mean() + reach * max(distance.std(), 0.02)))
     if not centres:
         return nothing
-    return Model(names, np.stack(centres).astype(np.float32), np.array(owner), np.array(far), idf)
+    model = Model(names, np.stack(centres).astype(np.float32), np.array(owner), np.array(far), idf)
+    return without_strays(model, samples)
+
+
+def without_strays(model: Model, samples: dict[int, np.ndarray]) -> Model:
+    """Centroids of mislabelled texts go: those that are nearest to more sampled
+    texts of another language than of their own.  A language keeps one at least."""
+    near = np.zeros((len(model.centroids), len(model.names)), np.int64)
+    for lang, counts in samples.items():
+        best = (vectors(counts, model.idf) @ model.centroids.T).argmax(1)
+        near[:, lang] += np.bincount(best, minlength=len(near))
+    own = near[np.arange(len(near)), model.owner]
+    stays = own >= near.max(1)
+    for lang in np.unique(model.owner).tolist():
+        mine = np.flatnonzero(model.owner == lang)
+        if not stays[mine].any():
+            stays[mine[own[mine].argmax()]] = True
+    return Model(model.names, model.centroids[stays], model.owner[stays], model.reach[stays], model.idf)
 
 
 def languages_of(docs: DataFrame, model: Model, text: str = "text", prefix: str = "", unknown: str = "und") -> DataFrame:
