@@ -9,11 +9,14 @@ resulting snapshot to a new folder.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentlens.operators.hierarchy import subtree
-from contentlens.session import ensure_checkpoint_dir
+from contentlens.operators.ordered import ranged, reduce_in_place
+from contentlens.session import stored
 from contentlens.sources.spine import as_of_literal
 from contentlens.sources.tables import ContentTables
 
@@ -134,14 +137,81 @@ def set_status(posts: DataFrame, ids: DataFrame, status: str, as_of) -> DataFram
 
 
 def _ordered_segments(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Tag events with ``__seg``: events are range-partitioned on
-    (key, order), so the partition index splits a hot key's events into
-    consecutive, bounded segments whose order follows the index.
+    """The stretches in which a log is walked: :func:`ranged` rows with the
+    number of their partition, for a look at how a hot key is dealt out."""
+    return ranged(events, key, order).withColumn("__seg", F.spark_partition_id())
+
+
+def _like_walk(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Like/unlike events walked in order, one row per pair: the first event's
+    action and time (whether it changes anything depends on the stored state),
+    the last action, the changes after the first event, the time of the last
+    change to liked among them, the number of events.
+
+    The log goes through one range exchange and is reduced where it lies
+    (:func:`reduce_in_place`); summaries of the few pairs at the borders of
+    partitions are chained.
+    """
+    # other actions are refused requests and touch nothing
+    known = events.where(F.col("action").isin("like", "unlike"))
+    rows = known.select(*key, (F.col("action") == "like").alias("a"), *order)
+
+    def summarise(batch, starts):
+        import numpy as np
+        import pyarrow as pa
+
+        a = batch.column(batch.schema.get_field_index("a")).to_numpy(zero_copy_only=False)
+        ts = batch.column(batch.schema.get_field_index("ts"))
+        n = len(a)
+        change = np.zeros(n, bool)
+        change[1:] = a[1:] != a[:-1]
+        change[starts] = False
+        liked_at = np.maximum.reduceat(np.where(change & a, np.arange(n), -1), starts)
+        ends = np.append(starts[1:], n) - 1
+        return {
+            "first_a": a[starts], "first_ts": ts.take(pa.array(starts)), "last_a": a[ends],
+            "flips": np.add.reduceat(change.astype(np.int64), starts),
+            "like_ts": ts.take(pa.array(liked_at, mask=liked_at < 0)), "n": (ends - starts + 1).astype(np.int64),
+        }
+
+    def combine(left, right):
+        turn = right["first_a"] != left["last_a"]
+        since = right["like_ts"] if right["like_ts"] is not None else right["first_ts"] if turn and right["first_a"] else left["like_ts"]
+        return {
+            **left, "last_a": right["last_a"], "flips": left["flips"] + right["flips"] + int(turn),
+            "like_ts": since, "n": left["n"] + right["n"],
+        }
+
+    kind = rows.schema["ts"].dataType.simpleString()
+    done, edges = reduce_in_place(
+        ranged(rows, key, order), key, summarise, combine,
+        f"first_a boolean, first_ts {kind}, last_a boolean, flips long, like_ts {kind}, n long", "like-walk",
+    )
+    w = Window.partitionBy(*key).orderBy("__seg")  # at most two rows a partition in all
+    turn = F.coalesce(F.col("first_a") != F.lag("last_a").over(w), F.lit(False))
+    edges = edges.withColumn("__turn", turn).withColumn(
+        "__since", F.coalesce("like_ts", F.when(F.col("__turn") & F.col("first_a"), F.col("first_ts")))
+    )
+    chained = edges.groupBy(*key).agg(
+        F.min_by("first_a", "__seg").alias("first_a"),
+        F.min_by("first_ts", "__seg").alias("first_ts"),
+        F.max_by("last_a", "__seg").alias("last_a"),
+        (F.sum("flips") + F.count_if("__turn")).alias("flips"),
+        F.max_by("__since", F.when(F.col("__since").isNotNull(), F.col("__seg"))).alias("like_ts"),
+        F.sum("n").alias("n"),
+    )
+    return done.unionByName(chained)
+
 
-    No partition count is fixed: AQE may merge adjacent small ranges (a
-    merged partition is still one contiguous range, so the order holds),
-    and large inputs keep partitions near the advisory size."""
-    return events.repartitionByRange(*key, *order).withColumn("__seg", F.spark_partition_id())
+def _turned(before) -> dict:
+    """Outcome of a walked pair whose state was ``before`` the first event."""
+    turn = F.col("first_a") != before
+    return {
+        "liked": F.col("last_a"),
+        "accepted": F.col("flips") + turn.cast("bigint"),
+        "rejected": F.col("n") - F.col("flips") - turn.cast("bigint"),
+        "liked_since": F.coalesce("like_ts", F.when(turn & F.col("first_a"), F.col("first_ts"))),
+    }
 
 
 def like_event_outcomes(likes: DataFrame, events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -152,45 +222,17 @@ def like_event_outcomes(likes: DataFrame, events: DataFrame, order: tuple[str, .
     it is; either way the state afterwards equals the event's action.  So an
     event is accepted iff its action differs from the previous event's
     action (or from the stored state for the first event).  Per pair:
-    user_id, comment_id, liked (final state), accepted, rejected.
+    user_id, comment_id, liked (final state), accepted, rejected, liked_since
+    (time of the last accepted like).
 
-    Events are replayed in bounded ordered segments (see
-    :func:`_ordered_segments`); segments are then chained per pair in index
-    order, so no pair's whole history is ever gathered in one task.
+    The log is exchanged once, by ranges of (pair, order), so no pair's whole
+    history is ever gathered in one task; after that a pair is one row.
     """
     key = ["user_id", "comment_id"]
-    # other actions are refused requests and touch nothing
-    known = events.where(F.col("action").isin("like", "unlike"))
-    ev = known.select(*key, (F.col("action") == "like").alias("a"), *order)
-    ev = _ordered_segments(ev, key, list(order))
-    w = Window.partitionBy(*key, "__seg").orderBy(*order)
-    ev = ev.withColumn("__prev", F.lag("a").over(w))
-    ord_struct = F.struct(*order)
-    inner_flip = F.col("__prev").isNotNull() & (F.col("a") != F.col("__prev"))
-    seg = ev.groupBy(*key, "__seg").agg(
-        F.min_by("a", ord_struct).alias("first_a"),
-        F.min_by("ts", ord_struct).alias("first_ts"),
-        F.max_by("a", ord_struct).alias("last_a"),
-        F.count_if(inner_flip).alias("inner_flips"),
-        F.max(F.when(inner_flip & F.col("a"), F.col("ts"))).alias("inner_like_ts"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    stored = likes.select(*key).distinct().withColumn("__stored", F.lit(True))
-    seg = seg.join(stored, key, "left")
-    w2 = Window.partitionBy(*key).orderBy("__seg")
-    before = F.coalesce(F.lag("last_a").over(w2), F.coalesce("__stored", F.lit(False)))
-    seg = seg.withColumn("edge_flip", (F.col("first_a") != before).cast("bigint"))
-    # time of the segment's last accepted like (inner flips follow the first event)
-    seg = seg.withColumn(
-        "like_ts",
-        F.coalesce("inner_like_ts", F.when((F.col("edge_flip") == 1) & F.col("first_a"), F.col("first_ts"))),
-    )
-    return seg.groupBy(*key).agg(
-        F.max_by("last_a", "__seg").alias("liked"),
-        (F.sum("inner_flips") + F.sum("edge_flip")).alias("accepted"),
-        (F.sum("n") - F.sum("inner_flips") - F.sum("edge_flip")).alias("rejected"),
-        F.max_by("like_ts", F.when(F.col("like_ts").isNotNull(), F.col("__seg"))).alias("liked_since"),
-    )
+    walked = _like_walk(events, key, list(order))
+    held = likes.select(*key).distinct().withColumn("__stored", F.lit(True))
+    out = _turned(F.coalesce("__stored", F.lit(False)))
+    return walked.join(held, key, "left").select(*key, *[c.alias(k) for k, c in out.items()])
 
 
 def apply_like_events(likes: DataFrame, events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -198,10 +240,16 @@ def apply_like_events(likes: DataFrame, events: DataFrame, order: tuple[str, ...
 
     Pairs without events are kept.  A pair that ends liked keeps its stored
     row unless a like was accepted (the row was then (re)inserted by the last
-    accepted like, whose ``ts`` becomes ``created_at``); the replay reports
-    that time, so no further pass over the events is needed.
+    accepted like, whose ``ts`` becomes ``created_at``).  Table and walked pairs
+    meet in one join.
     """
-    return likes_after_outcomes(likes, like_event_outcomes(likes, events, order))
+    key = ["user_id", "comment_id"]
+    walked = _like_walk(events, key, list(order))
+    kind = likes.schema["created_at"].dataType
+    both = likes.withColumn("__stored", F.lit(True)).join(walked, key, "full")
+    since = _turned(F.coalesce("__stored", F.lit(False)))["liked_since"]
+    value = {"created_at": F.when(F.col("n").isNull(), F.col("created_at")).otherwise(F.coalesce(since.cast(kind), "created_at"))}
+    return both.where("n IS NULL OR last_a").select(*[value[c].alias(c) if c in value else F.col(f"`{c}`") for c in likes.columns])
 
 
 def likes_after_outcomes(likes: DataFrame, out: DataFrame) -> DataFrame:
@@ -228,22 +276,31 @@ def counter_after_deltas(
     the job.
 
     The end value of the clamped walk is ``c0 + S_n - min(0, min_k(c0 +
-    S_k))`` (S_k = prefix sums).  Prefix sums and minima are computed per
-    bounded ordered segment and chained per id, as in
-    :func:`like_event_outcomes`.  Returns id, old, new.
+    S_k))`` (S_k = prefix sums).  The log is exchanged once, by ranges of (id,
+    order); sums and least prefix sums are taken where the deltas lie, and the
+    ids at the borders of partitions are chained.  Returns id, old, new.
     """
     given = F.col("delta").cast("bigint")
     unit = F.when(F.abs(given) == 1, given).otherwise(
         F.raise_error(F.lit("counter_after_deltas: a delta is not 1 or -1")).cast("bigint")
     )
-    d = deltas.select("id", *order, unit.alias("delta"))
-    d = _ordered_segments(d, ["id"], list(order))
-    w = Window.partitionBy("id", "__seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__run", F.sum("delta").over(w))
-    seg = d.groupBy("id", "__seg").agg(F.sum("delta").alias("s"), F.min("__run").alias("m"))
-    w2 = Window.partitionBy("id").orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("__off", F.coalesce(F.sum("s").over(w2), F.lit(0).cast("bigint")))
-    per_id = seg.groupBy("id").agg(F.sum("s").alias("total"), F.min(F.col("__off") + F.col("m")).alias("low"))
+    rows = deltas.select("id", *order, unit.alias("delta"))
+
+    def summarise(batch, starts):
+        import numpy as np
+
+        delta = batch.column(batch.schema.get_field_index("delta")).to_numpy(zero_copy_only=False).astype(np.int64)
+        sums = np.concatenate(([0], np.cumsum(delta)))
+        return {"s": np.add.reduceat(delta, starts), "m": np.minimum.reduceat(sums[1:], starts) - sums[starts]}
+
+    def combine(left, right):
+        return {**left, "s": left["s"] + right["s"], "m": min(left["m"], left["s"] + right["m"])}
+
+    done, edges = reduce_in_place(ranged(rows, ["id"], list(order)), ["id"], summarise, combine, "s long, m long", "counter-walk")
+    w = Window.partitionBy("id").orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("m", F.coalesce(F.sum("s").over(w), F.lit(0).cast("bigint")) + F.col("m"))
+    chained = edges.groupBy("id").agg(F.sum("s").alias("s"), F.min("m").alias("m"))
+    per_id = done.unionByName(chained).select("id", F.col("s").alias("total"), F.col("m").alias("low"))
     base = table.select("id", F.col(column).cast("bigint").alias("old"))
     j = base.join(per_id, "id", "left")
     low = F.least(F.lit(0).cast("bigint"), F.col("old") + F.coalesce("low", F.lit(0).cast("bigint")))
@@ -290,81 +347,128 @@ def _flagged(df: DataFrame, refs: list[tuple[str, DataFrame]]) -> DataFrame:
     return df.where(hit).drop(*[f"__hit{i}" for i in range(len(refs))])
 
 
-def _once(ids: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(ids.sparkSession)
-    return ids.checkpoint()
-
-
-def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[ContentTables, DataFrame]:
-    """Delete rows by id with the model's referential actions.
+class _Cascade:
+    """The id sets that a delete reaches.  Each is planned when it is first asked
+    for; the set of comments, which needs rounds, is then written once."""
+
+    def __init__(self, t: ContentTables, table: str, ids: DataFrame):
+        if table not in ("users", "categories", "posts", "comments"):
+            raise ValueError(f"cascade delete from {table!r} is not defined")
+        self.t, self.table = t, table
+        self.ids = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+
+    def _own(self, table: str) -> DataFrame:
+        rows = self.t.as_dict()[table].select("id")
+        return rows.join(self.ids, "id", "left_semi") if table == self.table else rows.limit(0)
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return self._own("users")
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        return self._own("categories")
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        if self.table != "users":
+            return self._own("posts")
+        return self.t.posts.join(self.users.select(F.col("id").alias("author_id")), "author_id", "left_semi").select("id")
+
+    @cached_property
+    def comments(self) -> DataFrame:
+        c = self.t.comments
+        if self.table == "users":
+            # one pass over comments: by a deleted author or on a deleted post
+            flagged = _flagged(c.select("id", "author_id", "post_id"), [("author_id", self.users), ("post_id", self.posts)])
+            seeds = flagged.select("id")
+        elif self.table == "posts":
+            # a thread stays on its post: the post's comments are all there is
+            return c.join(self.posts.select(F.col("id").alias("post_id")), "post_id", "left_semi").select("id")
+        else:
+            seeds = self._own("comments")
+            if self.table == "categories":
+                return seeds
+        # only the threads of the seeds' posts are walked
+        return stored(subtree(c, stored(seeds, "seeds"), within="post_id"), "deleted-comments")
+
+    @cached_property
+    def likes(self) -> DataFrame:
+        keys = self.t.comment_likes.select("user_id", "comment_id")
+        return _flagged(keys, [("user_id", self.users), ("comment_id", self.comments)])
+
+    def after(self, table: str) -> DataFrame:
+        """The table after the delete."""
+        rows = self.t.as_dict()[table]
+        if table == self.table == "categories" or table == "posts" and self.table == "categories":
+            ref = "parent_id" if table == "categories" else "category_id"
+            if table == "categories":
+                rows = rows.join(self.categories, "id", "left_anti")
+            gone = self.categories.select(F.col("id").alias("__gone"), F.lit(True).alias("__g"))
+            rows = rows.join(gone, F.col(ref) == F.col("__gone"), "left")
+            return rows.withColumn(ref, F.when(F.col("__g").isNull(), F.col(ref))).drop("__gone", "__g")
+        if table == "comment_likes":
+            if self.table == "categories":
+                return rows
+            if self.table == "users":
+                rows = rows.join(self.users.select(F.col("id").alias("user_id")), "user_id", "left_anti")
+            out = rows.join(self.comments.select(F.col("id").alias("comment_id")), "comment_id", "left_anti")
+            return out.select(*self.t.comment_likes.columns)
+        reached = {"users": ("users",), "posts": ("users", "posts"), "comments": ("users", "posts", "comments")}
+        if self.table not in reached.get(table, ()):
+            return rows
+        return rows.join(getattr(self, table), "id", "left_anti")
+
+
+class _TablesAfter(ContentTables):
+    """Tables after a delete; one is planned when it is first read."""
+
+    def __init__(self, cascade: _Cascade):
+        object.__setattr__(self, "_cascade", cascade)
+
+    def __getattribute__(self, name: str):
+        if name not in ContentTables.__dataclass_fields__:
+            return super().__getattribute__(name)
+        made = self.__dict__.get(name)
+        if made is None:
+            made = self.__dict__[name] = self._cascade.after(name)
+        return made
+
+    def with_(self, **changes: DataFrame) -> ContentTables:
+        return ContentTables(**{**self.as_dict(), **changes})
+
+
+def tables_after_delete(tables: ContentTables, table: str, ids: DataFrame) -> ContentTables:
+    """The tables after deleting rows by id with the model's referential
+    actions.
 
     user -> its posts, comments and likes; post -> its comments; comment ->
     its reply subtree (H5) and likes; category -> children's parent_id and
-    posts' category_id set to NULL.  Returns (next tables, removed counts
-    per table as rows ``(table, removed)``).
+    posts' category_id set to NULL.  A next table reads only the id sets that it
+    depends on: the posts after a user's delete never walk a thread.
     """
-    ids = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
-    t = tables
-    spark = t.users.sparkSession
-    none = {name: df.select("id").limit(0) for name, df in t.as_dict().items() if "id" in df.columns}
-    del_users, del_posts, del_comment_seeds, del_cats = none["users"], none["posts"], none["comments"], None
-    if table == "users":
-        del_users = t.users.select("id").join(ids, "id", "left_semi")
-        del_posts = t.posts.join(del_users.select(F.col("id").alias("author_id")), "author_id", "left_semi").select("id")
-        # one pass over comments: by a deleted author or on a deleted post
-        del_comment_seeds = _flagged(
-            t.comments.select("id", "author_id", "post_id"),
-            [("author_id", del_users), ("post_id", del_posts)],
-        ).select("id")
-    elif table == "posts":
-        del_posts = t.posts.select("id").join(ids, "id", "left_semi")
-        del_comment_seeds = t.comments.join(
-            del_posts.select(F.col("id").alias("post_id")), "post_id", "left_semi"
-        ).select("id")
-    elif table == "comments":
-        del_comment_seeds = t.comments.select("id").join(ids, "id", "left_semi")
-    elif table == "categories":
-        del_cats = t.categories.select("id").join(ids, "id", "left_semi")
-    else:
-        raise ValueError(f"cascade delete from {table!r} is not defined")
-
-    # each id set is written once and read by the counts and all next tables;
-    # a thread stays on one post, so only the seeds' posts are walked
-    del_users, del_posts = _once(del_users), _once(del_posts)
-    del_comments = _once(subtree(t.comments, _once(del_comment_seeds), within="post_id"))
-    likes_gone = _once(_flagged(
-        t.comment_likes.select("user_id", "comment_id"), [("user_id", del_users), ("comment_id", del_comments)]
-    ))
-
-    users = t.users.join(del_users, "id", "left_anti")
-    posts = t.posts.join(del_posts, "id", "left_anti")
-    comments = t.comments.join(del_comments, "id", "left_anti")
-    likes = t.comment_likes.join(likes_gone, ["user_id", "comment_id"], "left_anti")
-    categories = t.categories
-    if del_cats is not None:
-        gone = del_cats.select(F.col("id").alias("__gone"), F.lit(True).alias("__g"))
-        categories = (
-            t.categories.join(del_cats, "id", "left_anti")
-            .join(gone, F.col("parent_id") == F.col("__gone"), "left")
-            .withColumn("parent_id", F.when(F.col("__g").isNull(), F.col("parent_id")))
-            .drop("__gone", "__g")
-        )
-        posts = (
-            posts.join(gone, F.col("category_id") == F.col("__gone"), "left")
-            .withColumn("category_id", F.when(F.col("__g").isNull(), F.col("category_id")))
-            .drop("__gone", "__g")
-        )
+    return _TablesAfter(_Cascade(tables, table, ids))
 
-    gone = {
-        "users": del_users, "categories": del_cats if del_cats is not None else none["categories"], "posts": del_posts,
-        "comments": del_comments, "comment_likes": likes_gone,
-    }
-    tagged = spark.createDataFrame([(name, 0) for name in gone], "table_name string, one bigint")
-    for name, df in gone.items():
-        tagged = tagged.unionByName(df.select(F.lit(name).alias("table_name"), F.lit(1).cast("bigint").alias("one")))
-    counts = tagged.groupBy("table_name").agg(F.sum("one").alias("removed"))
-    nxt = ContentTables(users=users, categories=categories, posts=posts, comments=comments, comment_likes=likes)
-    return nxt, counts
+
+def _removed(cascade: _Cascade) -> DataFrame:
+    spark = cascade.t.users.sparkSession
+    counts = spark.createDataFrame([(n, 0) for n in cascade.t.as_dict()], "table_name string, removed bigint")
+    reached = {"users": ["users", "posts", "comments", "likes"], "posts": ["posts", "comments", "likes"], "comments": ["comments", "likes"]}
+    for name in reached.get(cascade.table, [cascade.table]):
+        label = F.lit("comment_likes" if name == "likes" else name).alias("table_name")
+        counts = counts.unionByName(getattr(cascade, name).agg(F.count(F.lit(1)).alias("removed")).select(label, "removed"))
+    return counts.groupBy("table_name").agg(F.sum("removed").alias("removed"))
+
+
+def delete_counts(tables: ContentTables, table: str, ids: DataFrame) -> DataFrame:
+    """Rows ``(table_name, removed)`` that :func:`tables_after_delete` removes."""
+    return _removed(_Cascade(tables, table, ids))
+
+
+def cascade_delete(tables: ContentTables, table: str, ids: DataFrame) -> tuple[ContentTables, DataFrame]:
+    """:func:`tables_after_delete` and :func:`delete_counts` over the same id sets."""
+    cascade = _Cascade(tables, table, ids)
+    return _TablesAfter(cascade), _removed(cascade)
 
 
 __all__ = [
@@ -374,12 +478,14 @@ __all__ = [
     "cascade_delete",
     "category_delete_rejects",
     "counter_after_deltas",
+    "delete_counts",
     "delete_likes",
     "edit_comments",
     "insert_rows",
     "like_event_outcomes",
     "likes_after_outcomes",
     "set_status",
+    "tables_after_delete",
     "update_merge",
     "update_replace",
 ]

@@ -93,12 +93,21 @@ def descendants(categories: DataFrame, category_id) -> DataFrame:
 def _jump(state: DataFrame, moving, step) -> DataFrame:
     """Pointer jumping: rows for which ``moving`` holds are moved by ``step``
     (moving rows, all rows) until none is left.  Rows at rest are written once
-    and kept apart; a round rewrites the moving rows only."""
+    and kept apart; a round rewrites the moving rows only.
+
+    A row d steps from its rest has a parent d - 1 steps from it, so after a
+    round that brought no row to rest none will ever come: what still moves is
+    on a parent cycle or below one, and is not returned.
+    """
     state = _cut(state)
     rest, active = state.where(~moving), state.where(moving)
-    while not active.isEmpty():
+    left = active.count()
+    while left:
         active = _cut(step(active, rest.unionByName(active)))
-        rest, active = rest.unionByName(active.where(~moving)), active.where(moving)
+        rest, active, before = rest.unionByName(active.where(~moving)), active.where(moving), left
+        left = active.count()
+        if left == before:
+            break
     return rest
 
 
@@ -116,7 +125,6 @@ def depths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id")
         F.when(F.col(parent_col).isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
         F.lit(True).alias("ok"),
     )
-    size = nodes.count()
 
     def step(active: DataFrame, every: DataFrame) -> DataFrame:
         target = every.select(
@@ -125,8 +133,8 @@ def depths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id")
         dist = F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint"))
         return active.join(target, F.col("anc") == F.col("t_id"), "left").select(
             "id", F.col("t_anc").alias("anc"), dist.alias("dist"),
-            # a missing parent is a dead end; a pointer longer than the node count is on a cycle
-            (F.col("t_id").isNotNull() & F.coalesce("t_ok", F.lit(False)) & (dist <= F.lit(size))).alias("ok"),
+            # a missing parent is a dead end
+            (F.col("t_id").isNotNull() & F.coalesce("t_ok", F.lit(False))).alias("ok"),
         )
 
     done = _jump(state, F.col("anc").isNotNull() & F.col("ok"), step)
@@ -142,26 +150,61 @@ def cycle_members(nodes: DataFrame, id_col: str = "id", parent_col: str = "paren
     """Ids that reach themselves by following parents (H4's condition).
 
     Each round replaces a node's pointer by the pointer's pointer and drops
-    nodes that have run past a root.  Once pointers span more steps than
-    there are nodes with a parent, every pointer lies on a cycle, and the nodes of
+    nodes that have run past a root.  After a round without a loss only nodes
+    on and below cycles are left; once their pointers span as many steps as
+    there are such nodes, every pointer lies on a cycle, and the nodes of
     a cycle point at each other one to one: the pointers are its members.
     """
     lift, step = _cut(_parents(nodes, id_col, parent_col)), 1
     size = lift.count()
-    while step <= size and not lift.isEmpty():
-        lift = _cut(_compose(lift, lift))
-        step *= 2
+    while size:
+        lift, step = _cut(_compose(lift, lift)), 2 * step
+        left = lift.count()
+        if left == size <= step:
+            break
+        size = left
     return lift.select(F.col("a").alias("id")).distinct()
 
 
+def _next_changed(kept: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id, to): the nearest ancestor among ``changed`` ids of each row of
+    ``kept`` (id, parent_id) that has one, the walk staying inside ``kept``."""
+    marks = changed.select(F.col("id").alias("m_id"), F.lit(True).alias("m"))
+    state = kept.join(marks, F.col("parent_id") == F.col("m_id"), "left").select(
+        "id", F.col("parent_id").alias("anc"), F.coalesce("m", F.lit(False)).alias("there")
+    )
+
+    def step(active: DataFrame, every: DataFrame) -> DataFrame:
+        target = every.select(F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("there").alias("t_there"))
+        return active.join(target, F.col("anc") == F.col("t_id"), "left").select(
+            "id", F.col("t_anc").alias("anc"), F.coalesce("t_there", F.lit(False)).alias("there")
+        )
+
+    return _jump(state, F.col("anc").isNotNull() & ~F.col("there"), step).where("there").select("id", F.col("anc").alias("to"))
+
+
 def reparent_conflicts(categories: DataFrame, changes: DataFrame) -> DataFrame:
     """H4 in batch: ``changes(id, parent_id)`` sets the parent of new or
     existing categories; return the changed ids that would sit on a parent
     cycle once all changes apply (made its own parent, or given one of its
-    descendants as parent)."""
-    ch = changes.select("id", "parent_id")
-    graph = categories.select("id", "parent_id").join(ch.select("id"), "id", "left_anti").unionByName(ch)
-    return ch.select("id").distinct().join(cycle_members(graph), "id", "left_semi")
+    descendants as parent).
+
+    A cycle through a changed id is a cycle among changed ids if each points at
+    the next changed id above it.  So the table is walked once, up to the
+    nearest changed id, and cycles are looked for among the changes only.
+    """
+    ch = _cut(changes.select("id", "parent_id"))
+    ids = ch.select("id").distinct()
+    kept = categories.select("id", "parent_id").join(ids, "id", "left_anti")
+    above = _next_changed(kept, ids).select(F.col("id").alias("n_id"), "to")
+    direct = ids.select(F.col("id").alias("d_id"), F.lit(True).alias("direct"))
+    graph = (
+        ch.where(F.col("parent_id").isNotNull())
+        .join(direct, F.col("parent_id") == F.col("d_id"), "left")
+        .join(above, F.col("parent_id") == F.col("n_id"), "left")
+        .select("id", F.when(F.col("direct"), F.col("parent_id")).otherwise(F.col("to")).alias("parent_id"))
+    )
+    return ids.join(cycle_members(graph), "id", "left_semi")
 
 
 def marked_by_ancestor(
@@ -181,21 +224,16 @@ def marked_by_ancestor(
     state = (
         base.unionByName(extra)
         .join(m, F.col("id") == F.col("__m"), "left")
-        .select("id", "anc", F.lit(1).cast("bigint").alias("dist"), F.coalesce("__hit", F.lit(False)).alias("hit"))
+        .select("id", "anc", F.coalesce("__hit", F.lit(False)).alias("hit"))
     )
-    size = nodes.count() + marks.count()
 
     def step(active: DataFrame, every: DataFrame) -> DataFrame:
         target = every.select(
-            F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("dist").alias("t_dist"), F.col("hit").alias("t_hit")
+            F.col("id").alias("t_id"), F.col("anc").alias("t_anc"), F.col("hit").alias("t_hit")
         )
-        dist = F.col("dist") + F.coalesce("t_dist", F.lit(0).cast("bigint"))
+        # a missing parent ends the walk
         return active.join(target, F.col("anc") == F.col("t_id"), "left").select(
-            "id",
-            # a missing parent or a pointer longer than any acyclic path ends the walk
-            F.when(F.col("t_id").isNotNull() & (dist <= F.lit(size)), F.col("t_anc")).alias("anc"),
-            dist.alias("dist"),
-            F.coalesce("t_hit", F.lit(False)).alias("hit"),
+            "id", F.col("t_anc").alias("anc"), F.coalesce("t_hit", F.lit(False)).alias("hit")
         )
 
     return _jump(state, F.col("anc").isNotNull() & ~F.col("hit"), step).where("hit").select("id")

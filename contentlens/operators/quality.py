@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentlens import schema as S
+from contentlens.operators.components import connected_components
 from contentlens.operators.hierarchy import reparent_conflicts
-from contentlens.session import ensure_checkpoint_dir
+from contentlens.session import ensure_checkpoint_dir, stored
 
 
 def _reason(cond: Column, label: str) -> Column:
@@ -52,32 +53,98 @@ def _exists(
     return out.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
 
 
+#: Rows of one conflict component that a task replays; of larger ones so many
+#: at a time, in order.
+REPLAY_ROWS = 1_000_000
+
+
+def _replayed(rows: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Rows that a one-by-one replay of each ``group`` accepts, in one pass over
+    partitions that are sorted by group and order.  A task holds the keys that
+    the group it is in has taken."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, taken = None, [set() for _ in keys]
+        for batch in batches:
+            groups = batch.column(batch.schema.get_field_index(group)).to_pylist()
+            cols = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            ok = []
+            for g, *own in zip(groups, *cols):
+                if g != now:
+                    now, taken = g, [set() for _ in keys]
+                free = not any(k in t for k, t in zip(own, taken))
+                if free:
+                    for k, t in zip(own, taken):
+                        t.add(k)
+                ok.append(free)
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _free_of(rows: DataFrame, won: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows none of whose keys a row of ``won`` has taken."""
+    for k in keys:
+        rows = rows.join(won.select(k), k, "left_anti")
+    return rows
+
+
 def _accepted(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Rows that a one-by-one replay in the order of ``at`` (unique) accepts:
     a row is refused when an accepted earlier row has one of its ``keys``.
 
-    In a round, rows that come first under each of their keys are accepted
-    and the other rows of those keys refused; the rest goes to the next
-    round.  Rounds end when no row is left (one round per key, unless
-    conflicts over different keys form a chain).
+    Of rows equal in all keys only the first can be accepted.  Twice, rows that
+    come first under each of their keys are accepted and the other rows of those
+    keys refused, which settles most of a batch.  What is left are chains of
+    conflicts: rows are grouped into components of the graph of keys (in
+    O(log n) rounds) and each component is replayed in one pass.  A component of
+    more than REPLAY_ROWS rows is replayed so many rows at a time, and what each
+    step accepts removes its conflicts everywhere.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    left, taken = rows.checkpoint(), None
-    while not left.isEmpty():
+    cols = rows.columns
+    left = stored(rows.groupBy(*keys).agg(F.min(at).alias(at)).select(*cols), "claims")
+    taken = []
+    for _ in range(2):
         marked = left
         for i, k in enumerate(keys):
-            first = left.groupBy(k).agg(F.min(at).alias(f"__first{i}"))
-            marked = marked.join(first, k)
+            marked = marked.join(left.groupBy(k).agg(F.min(at).alias(f"__first{i}")), k)
         wins = F.lit(True)
         for i in range(len(keys)):
             wins = wins & (F.col(at) == F.col(f"__first{i}"))
-        won = marked.where(wins).select(*rows.columns).checkpoint()
-        taken = won if taken is None else taken.unionByName(won)
-        rest = left
-        for k in keys:
-            rest = rest.join(won.select(k), k, "left_anti")
-        left = rest.select(*rows.columns).checkpoint()
-    return rows.limit(0) if taken is None else taken
+        won = stored(marked.where(wins).select(*cols), "accepted")
+        taken.append(won)
+        left = stored(_free_of(left, won, keys).select(*cols), "claims")
+        if left.isEmpty():
+            break
+    else:
+        taken += _chains(left, keys, at)
+    out = taken[0]
+    for won in taken[1:]:
+        out = out.unionByName(won)
+    return out
+
+
+def _chains(left: DataFrame, keys: list[str], at: str) -> list[DataFrame]:
+    """The accepted rows among conflicts that hang together in chains."""
+    cols, group = left.columns, "__group"
+    # hashes may only join components that could be apart; the replay compares the keys themselves
+    node = [F.xxhash64(F.lit(i), F.col(k)) for i, k in enumerate(keys)]
+    ends = F.explode(F.array(*[F.struct(node[0].alias("a"), n.alias("b")) for n in node]))
+    roots = connected_components(left.select(ends.alias("e")).select("e.*"), "a", "b")
+    roots = roots.select(F.col("vertex").alias("__v"), F.col("root").alias(group))
+    rows = stored(left.withColumn("__v", node[0]).join(roots, "__v").select(*cols, group), "conflicts")
+    large = stored(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > REPLAY_ROWS).select(group), "large")
+    small = rows.join(large, group, "left_anti").repartition(F.col(group)).sortWithinPartitions(group, at)
+    taken = [stored(_replayed(small, keys, group).select(*cols), "accepted")]
+    rest = stored(rows.join(large, group, "left_semi").select(*cols), "claims")
+    while not rest.isEmpty():
+        first = rest.orderBy(at).limit(REPLAY_ROWS).coalesce(1).sortWithinPartitions(at).withColumn(group, F.lit(0))
+        won = stored(_replayed(first, keys, group).select(*cols), "accepted")
+        taken.append(won)
+        rest = stored(_free_of(rest, won, keys).select(*cols), "claims")
+    return taken
 
 
 def _taken_before(df: DataFrame, accepted: DataFrame, key: str, at: str, flag: str) -> DataFrame:

@@ -20,12 +20,13 @@ from contentlens.operators import changes as chg
 from contentlens.operators import comments as com
 from contentlens.operators import filters as flt
 from contentlens.operators import hierarchy as hier
+from contentlens.operators import intervals as itv
 from contentlens.operators import posts as pst
 from contentlens.operators import quality as qa
 from contentlens.operators import timeseries as ts
 from contentlens.operators import users as usr
 from contentlens.plans import reports as rep
-from contentlens.session import ensure_checkpoint_dir
+from contentlens.session import ensure_checkpoint_dir, stored
 from contentlens.sources.fixtures import AS_OF, content_tables, likes_raw_view, like_log_view
 from contentlens.sources.tables import load_tables, save_tables
 
@@ -425,6 +426,21 @@ def _q(spark, d):
     return flat(qa.validate_users(batch, stored, order=("seq", "id")).select("id", "reasons"))
 
 
+@query("signup_chain_audit")
+def _q(spark, d):
+    """V1 where each row shares its email or its username with the row before:
+    one chain of conflicts, broken only by rows that are refused anyway."""
+    t = _t(spark, d)
+    k = F.col("id")
+    batch = t.users.select(
+        "id",
+        F.concat(F.lit("pair"), F.floor(k / 2).cast("string"), F.lit("@example.org")).alias("email"),
+        F.concat(F.lit("link-"), F.floor((k + 1) / 2).cast("string")).alias("username"),
+        F.when(k % 997 == 0, F.repeat(F.lit("x"), 300)).alias("full_name"),
+    )
+    return flat(qa.validate_users(batch, t.users.limit(0), order="id").select("id", "reasons"))
+
+
 @query("category_audit")
 def _q(spark, d):
     """V2 with planted violations of every rule, against a third of the categories."""
@@ -505,8 +521,7 @@ def _q(spark, d):
 def _q(spark, d):
     t = _t(spark, d)
     ids = t.users.where(F.col("id") == 3).select("id")
-    _, counts = chg.cascade_delete(t, "users", ids)
-    return counts
+    return chg.delete_counts(t, "users", ids)
 
 
 # ------------------------------------------------------------ more lookups
@@ -590,7 +605,25 @@ def _q(spark, d):
 def _q(spark, d):
     t = _t(spark, d)
     seeds = t.comments.where(F.col("id") == 8).select("id")
-    return hier.subtree(t.comments, seeds)
+    return hier.subtree(t.comments, seeds, within="post_id")
+
+
+@query("category_intervals")
+def _q(spark, d):
+    """H1, H2, H5: the number range of every category's subtree."""
+    return itv.interval_labels(_t(spark, d).categories)
+
+
+@query("comment_intervals")
+def _q(spark, d):
+    return itv.interval_labels(_t(spark, d).comments)
+
+
+@query("comments_under_edited")
+def _q(spark, d):
+    """H5 in bulk by intervals: every edited comment with its whole subtree."""
+    t = _t(spark, d)
+    return itv.subtrees_by_interval(stored(itv.interval_labels(t.comments), "labels"), t.comments.where("is_edited").select("id"))
 
 
 @query("reparent_regions_under_nations")
@@ -705,8 +738,7 @@ def _q(spark, d):
 def _after(spark, d, table, ids):
     t = _t(spark, d)
     rows = getattr(t, table)
-    left, _ = chg.cascade_delete(t, table, rows.where(F.col("id").isin(ids)).select("id"))
-    return left
+    return chg.tables_after_delete(t, table, rows.where(F.col("id").isin(ids)).select("id"))
 
 
 @query("posts_after_user_delete")
@@ -725,6 +757,35 @@ def _q(spark, d):
     return _after(spark, d, "users", [3]).comment_likes
 
 
+@query("inactive_users_delete_counts")
+def _q(spark, d):
+    """W5 in bulk: what goes with all inactive users."""
+    t = _t(spark, d)
+    return chg.delete_counts(t, "users", t.users.where(~F.col("is_active")).select("id"))
+
+
+def _after_inactive(spark, d):
+    t = _t(spark, d)
+    return chg.tables_after_delete(t, "users", t.users.where(~F.col("is_active")).select("id"))
+
+
+@query("comments_after_inactive_users_delete")
+def _q(spark, d):
+    return _after_inactive(spark, d).comments
+
+
+@query("likes_after_inactive_users_delete")
+def _q(spark, d):
+    return _after_inactive(spark, d).comment_likes
+
+
+@query("likes_after_edited_comments_delete")
+def _q(spark, d):
+    """W5 from comments, in bulk: edited comments go with all their replies."""
+    t = _t(spark, d)
+    return chg.tables_after_delete(t, "comments", t.comments.where("is_edited").select("id")).comment_likes
+
+
 @query("comments_after_post_delete")
 def _q(spark, d):
     """W5 from posts."""

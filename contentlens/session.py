@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every contentlens job relies on: UTC wall clock for calendar-day
 # and hour bucketing, AQE for runtime join/partition decisions and skew splits.
@@ -71,6 +72,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` as Parquet to a new place in the shared checkpoint folder and
+    read it back.  Like a checkpoint it cuts the lineage, but the optimizer knows
+    the size of what it reads, and columns are pruned."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Target bytes per shuffle / scan partition: large enough to amortise task
 # overhead, small enough to sort and aggregate in an executor slot without
 # heavy spilling.
