@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentlens.operators import components
 from contentlens.session import ensure_checkpoint_dir
 
 #: A word: letters (with their marks) and digits; everything else separates words.
@@ -65,15 +67,34 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
+def byte_count(size: str) -> int:
+    """Bytes of a size as Spark writes it: ``64m``, ``1g``, ``8388608b``, ``4096``."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", size.lower()).groups()
+    powers = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40, "p": 50, "pb": 50}
+    return int(number) << powers[unit]
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session's Arrow batches are bounded to BATCH_BYTES from now on."""
+    """``df``, about to go to Python workers: the package is sent where they lack
+    it, and the session's Arrow batches are bounded to BATCH_BYTES from now on
+    (a smaller bound stays; plans read the setting when they run, so it is not
+    set back).  A single text beyond the bound is a batch of its own, and a
+    worker holds it several times over."""
+    send_package(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int("".join(c for c in conf.get(key, f"{8 * BATCH_BYTES}b") if c.isdigit()))
-    if now > BATCH_BYTES:
+    if not 0 < byte_count(conf.get(key, str(8 * BATCH_BYTES))) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with a mark more where ``df`` has such columns already."""
+    have = {c.lower() for c in df.columns}
+    while any(n.lower() in have for n in names):
+        names = tuple(f"{n}_" for n in names)
+    return list(names)
+
+
 #: Keys that are broadcast at most (two numbers each); more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -81,9 +102,10 @@ BROADCAST_KEYS = 100_000
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, hash of the text) is not among ``keys``
     (doc_id, th), which are stored.  Null ids are equal to each other."""
-    keys = keys.select(F.col("doc_id").alias("k_id_"), F.col("th").alias("k_th_")).distinct()
+    k_id, k_th = free_names(docs, "k_id", "k_th")
+    keys = keys.select(F.col("doc_id").alias(k_id), F.col("th").alias(k_th)).distinct()
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.hint("shuffle_hash")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_th_"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(k_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(k_th))
     return docs.join(keys, same, "left_anti")
 
 
@@ -102,34 +124,9 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Rec
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Least vertex of each vertex's component: rows (vertex, root).
-
-    ``edges`` has columns ``a`` and ``b``; null ends are dropped.  Each round
-    takes the least label among a vertex and its neighbours, then follows the
-    label's own label once (pointer jumping).  Rounds end when no label
-    changes; each is written to the shared folder, so a lost executor repeats
-    one round.  Work per round is linear in the edges and a hub is combined
-    before the shuffle.
-    """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    both = stored(both.union(both.select("v", "u")).where("u <> v").distinct(), "cc-edges")
-    labels = stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("vertex"), F.least("u", "m").alias("root")), "cc")
-    while True:
-        near = (
-            both.join(labels.select(F.col("vertex").alias("v"), "root"), "v")
-            .groupBy("u").agg(F.min("root").alias("near"))
-        )
-        low = labels.join(near, labels["vertex"] == near["u"], "left").select(
-            "vertex", "root", F.least("root", F.coalesce("near", "root")).alias("low")
-        )
-        up = labels.select(F.col("vertex").alias("low"), F.col("root").alias("up"))
-        step = low.join(up, "low", "left").select(
-            "vertex", F.least("low", F.coalesce("up", "low")).alias("root"), F.col("root").alias("was")
-        )
-        step = stored(step, "cc")
-        labels = step.select("vertex", "root")
-        if step.where("root < was").isEmpty():
-            return labels
+    """(vertex, root): the least vertex of each vertex's component, in a
+    logarithmic number of rounds.  Null ends and loops are dropped."""
+    return components.connected_components(edges.where(F.col(a) != F.col(b)), a, b)
 
 
 def sorted_groups(

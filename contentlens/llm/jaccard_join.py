@@ -1,11 +1,14 @@
 """5. N-gram Jaccard join by chosen paths.
 
 Texts are sets of five-word shingles, embedded as MinHash signatures.  A run
-sends each set down one path of a tree: at every node a signature place is
-sampled (by a hash of the node) and the sets that share its value go on
-together, until a bucket is small or the path has its full depth.  Runs are
-repeated until a pair at the threshold meets in some bucket with the target
-recall.
+begins at one place of the signature: sets with the same value there share a
+bucket.  A bucket that is too large is split again: a node samples places (by
+a hash of node and place, BRANCH on average), and each set goes to the children
+of its values there, until buckets are small.  A child that keeps half of its
+parent's sets is dense: splitting it further would part few of them, so it is
+compared as it is.  A pair at the threshold shares more than one child of a
+split on average, so it is met with the same chance at any depth, and runs are
+repeated until that chance reaches the target recall.
 
 Equal sets are joined as one, with their count.  Inside a bucket signatures
 are compared by brute force; sets that look alike are chained, never listed
@@ -26,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import bounded_batches, connected_components, pieces_of, sorted_groups, stored, without
+from contentlens.llm.common import BROADCAST_KEYS, bounded_batches, connected_components, free_names, pieces_of, sorted_groups, stored, without
 from contentlens.llm.textsets import mix, runs, seeds, signatures, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Places of a signature; nodes on a path; sets a bucket may hold to end a path early.
-PLACES, DEPTH, BUCKET = 64, 2, 128
+#: Places of a signature; sets of a bucket that are compared without a further
+#: split; children of a set at a split, on average; levels of splits at most (a
+#: bucket that is large after that is compared block against block).
+PLACES, BUCKET, BRANCH, LEVELS = 64, 128, 2.0, 16
 #: Chance that a pair at the threshold meets in at least one bucket.
-RECALL = 0.9999
+RECALL = 0.9995
 #: Standard deviations below the threshold at which two signatures still look alike.
 SLACK = 4.0
 #: Sets of a block; larger groups are compared block against block.
@@ -41,9 +46,17 @@ BLOCK = 1024
 RUN_BYTES = 4 << 20
 
 
-def runs_for(recall: float, similarity: float, depth: int) -> int:
+def survival(similarity: float, branch: float) -> float:
+    """Chance that a pair keeps on sharing a child, however often its bucket is split."""
+    q = 1.0
+    for _ in range(200):
+        q = 1 - math.exp(-similarity * branch * q)
+    return q
+
+
+def runs_for(recall: float, similarity: float, branch: float = BRANCH) -> int:
     """Runs after which a pair at the threshold has met with chance ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity * survival(similarity, branch))))
 
 
 def alike_places(similarity: float, places: int, slack: float = SLACK) -> int:
@@ -52,8 +65,9 @@ def alike_places(similarity: float, places: int, slack: float = SLACK) -> int:
 
 
 def describe(docs: DataFrame, width: int, places: int) -> DataFrame:
-    """doc_id, th (hash of the text), sid (digest of the shingle set; null
-    without words) and sig (MinHash signature) of every row."""
+    """doc_id, th (hash of the text), sid (digest of the shingle set, of the text
+    if it has no words; null for empty texts) and sig (MinHash signature; null
+    without words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,48 +78,80 @@ def describe(docs: DataFrame, width: int, places: int) -> DataFrame:
                     blake2b(np.unique(grams[a:b]).tobytes(), digest_size=16).digest() if b > a else None
                     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
                 ]
+                signed = [r.tobytes() if s else None for r, s in zip(sig, sids, strict=True)]
+                for i in [i for i, s in enumerate(sids) if s is None]:
+                    if text := rows.column(2)[i].as_py():
+                        sids[i] = blake2b(text.encode(), digest_size=16, person=b"no words").digest()
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(sids, pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())],
+                    [rows.column(0), rows.column(1), pa.array(sids, pa.binary()), pa.array(signed, pa.binary())],
                     names=["doc_id", "th", "sid", "sig"],
                 )
 
     return docs.mapInArrow(run, "doc_id long, th long, sid binary, sig binary")
 
 
-def _paths(sets: DataFrame, repeat: int, depth: int, places: int, seed: int) -> DataFrame:
-    """sid, path (a node key for each level) in each run."""
+def _children(rows: DataFrame, split: bool, repeat: int, places: int, branch: float, seed: int) -> DataFrame:
+    """sid, bucket, within (sets of the parent) of the buckets that sets go to: in
+    each run at the root, at the sampled places of their ``node`` at a split."""
+    first = np.random.default_rng(seed).permutation(places)
+    chance = np.uint64(min(1.0, branch / places) * (2**64 - 1))
+    steps = np.arange(1, places + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = seeds(repeat, seed)
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, places).astype(np.uint64)
-            at = np.arange(n)
-            for start in seeds(repeat, seed):
-                node, levels = np.full(n, start, np.uint64), []
-                for _ in range(depth):
-                    place = (mix(node) % np.uint64(places)).astype(np.int64)
-                    node = mix(node + mix(sig[at, place] + np.uint64(1)) + place.astype(np.uint64))
-                    levels.append(node.view(np.int64))
-                flat = pa.array(np.stack(levels, 1).reshape(-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * depth + 1, depth, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["sid", "path"])
-
-    return sets.select("sid", "sig").mapInArrow(run, "sid binary, path array<long>")
-
-
-def _buckets(paths: DataFrame, depth: int, bucket: int) -> DataFrame:
-    """bucket, sid, size: where paths end, without buckets of one set."""
-    out, active = None, paths
-    for level in range(depth):
-        keyed = active.select("sid", "path", F.col("path")[level].alias("bucket"))
-        sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        keyed = stored(keyed.join(sizes, "bucket"), f"level{level}")
-        ends = keyed if level == depth - 1 else keyed.where(F.col("size") <= bucket)
-        ends = ends.select("bucket", "sid", "size")
+            if split:
+                node = batch.column(2).to_numpy().view(np.uint64)
+                row, place = np.nonzero(mix(node[:, None] + steps[None, :]) < chance)
+                node, within = node[row], batch.column(3).to_numpy()[row]
+            else:
+                row, k = np.repeat(np.arange(n), repeat), np.tile(np.arange(repeat), n)
+                place, node, within = first[k % places], starts[k], np.zeros(n * repeat, np.int64)
+            bucket = mix(node + mix(sig[row, place] + np.uint64(1)) + place.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(bucket.view(np.int64)), pa.array(within)], names=["sid", "bucket", "within"]
+            )
+
+    cols = ["sid", "sig", "node", "within"] if split else ["sid", "sig"]
+    return rows.select(*cols).mapInArrow(run, "sid binary, bucket long, within long")
+
+
+def _buckets(sets: DataFrame, repeat: int, places: int, branch: float, levels: int, bucket: int, seed: int) -> DataFrame:
+    """bucket, sid, size: where paths end, without buckets of one set.
+
+    A level is one stored table of (set, bucket).  Sizes are counted with a
+    combine before the shuffle; only rows of small buckets are joined to them
+    by a shuffle, large buckets are few and known by a list.
+    """
+    out, keyed = None, stored(_children(sets, False, repeat, places, branch, seed), "level")
+    for level in range(levels + 1):
+        count = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.max("within").alias("within"))
+        sizes = stored(count.where("size > 1"), "sizes")
+        small = sizes.where(F.col("size") <= bucket).select("bucket", "size")
+        large = sizes.where(F.col("size") > bucket)
+        listed = large.count()
+        known = (lambda df: F.broadcast(df)) if listed <= BROADCAST_KEYS else (lambda df: df)
+        ends = keyed.select("bucket", "sid")
+        if listed:
+            ends = ends.join(known(large.select("bucket")), "bucket", "left_anti")
+        ends = ends.join(small, "bucket")
         out = ends if out is None else out.unionByName(ends)
-        active = keyed.where(F.col("size") > bucket).select("sid", "path")
+        if not listed:
+            break
+        # dense ones, and what is still large at the last level, are compared as they are
+        dense = (2 * F.col("size") >= F.col("within")) & (F.col("within") > 0) | F.lit(level == levels)
+        out = out.unionByName(keyed.select("bucket", "sid").join(known(large.where(dense).select("bucket", "size")), "bucket"))
+        if level == levels:
+            break
+        again = keyed.select("sid", "bucket").join(
+            known(large.where(~dense).select("bucket", F.col("size").alias("within"))), "bucket"
+        ).withColumnRenamed("bucket", "node")
+        again = again.join(sets.select("sid", "sig"), "sid")
+        keyed = stored(_children(again, True, repeat, places, branch, seed), "level")
     return out
 
 
@@ -264,8 +310,8 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "sid binary, family binary, size long, copies long, grams binary")
 
 
-def linked_rows(docs: DataFrame, width: int, similarity: float, recall: float, depth: int, bucket: int, block: int, seed: int) -> DataFrame:
-    """doc_id, th (hash of the text), root (of the class; null without words),
+def linked_rows(docs: DataFrame, width: int, similarity: float, recall: float, branch: float, bucket: int, block: int, seed: int) -> DataFrame:
+    """doc_id, th (hash of the text), root (of the class; null for empty texts),
     class_id, n_links of every row."""
     base = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
@@ -279,8 +325,10 @@ def linked_rows(docs: DataFrame, width: int, similarity: float, recall: float, d
         ),
         "sets",
     )
-    paths = _paths(sets, runs_for(recall, similarity, depth), depth, PLACES, seed)
-    buckets = _buckets(paths, depth, bucket).join(sets.select("sid", "sig"), "sid")
+    repeat = min(PLACES, runs_for(recall, similarity, branch))
+    worded = sets.where("sig IS NOT NULL").select("sid", "sig")
+    buckets = stored(_buckets(worded, repeat, PLACES, branch, LEVELS, bucket, seed), "buckets")
+    buckets = buckets.join(worded, "sid")
     chains = stored(_alike(buckets, alike_places(similarity, PLACES), PLACES, block), "chains")
     family = connected_components(chains, "a", "b").select(F.col("vertex").alias("sid"), F.col("root").alias("family"))
     sizes = family.groupBy("family").agg(F.count("*").alias("size"))
@@ -314,7 +362,7 @@ def jaccard_classes(
     width: int = WIDTH,
     similarity: float = SIMILARITY,
     recall: float = RECALL,
-    depth: int = DEPTH,
+    branch: float = BRANCH,
     bucket: int = BUCKET,
     block: int = BLOCK,
     seed: int = 5,
@@ -324,20 +372,20 @@ def jaccard_classes(
     ``n_links`` counts the other rows whose shingle sets have a Jaccard
     similarity of at least ``similarity`` (equal sets included);
     ``class_id`` is the least doc_id of the row's connected class.  A text of
-    fewer than ``width`` words is one shingle of all its words.  Texts without
-    words (null texts too) have no links and are classes of their own, with
-    their own doc_id.  Null ids count as larger than any.  Repeated rows are
+    fewer than ``width`` words is one shingle of all its words.  A text without
+    words is linked to equal texts alone.  Empty texts (null texts too) have no
+    links and are classes of their own, with their own doc_id.  Null ids count as larger than any.  Repeated rows are
     links of each other.  An empty table gives no rows; further columns are
     not read.
     """
-    return linked_rows(docs, width, similarity, recall, depth, bucket, block, seed).select("doc_id", "class_id", "n_links")
+    return linked_rows(docs, width, similarity, recall, branch, bucket, block, seed).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class: the least id, then the least hash of
-    the text; of rows equal in both, one.  Columns stay; a text without words
-    is a class of its own."""
-    given = {"width": WIDTH, "similarity": SIMILARITY, "recall": RECALL, "depth": DEPTH, "bucket": BUCKET, "block": BLOCK, "seed": 5}
+    the text; of rows equal in both, one.  Columns stay; an empty text is
+    a class of its own."""
+    given = {"width": WIDTH, "similarity": SIMILARITY, "recall": RECALL, "branch": BRANCH, "bucket": BUCKET, "block": BLOCK, "seed": 5}
     rows = stored(linked_rows(docs, **(given | options)).where("n_links > 0").select("doc_id", "th", "root"), "linked")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"))
     keys = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
@@ -347,9 +395,9 @@ def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     again = keys.where("kept AND n > 1")  # rows that come several times over
     if again.isEmpty():
         return out
-    names = {"i": "k_id_", "t": "k_th_"}
-    again = again.select(F.col("doc_id").alias(names["i"]), F.col("th").alias(names["t"]))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id_")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k_th_"))
+    k_id, k_th = free_names(docs, "k_id", "k_th")
+    again = again.select(F.col("doc_id").alias(k_id), F.col("th").alias(k_th))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(k_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(k_th))
     once = out.join(again, same, "left_semi")
     once = once.dropDuplicates(["doc_id", "text"])
     return out.join(again, same, "left_anti").unionByName(once)

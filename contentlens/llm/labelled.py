@@ -19,9 +19,9 @@ def sample(labels: DataFrame, label: str, rows: int, seed: int = 3) -> DataFrame
 
 def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, text, label of the sampled rows; repeated ids count once."""
+    own = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # bounded: at most the sample's rows of two numbers
-    rows = bounded_batches(docs).join(F.broadcast(known), F.col("doc_id").cast("long") == F.col("l_id"))
-    rows = rows.select(F.col("l_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("l_label").alias("label"))
+    rows = own.join(F.broadcast(known), F.col("doc_id") == F.col("l_id")).withColumnRenamed("l_label", "label")
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 

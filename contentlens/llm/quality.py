@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentlens.llm.common import bounded_batches, pieces_of, stored
+from contentlens.llm.common import bounded_batches, free_names, pieces_of, stored
 from contentlens.llm.labelled import fit_dense, labelled_texts, sample, sigmoid
 from contentlens.llm.textsets import words
 
@@ -178,12 +178,13 @@ def posteriors(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FRO
     sites = site_rates(stored(paths, "paths"), model.rate)
     scored = evidence(kept) if texts else narrow
     k_path = sites.k_path
+    s_path, s_rate, s_n, s_good = free_names(scored, "s_path", "s_rate", "s_n", "s_good")
     table = sites.table.select(
-        F.col("path").alias("s_path_"), F.col("host_rate").alias("s_rate_"), F.col("n").alias("s_n_"), F.col("good").alias("s_good_")
+        F.col("path").alias(s_path), F.col("host_rate").alias(s_rate), F.col("n").alias(s_n), F.col("good").alias(s_good)
     )
-    with_site = scored.join(table, scored[f"`{path}`"] == table["s_path_"])
-    up, e = F.lit(k_path) * F.col("s_rate_"), scored[f"`{own}`"]
-    prior = (up + F.greatest(F.col("s_good_") - e, F.lit(0.0))) / (F.lit(k_path) + F.col("s_n_") - 1)
+    with_site = scored.join(table, scored[f"`{path}`"] == table[s_path])
+    up, e = F.lit(k_path) * F.col(s_rate), scored[f"`{own}`"]
+    prior = (up + F.greatest(F.col(s_good) - e, F.lit(0.0))) / (F.lit(k_path) + F.col(s_n) - 1)
 
     def logit(p: Column) -> Column:
         p = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -193,7 +194,7 @@ def posteriors(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FRO
     posterior = 1 / (1 + F.exp(-total))
     return with_site.select(
         *[scored[f"`{c}`"] for c in kept], scored[f"`{host}`"], scored[f"`{path}`"], e,
-        F.col("s_rate_").alias(names[3]), ((up + F.col("s_good_")) / (F.lit(k_path) + F.col("s_n_"))).alias(names[4]),
+        F.col(s_rate).alias(names[3]), ((up + F.col(s_good)) / (F.lit(k_path) + F.col(s_n))).alias(names[4]),
         posterior.alias(names[5]), (posterior >= keep_from).alias(names[6]),
     )
 

@@ -1,14 +1,18 @@
 """5. Jaccard join against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from contentlens.llm.common import connected_components
-from contentlens.llm.jaccard_join import alike_places, intersections, jaccard_classes, runs_for
+from contentlens.llm.jaccard_join import (
+    BRANCH, BUCKET, LEVELS, PLACES, RECALL, _buckets, alike_places, describe, intersections, jaccard_classes, runs_for,
+)
 from contentlens.llm.textsets import runs, signatures, word_hashes
 
 
@@ -117,3 +121,46 @@ def test_connected_components(spark):
                 want[a] = want[b] = min(want[a], want[b])
                 changed = True
     assert got == want
+
+
+def exact_links(texts):
+    """Pairs of texts with a similarity of 0.8 or more, by shared shingles."""
+    sets = [s.tolist() for s in sets_of(texts)]
+    holders = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    shared = Counter((a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :])
+    return [p for p, n in shared.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n) - 1e-9]
+
+
+def test_recall_and_work_on_given_documents(spark):
+    """All exact pairs of sf0.01 are linked, and the compared pairs grow in
+    proportion from sf0.01 to sf0.1, not with the square."""
+    compared = {}
+    for size in ("sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
+        rows = docs.withColumn("th", F.xxhash64("text"))
+        sets = describe(rows.select("doc_id", "th", "text"), 5, PLACES).where("sig IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"))
+        met = _buckets(sets, runs_for(RECALL, 0.8), PLACES, BRANCH, LEVELS, BUCKET, 5)
+        compared[size] = met.groupBy("bucket").count().agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+        if size == "sf0.01":
+            texts = [r.text for r in docs.orderBy("doc_id").collect()]
+            want = 2 * len(exact_links(texts))
+            got = jaccard_classes(docs).agg(F.sum("n_links")).first()[0]
+            assert want > 100 and got == want
+    assert compared["sf0.1"] < 14 * compared["sf0.01"]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of just over 0.8 in one bucket that has to be split several times."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(150)]
+    rows = []
+    for k in range(120):
+        own = common + [f"o{k}_{i}" for i in range(700)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:-88] + [f"n{rng.randrange(10**9)}" for _ in range(88)]))]
+    links = exact_links([t for _, t in rows])
+    assert len(links) == 120
+    got = jaccard_classes(frame(spark, rows), bucket=4)
+    assert sum(r.n_links for r in got.collect()) >= 0.95 * 240
