@@ -27,6 +27,7 @@ from contentlens.operators import timeseries as ts
 from contentlens.operators import users as usr
 from contentlens.plans import reports as rep
 from contentlens.session import ensure_checkpoint_dir, stored
+from contentlens.sources import clustered as clu
 from contentlens.sources.fixtures import AS_OF, content_tables, likes_raw_view, like_log_view
 from contentlens.sources.tables import load_tables, save_tables
 
@@ -846,3 +847,37 @@ def _q(spark, d):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     save_tables(t, path)
     return flat(load_tables(spark, path).posts.select(*t.posts.columns))
+
+
+# ------------------------------------------------------------ clustered tables
+
+
+def _clustered(spark, df, key):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clustered-{uuid.uuid4().hex}"
+    return clu.create(df, path, key, rows_per_range=20_000)
+
+
+@query("comments_deep_page")
+def _q(spark, d):
+    """P1 by counted fences: the page in the middle of all comments."""
+    t = _clustered(spark, _t(spark, d).comments, ["created_at", "id"])
+    pages = -(-clu.count(t, spark) // 10)
+    return clu.page(t, spark, max(1, pages // 2), 10)
+
+
+@query("posts_lookup_clustered")
+def _q(spark, d):
+    """F1 on a clustered table: the posts that have comments."""
+    t = _t(spark, d)
+    return flat(clu.lookup(_clustered(spark, t.posts, ["id"]), t.comments.select(F.col("post_id").alias("id"))))
+
+
+@query("posts_after_merges")
+def _q(spark, d):
+    """S3 in steps: featured posts are archived, then those of inactive authors go."""
+    t = _t(spark, d)
+    first = _clustered(spark, t.posts, ["id"])
+    second = clu.merge(first, t.posts.where("is_featured").withColumn("status", F.lit("archived")))
+    idle = t.users.where(~F.col("is_active")).select(F.col("id").alias("author_id"))
+    third = clu.merge(second, deletes=t.posts.join(idle, "author_id", "left_semi").select("id"))
+    return flat(clu.read(third, spark))
