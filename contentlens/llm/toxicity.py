@@ -43,7 +43,12 @@ IDENTITY_TERMS = [
     ["femmes", "hommes", "chrétiens", "musulmans", "juifs"],
     ["mujeres", "hombres", "cristianos", "musulmanes", "judíos"],
 ]
-_SWAP = {t: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, t in enumerate(group)}
+#: For each step, the term that a term becomes when its group is turned by so much:
+#: over all steps every term of a group stands for every other.
+_SWAPS = [
+    {t: group[(i + step) % len(group)] for group in IDENTITY_TERMS if step % len(group) for i, t in enumerate(group)}
+    for step in range(1, max(map(len, IDENTITY_TERMS)))
+]
 
 
 def features_of(word: str) -> list[int]:
@@ -54,7 +59,7 @@ def features_of(word: str) -> list[int]:
 
 
 def identity_features() -> list[int]:
-    return sorted({f for t in _SWAP for f in features_of(t)})
+    return sorted({f for group in IDENTITY_TERMS for t in group for f in features_of(t)})
 
 
 @dataclass(frozen=True)
@@ -133,20 +138,21 @@ def choose_features(texts: DataFrame, count: int) -> np.ndarray:
     return np.array(sorted({*top, *identity_features()}), np.int64)
 
 
-def counterfactual(texts: list[str | None], place: dict[int, int]) -> list[tuple[list[int], list[int]] | None]:
-    """Features that swapping a text's identity terms takes away and adds;
-    None for a text without identity terms."""
+def counterfactual(texts: list[str | None], place: dict[int, int], step: int = 1) -> list[tuple[list[int], list[int]] | None]:
+    """Features that swapping a text's identity terms, each for the ``step``th
+    next of its group, takes away and adds; None for a text without such terms."""
+    swap = _SWAPS[step - 1]
     out: list[tuple[list[int], list[int]] | None] = []
     index, at, distinct = words(pa.array(texts, pa.string()))
     plain = [w.decode() for w in distinct]
-    swapped = {i for i, w in enumerate(plain) if w in _SWAP}
+    swapped = {i for i, w in enumerate(plain) if w in swap}
     for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         kinds = set(index[lo:hi].tolist())
         if not kinds & swapped:
             out.append(None)
             continue
         before = {f for k in kinds for f in features_of(plain[k])}
-        after = {f for k in kinds for f in features_of(_SWAP.get(plain[k], plain[k]))}
+        after = {f for k in kinds for f in features_of(swap.get(plain[k], plain[k]))}
         out.append(([place[f] for f in before - after if f in place], [place[f] for f in after - before if f in place]))
     return out
 
@@ -158,7 +164,8 @@ def fit(
     """Fit on at most ``rows`` labelled texts (the least ids by hash).
 
     Minimises the logistic loss, a ridge, and ``penalty`` times the mean
-    squared change of the score between a text and its counterfactual.
+    squared change of the score between a text and its counterfactuals, in which
+    its identity terms are swapped for every other term of their groups in turn.
     """
     texts = stored(labelled_texts(docs, sample(labels, label, rows)), "labelled")
     chosen = choose_features(texts, features)
@@ -171,22 +178,22 @@ def fit(
                 text, which = present(part.column(1), place, known)
                 cuts = np.searchsorted(text, np.arange(part.num_rows + 1))
                 has = [which[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)]
-                change = counterfactual(part.column(1).to_pylist(), place)
+                plain = part.column(1).to_pylist()
+                turns = zip(*(counterfactual(plain, place, k + 1) for k in range(len(_SWAPS))), strict=True)
+                turns = [[c for c in turn if c and (c[0] or c[1])] for turn in turns]
                 lists = pa.list_(pa.int32())
+                less, more = (pa.array([[c[k] for c in turn] for turn in turns], pa.list_(lists)) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(2), pa.array(has, lists),
-                        pa.array([c and c[0] for c in change], lists), pa.array([c and c[1] for c in change], lists),
-                    ],
-                    names=["doc_id", "label", "has", "less", "more"],
+                    [part.column(0), part.column(2), pa.array(has, lists), less, more], names=["doc_id", "label", "has", "less", "more"]
                 )
 
-    got = (
-        texts.mapInArrow(run, "doc_id long, label int, has array<int>, less array<int>, more array<int>").orderBy("doc_id").toArrow()
-    )  # bounded by the sample: the chosen features of ``rows`` texts
+    kinds = "doc_id long, label int, has array<int>, less array<array<int>>, more array<array<int>>"
+    # bounded by the sample: the chosen features of ``rows`` texts
+    got = texts.mapInArrow(run, kinds).orderBy("doc_id").toArrow()
     y = (got.column("label").to_numpy() > 0).astype(float)
     has = got.column("has").to_pylist()
-    pairs = [(a or [], b or []) for a, b in zip(got.column("less").to_pylist(), got.column("more").to_pylist(), strict=True) if a or b]
+    turns = zip(got.column("less").to_pylist(), got.column("more").to_pylist(), strict=True)
+    pairs = [(a, b) for less, more in turns for a, b in zip(less, more, strict=True)]
     weights, intercept = fit_sparse(has, y, pairs, len(chosen), penalty, steps)
     return ToxicityModel(chosen, weights, intercept)
 

@@ -1,5 +1,9 @@
 """6. Quality classifier: shrinkage, held-out accuracy and odd input."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -81,3 +85,67 @@ def test_empty_tables(spark):
     docs, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = fit(docs, labels)
     assert posteriors(docs, model).count() == 0 and posteriors(frame(spark, ODD), model).count() == len(ODD)
+
+
+def plain_posteriors(rows, model):
+    """The hierarchy written out in plain Python: rows (id, text, lang, source)."""
+    clip = lambda p, lo, hi: min(max(p, lo), hi)
+    site = []
+    for _, _, lang, source in rows:
+        m = re.match(r"^(?:[a-z][a-z0-9+.-]*://)?([^/?#]*)(?:/([^/?#]*))?", (source or "").lower())
+        host = m[1] or ""
+        site.append((host, "/".join([host, m[2] or "", *([lang] if lang is not None else [""])])))
+    evidence = sigmoid(model.logit(pa.array([t for _, t, _, _ in rows], pa.string()))).tolist()
+    n, good, host_n, host_good = Counter(), Counter(), Counter(), Counter()
+    for (host, path), e in zip(site, evidence, strict=True):
+        n[host, path] += 1
+        good[host, path] += e
+        host_n[host] += 1
+        host_good[host] += e
+    rate = clip((sum(evidence) + model.rate) / (len(rows) + 1), 0.001, 0.999)
+
+    def strength(sites):
+        """sites: (n, good, prior)"""
+        w = sum(s[0] for s in sites)
+        spread = sum(s[0] * (s[1] / s[0] - s[2]) ** 2 for s in sites) / w
+        binomial = sum(s[0] * s[2] * (1 - s[2]) for s in sites) / w
+        between = spread - sum(s[2] * (1 - s[2]) for s in sites) / w
+        return 1e6 if between <= binomial * 1e-6 else clip(binomial / between - 1, 1.0, 1e6)
+
+    k_host = strength([(host_n[h], host_good[h], rate) for h in host_n])
+    host_rate = {h: (k_host * rate + host_good[h]) / (k_host + host_n[h]) for h in host_n}
+    k_path = strength([(n[s], good[s], host_rate[s[0]]) for s in n])
+    logit = lambda p: math.log(clip(p, 1e-6, 1 - 1e-6) / (1 - clip(p, 1e-6, 1 - 1e-6)))
+    out = []
+    for s, e in zip(site, evidence, strict=True):
+        up = k_path * host_rate[s[0]]
+        prior = (up + max(good[s] - e, 0.0)) / (k_path + n[s] - 1)
+        total = logit(e) + logit(prior) - math.log(model.rate / (1 - model.rate))
+        out.append((host_rate[s[0]], (up + good[s]) / (k_path + n[s]), 1 / (1 + math.exp(-total))))
+    return out
+
+
+def test_posteriors_equal_plain_python(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = fit(docs, labels)
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    extra = [(10**6 + i, t, g, s) for i, (t, g, s) in enumerate([
+        (None, None, None), ("", "en", ""), ("Fine text of some words here.", "de", "https://Host.example/One/two?x"), ("Again, fine words.", "de", "https://host.example/one/three"),
+    ])]
+    rows += extra
+    frame_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {r[0]: p for r, p in zip(rows, plain_posteriors(rows, model), strict=True)}
+    got = posteriors(frame_, model).collect()
+    assert len(got) == len(rows) == len(want)
+    for r in got:
+        assert (r.host_rate, r.path_rate, r.posterior) == pytest.approx(want[r.doc_id], abs=1e-9)
+        assert r.keep == (r.posterior >= 0.5)
+
+
+def test_ties_and_repeats_in_the_sample(spark):
+    """Equal labelled rows and repeated ids give one model, whatever their order."""
+    docs = [(i, f"text {i} " + "words of it, and more. " * (i % 5), "en", "s", None, 1) for i in range(30)]
+    labels = [(i, i % 2, 0) for i in range(30)]
+    one = fit(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rows=20)
+    two = fit(frame(spark, docs[::-1] + docs), spark.createDataFrame(labels[::-1] + labels, "doc_id long, quality int, toxic int").repartition(5), rows=20)
+    assert np.allclose(one.weights, two.weights) and one.rate == two.rate
