@@ -21,6 +21,7 @@ from contentlens.operators import comments as com
 from contentlens.operators import filters as flt
 from contentlens.operators import hierarchy as hier
 from contentlens.operators import intervals as itv
+from contentlens.operators import maintained as mt
 from contentlens.operators import posts as pst
 from contentlens.operators import quality as qa
 from contentlens.operators import timeseries as ts
@@ -849,6 +850,49 @@ def _q(spark, d):
     return flat(load_tables(spark, path).posts.select(*t.posts.columns))
 
 
+# ------------------------------------------------------------ maintained statistics
+
+
+def _after_batch(spark, d):
+    """The statistics of the tables before a batch, refreshed by the batch alone:
+    drafts of inactive authors are published, edited comments go, and every
+    featured post gets a comment of its author."""
+    t = _t(spark, d)
+    at = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
+    idle = t.users.where(~F.col("is_active")).select(F.col("id").alias("author_id"))
+    drafts = t.posts.where("status = 'draft'").join(idle, "author_id", "left_semi").select(*t.posts.columns)
+    published = drafts.withColumns({"status": F.lit("published"), "view_count": F.col("view_count") + 5, "updated_at": at})
+    written = t.posts.where("is_featured").select(
+        (F.col("id") + 1_000_000_000).alias("id"), F.col("id").alias("post_id"), "author_id",
+        F.lit(None).cast("bigint").alias("parent_id"), F.lit(3).alias("like_count"), at.alias("updated_at"),
+    )
+    kept = t.comments.where(~F.col("is_edited")).select(*mt.COMMENT_COLUMNS).unionByName(written)
+    before = mt.build(t.posts, t.comments).stored()
+    posts, comments = mt.Change(drafts, published), mt.Change(t.comments.where("is_edited"), written)
+    return t, mt.refresh(before, posts, comments, kept)
+
+
+@query("author_stats_after_batch")
+def _q(spark, d):
+    """A4 from maintained sums."""
+    t, s = _after_batch(spark, d)
+    return mt.author_stats(s, t.users)
+
+
+@query("category_stats_after_batch")
+def _q(spark, d):
+    """A10-A13 from maintained sums."""
+    t, s = _after_batch(spark, d)
+    return mt.category_stats(s, t.categories)
+
+
+@query("user_engagement_after_batch")
+def _q(spark, d):
+    """A14, A15 from maintained sums and latest updates."""
+    t, s = _after_batch(spark, d)
+    return mt.user_engagement(s, t.users, AS_OF)
+
+
 # ------------------------------------------------------------ clustered tables
 
 
