@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contentlens.functions.columns import tag_contains, title_matches
 from contentlens.functions.visibility import Viewer, visible_in_listing, visible_single
+from contentlens.operators.skew import split_left_join
 from contentlens.schema import PAGE_SIZE_DEFAULT, PAGE_SIZE_MAX, RESPONSE_COLUMNS, STATUS_PUBLISHED
 
 PAGE_ORDER = ("created_at", "id")
@@ -249,14 +250,18 @@ def visible_posts_for(posts: DataFrame, viewer: Viewer | None) -> DataFrame:
     return posts.where(visible_single(viewer))
 
 
-def visibility_of_requests(posts: DataFrame, requests: DataFrame) -> DataFrame:
+def visibility_of_requests(posts: DataFrame, requests: DataFrame, split_hot: bool = False) -> DataFrame:
     """F22 in bulk: ``requests(viewer_id, viewer_role, post_id)`` joined to
     posts on ``post_id`` (an equi join, never viewers x posts); NULL viewer
-    means anonymous.  Unknown posts get ``found = false``."""
+    means anonymous.  Unknown posts get ``found = false``.  ``split_hot`` counts
+    the requests of each post first and keeps those of hot posts out of the shuffle."""
     p = posts.select(
-        F.col("id").alias("post_id"), "author_id", "status", F.lit(True).alias("found")
+        F.col("id").alias("__pid"), "author_id", "status", F.lit(True).alias("found")
     )
-    r = requests.join(p, "post_id", "left")
+    if split_hot:
+        r = split_left_join(requests, p, "post_id", "__pid")
+    else:
+        r = requests.join(p, F.col("post_id") == F.col("__pid"), "left")
     published = F.col("status") == STATUS_PUBLISHED
     allowed = published | (F.col("viewer_id").isNotNull() & (
         (F.col("viewer_id") == F.col("author_id")) | (F.col("viewer_role") == "admin")

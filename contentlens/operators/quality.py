@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from contentlens import schema as S
 from contentlens.operators.components import connected_components
 from contentlens.operators.hierarchy import reparent_conflicts
+from contentlens.operators.skew import split_left_join
 from contentlens.session import ensure_checkpoint_dir, stored
 
 
@@ -245,19 +246,25 @@ def validate_posts(batch: DataFrame, users: DataFrame, categories: DataFrame) ->
     return b.withColumn("reasons", reasons).select(*batch.columns, "reasons")
 
 
-def validate_comments(batch: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
+def validate_comments(batch: DataFrame, posts: DataFrame, comments: DataFrame, split_hot: bool = False) -> DataFrame:
     """V4: content 1..1000; post exists and allows comments; the parent
     exists and belongs to the same post.
 
     Both lookups join one row per key (post id, comment id) onto the batch;
     a batch concentrated on one hot post is split by AQE's skew handling
-    without duplicating work, since the right side has one row per key.
-    Root comments (no parent) go around the second join.
+    without duplicating work, since the right side has one row per key; with
+    ``split_hot`` hot posts and parents are counted first and kept out of the
+    shuffle.  Root comments (no parent) go around the second join.
     """
     p = posts.select(F.col("id").alias("__pid"), F.col("allow_comments").alias("__allow"))
     c = comments.select(F.col("id").alias("__cid"), F.col("post_id").alias("__parent_post"))
-    b = batch.join(p, F.col("post_id") == F.col("__pid"), "left")
-    replies = b.where(F.col("parent_id").isNotNull()).join(c, F.col("parent_id") == F.col("__cid"), "left")
+    def looked_up(rows: DataFrame, table: DataFrame, key: str, table_key: str) -> DataFrame:
+        if split_hot:
+            return split_left_join(rows, table, key, table_key)
+        return rows.join(table, F.col(key) == F.col(table_key), "left")
+
+    b = looked_up(batch, p, "post_id", "__pid")
+    replies = looked_up(b.where(F.col("parent_id").isNotNull()), c, "parent_id", "__cid")
     roots = b.where(F.col("parent_id").isNull())
     b = replies.unionByName(roots, allowMissingColumns=True)
     reasons = _reasons(

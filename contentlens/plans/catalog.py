@@ -580,6 +580,18 @@ def _q(spark, d):
     return flt.visibility_of_requests(t.posts, req)
 
 
+@query("post_visibility_split")
+def _q(spark, d):
+    """F22 in bulk with hot posts kept out of the shuffle: may each liker see the
+    post of the comment they liked?"""
+    t = _t(spark, d)
+    on = t.comments.select(F.col("id").alias("comment_id"), "post_id")
+    req = t.comment_likes.join(on, "comment_id").select(
+        F.col("user_id").alias("viewer_id"), "comment_id", "post_id", F.lit("user").alias("viewer_role")
+    )
+    return flt.visibility_of_requests(t.posts, req, split_hot=True)
+
+
 # ------------------------------------------------------------ full tables
 
 
