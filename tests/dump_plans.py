@@ -19,8 +19,8 @@ NOTES = {
     "a 31-row spine left-joined; no nested-loop join.",
     "invalid_likes": "V5: identical requests folded by a partial aggregate; first request per pair from the "
     "folded rows; existence checks against primary keys without de-duplication.",
-    "like_events_final_state": "W3: range exchange on (pair, ts, event_id) splits a hot pair into ordered "
-    "segments; window per (pair, segment); segments chained per pair.",
+    "like_events_final_state": "W3: the log has been walked and stored (one range exchange, not in this plan); "
+    "the few pairs at the borders of partitions are chained by a window, then pairs meet the stored likes.",
     "most_commented_posts_full": "A16: ranking on post ids and counts only; the 10 winning posts fetched by a "
     "broadcast of the 10-row key list.",
     "comments_by_author": "F15: the equality filter reaches the Parquet scan (PushedFilters) and only the "
