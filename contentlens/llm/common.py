@@ -38,21 +38,23 @@ _SENT: set[str] = set()
 def send_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers.
 
-    Nothing is done where the workers find it by PYTHONPATH or their working
-    folder, as on a cluster that installs it.  Else its sources are added to
-    the session as a zip file, which Spark hands to every executor.
+    Workers of a local session share the driver's working folder and PYTHONPATH,
+    and nothing is done where the package lies in one of them.  What the
+    workers of a cluster have is not known here, so its sources are added to the
+    session, once, as a small zip file that Spark hands to every executor.
     """
     root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
     found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _SENT or any(p and Path(p).resolve() == root for p in found):
+    near = context.master == "local" or context.master.startswith("local[")
+    if context.applicationId in _SENT or near and any(p and Path(p).resolve() == root for p in found):
         return
     path = Path(tempfile.mkdtemp(prefix="contentlens-code-")) / "contentlens.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted((root / "contentlens").rglob("*.py")):
             z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(str(path))
-    _SENT.add(app)
+    context.addPyFile(str(path))
+    _SENT.add(context.applicationId)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
