@@ -11,15 +11,16 @@ folder.  With the fences known,
 * page N of a listing in key order is found by the counts and read from the
   ranges it lies in, however deep it is (:func:`page`).
 
-There are at most MAX_RANGES ranges (larger tables have larger ranges), so the
-fences are a bounded list that the driver can hold.  One writer at a time;
-a version exists once its fences are written, which is the last step.
+A new table has at most MAX_RANGES ranges (larger tables have larger ranges), and
+merges cut larger ranges as it grows, about MAX_RANGES more each time it doubles,
+so the fences are a list that the driver can hold.  One writer at a time; a
+version exists once its fences are written, which is the last step.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,12 +44,12 @@ class Clustered:
     rows_per_range: int
 
     def fences(self, spark: SparkSession) -> list[dict]:
-        """lo (first key), n (rows), folder of each range, in key order; MAX_RANGES at most."""
+        """lo (first key), n (rows), folder of each range, in key order."""
         rows = spark.read.parquet(f"{self.path}/fences/v{self.version}").collect()
         return sorted(({"lo": tuple(r["lo"]), "n": r["n"], "folder": r["folder"]} for r in rows), key=lambda r: r["lo"])
 
     def at(self, version: int) -> Clustered:
-        return Clustered(self.path, self.key, version, self.schema, self.rows_per_range)
+        return replace(self, version=version)
 
 
 def _rows_of(t: Clustered, spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -153,14 +154,15 @@ def merge(t: Clustered, upserts: DataFrame | None = None, deletes: DataFrame | N
     kept = _ranged(_rows_of(t, spark, [f["folder"] for f in old]).join(gone.select(*t.key), list(t.key), "left_anti"), t.key, fences)
     rows = kept.select(*names, "__range").unionByName(new.select(*names, "__range"))
     size = {r["__range"]: r["n"] for r in rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_RANGES at most
-    nxt = t.at(t.version + 1)
-    large = [k for k, n in size.items() if n > 2 * t.rows_per_range]
+    total = sum(f["n"] for f in fences) - sum(f["n"] for f in old) + sum(size.values())
+    nxt = replace(t, version=t.version + 1, rows_per_range=max(t.rows_per_range, -(-total // MAX_RANGES)))
+    large = [k for k, n in size.items() if n > 2 * nxt.rows_per_range]
     order = ["__range", *t.key]
     small = [k for k in size if k not in large]
     pieces = rows.where(~F.col("__range").isin(large)).repartition(max(1, len(small)), "__range").sortWithinPartitions(*order)
     pieces = pieces.withColumn("__piece", F.col("__range").cast("string"))
     if large:
-        parts = sum(-(-size[k] // t.rows_per_range) for k in large)
+        parts = sum(-(-size[k] // nxt.rows_per_range) for k in large)
         cut = rows.where(F.col("__range").isin(large)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
         cut = stored(cut.withColumn("__piece", F.concat_ws("_", "__range", F.spark_partition_id())), "cut")
         pieces = pieces.unionByName(cut.repartition(parts, "__piece").sortWithinPartitions("__piece", *t.key))
