@@ -92,6 +92,27 @@ TARGET_PARTITION_BYTES = 256 * 1024 * 1024
 MAX_SHUFFLE_PARTITIONS = 50_000
 
 
+# Rows that one task of a shuffle join or aggregate holds at most, on average:
+# some 40 MB for each sort or hash table of the task.
+ROWS_PER_TASK = 1 << 19
+
+
+def task_parts(spark: SparkSession, rows: int) -> int:
+    """Partitions that a shuffle of ``rows`` rows needs for tasks of ``ROWS_PER_TASK``
+    rows, or 0 if the session's number does, also once AQE has coalesced it to
+    the number of cores."""
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(-(-rows // ROWS_PER_TASK), MAX_SHUFFLE_PARTITIONS)
+    return max(own, wanted) if wanted > min(own, spark.sparkContext.defaultParallelism) else 0
+
+
+def dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` in ``parts`` (of :func:`task_parts`) partitions by ``keys``; as it is
+    for 0.  A join takes the number over from one side, so the smaller one is
+    dealt: if that is broadcast, the larger one is not shuffled for nothing."""
+    return df.repartition(parts, *keys) if parts else df
+
+
 def cluster_conf(shuffle_bytes: int, executors: int, cores_per_executor: int) -> dict[str, str]:
     """Settings for a cluster session.
 

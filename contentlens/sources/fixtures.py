@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentlens.session import dealt, task_parts
 from contentlens.sources.tables import ContentTables
 
 # Fixed values of the mapping.
@@ -148,10 +149,16 @@ def likes_raw_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comment_likes_view(likes_raw: DataFrame, users: DataFrame, comments: DataFrame) -> DataFrame:
-    """Unique, FK-valid likes: first request per (user, comment) pair."""
+    """Unique, FK-valid likes: first request per (user, comment) pair.
+
+    The requests are counted (of Parquet files: from their footers), so that
+    the joins are dealt over partitions that grow with them."""
+    parts = task_parts(likes_raw.sparkSession, likes_raw.count())
+    who = dealt(users.select(F.col("id").alias("user_id")), parts, "user_id")
+    what = dealt(comments.select(F.col("id").alias("comment_id")), parts, "comment_id")
     return (
-        likes_raw.join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
-        .join(comments.select(F.col("id").alias("comment_id")), "comment_id", "left_semi")
+        likes_raw.join(who, "user_id", "left_semi")
+        .join(what, "comment_id", "left_semi")
         .groupBy("user_id", "comment_id")
         .agg(F.min("created_at").alias("created_at"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contentlens.operators import filters as flt
 from contentlens.operators import quality as qa
 from contentlens.operators.skew import hot_keys, split_left_join
+from contentlens.sources.fixtures import comment_likes_view
 from frames import comment, post, tables
 
 
@@ -18,6 +19,13 @@ def not_adaptive(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.fixture
+def one_partition(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def rows_of(df):
     return sorted(map(str, df.collect()))
 
@@ -53,3 +61,30 @@ def test_hot_post_in_the_operators(spark):
                                 "request_id int, viewer_id bigint, post_id bigint, viewer_role string")
     plain, split = (flt.visibility_of_requests(t.posts, req, split_hot=s) for s in (False, True))
     assert rows_of(plain) == rows_of(split)
+
+
+def per_task(df):
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+
+
+def test_tasks_of_the_join_follow_the_rows(spark, one_partition):
+    # a fifth of the rows on one key, which is hot only among more partitions than the session's one
+    rows = spark.range(2_000_000).select("id", F.when(F.col("id") % 5 == 0, 7).otherwise(F.col("id") % 50_000).alias("k"))
+    table = spark.range(40_000).select(F.col("id").alias("tid"), (F.col("id") * 3).alias("v"))
+    out = split_left_join(rows, table, "k", "tid")
+    sizes = per_task(out)
+    assert sum(sizes) == 2_000_000 and max(sizes) < 1_000_000
+    assert [r["k"] for r in hot_keys(rows, "k").collect()] == [7]
+    said = [F.count("v"), F.sum("v"), F.sum(F.col("id") * F.col("v"))]
+    assert out.agg(*said).first() == rows.join(table, F.col("k") == F.col("tid"), "left").agg(*said).first()
+
+
+def test_tasks_of_the_likes_follow_the_rows(spark, one_partition):
+    raw = spark.range(2_000_000).select(
+        (F.col("id") % 1_000).alias("user_id"), (F.col("id") % 1_900_000).alias("comment_id"),
+        F.timestamp_seconds("id").alias("created_at"))
+    likes = comment_likes_view(raw, spark.range(990), spark.range(1, 3_000_000))
+    sizes = per_task(likes)
+    # no user 990 to 999, no comment 0, requests of 1,900,000 on repeat those of the first 100,000
+    assert sum(sizes) == 1_900_000 * 99 // 100 - 1 and max(sizes) < 1_000_000
+    assert likes.where(F.col("comment_id") == 5).select("user_id", F.unix_timestamp("created_at")).collect() == [(5, 5)]
